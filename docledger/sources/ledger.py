@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docledger.schemas import MONEY
 from docledger.session import join_keys
+from docledger.sources.files import read_table
 
 LANGUAGES = ["en", "de", "es", "fr", "pl"]
 CURRENCY = {"en": "USD", "de": "EUR", "es": "EUR", "fr": "EUR", "pl": "PLN"}
@@ -277,7 +278,7 @@ def _document_text() -> Column:
     days = F.col("payment.terms_days")
     return F.concat_ws(
         "\n",
-        label("title"),
+        F.when(lang == "en", F.concat(label("title"), F.lit(" #"), F.col("document_number"))).otherwise(label("title")),
         row("number", F.col("document_number")),
         row("issue", day(F.col("issue_date"))),
         # A due date that follows from the terms is not printed.
@@ -311,7 +312,8 @@ class Ledger:
         def table(name: str) -> DataFrame:
             return spark.read.parquet(f"{folder}/{name}.parquet")
 
-        self.orders, self.lineitem = table("orders"), table("lineitem")
+        # Documents are made from orders and then read by CPU-bound extraction, so orders are spread over the cores.
+        self.orders, self.lineitem = read_table(spark, f"{folder}/orders.parquet"), table("lineitem")
         self.customer, self.supplier, self.nation = table("customer"), table("supplier"), table("nation")
 
     @property
