@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\r\n"
+WHITESPACE_SQL = r" \t\r\n"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,19 +20,54 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def group(col: Column, pattern: str, idx: int = 1) -> Column:
+def literal(text: str) -> str:
+    """SQL raw string literal of a pattern."""
+    if "'" not in text:
+        return f"r'{text}'"
+    if '"' not in text:
+        return f'r"{text}"'
+    raise ValueError("a pattern may hold one kind of quote only")
+
+
+def _group_sql(name: str, pattern: str, idx: int) -> str:
+    capture = f"regexp_extract(`{name}`, {literal(pattern)}, {idx})"
+    return f"get(filter(array(trim(BOTH '{WHITESPACE_SQL}' FROM {capture})), v -> v <> ''), 0)"
+
+
+def first_sql(name: str, patterns: Sequence[str], idx: int = 1) -> str:
+    """SQL text of :func:`first_of` over a named column."""
+    return f"coalesce({', '.join(_group_sql(name, p, idx) for p in patterns)}, NULL)"
+
+
+def group(col: Column | str, pattern: str, idx: int = 1) -> Column:
     """Trimmed capture group of the first match, NULL when there is none or it is blank.
 
-    The one-element filter binds the capture, so the pattern runs once; ``nullif`` would run it twice.
+    The one-element filter binds the capture, so the pattern runs once; ``nullif`` would run it twice. A column given by
+    name becomes one parsed expression, which keeps plans with hundreds of patterns quick to build.
     """
+    if isinstance(col, str):
+        return F.expr(_group_sql(col, pattern, idx))
     return F.get(F.filter(F.array(F.trim(F.regexp_extract(col, pattern, idx), F.lit(WHITESPACE))), lambda v: v != ""), F.lit(0))
 
 
-def first_of(col: Column, patterns: Sequence[str], idx: int = 1) -> Column:
+def first_of(col: Column | str, patterns: Sequence[str], idx: int = 1) -> Column:
     """First pattern that captures something; later patterns are not evaluated once one has hit."""
+    if isinstance(col, str):
+        return F.expr(first_sql(col, patterns, idx))
     return F.coalesce(*[group(col, p, idx) for p in patterns])
 
 
+def any_case(pattern: str) -> str:
+    """Pattern that ignores case for all letters at ASCII cost: other letters are spelled out in both cases."""
+    out, in_class = [], False
+    for ch in pattern:
+        in_class = (in_class or ch == "[") and ch != "]"
+        both = ch.lower() + ch.upper()
+        spelled = ord(ch) > 127 and ch.isalpha() and len(both) == 2 and both[0] != both[1]
+        out.append((both if in_class else f"[{both}]") if spelled else ch)
+    return "(?i)" + "".join(out)
+
+
 def last_of(col: Column, patterns: Sequence[str], idx: int = 1) -> Column:
     """Last occurrence of the first pattern that occurs at all."""
     return F.coalesce(*[F.try_element_at(F.regexp_extract_all(col, F.lit(p), F.lit(idx)), F.lit(-1)) for p in patterns])
@@ -47,24 +83,30 @@ def hit(col: Column, pattern: str) -> Column:
     return F.coalesce(F.rlike(col, F.lit(pattern)).cast("int"), F.lit(0))
 
 
-def hits(col: Column, patterns: Sequence[str]) -> Column:
+def hits(col: Column | str, patterns: Sequence[str]) -> Column:
     """Number of patterns that occur."""
+    if isinstance(col, str):
+        return F.expr(" + ".join(f"int(coalesce(`{col}` rlike {literal(p)}, false))" for p in patterns))
     total = F.lit(0)
     for p in patterns:
         total = total + hit(col, p)
     return total
 
 
-def has_any(col: Column, words: Sequence[str]) -> Column:
+def has_any(col: Column | str, words: Sequence[str]) -> Column:
     """True if any of the plain words occurs (case as given)."""
+    if isinstance(col, str):
+        return F.expr("coalesce(" + " or ".join(f"contains(`{col}`, {literal(w)})" for w in words) + ", false)")
     out = F.lit(False)
     for w in words:
         out = out | F.coalesce(F.contains(col, F.lit(w)), F.lit(False))
     return out
 
 
-def count_present(col: Column, words: Sequence[str]) -> Column:
+def count_present(col: Column | str, words: Sequence[str]) -> Column:
     """Number of distinct words that occur at least once."""
+    if isinstance(col, str):
+        return F.expr(" + ".join(f"int(coalesce(contains(`{col}`, {literal(w)}), false))" for w in words))
     total = F.lit(0)
     for w in words:
         total = total + F.coalesce(F.contains(col, F.lit(w)).cast("int"), F.lit(0))

@@ -78,7 +78,7 @@ TAX_ID_ALL = r"\b[A-Z]{2}[0-9]{8,12}\b|\b[0-9]{3}-[0-9]{3}-[0-9]{2}-[0-9]{2}\b|\
 DATE_ALL = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}\b"
 
 
-def document_number(text: Column) -> Column:
+def document_number(text: Column | str) -> Column:
     return first_of(text, NUMBER_PATTERNS)
 
 
@@ -104,7 +104,7 @@ def with_dates(docs: DataFrame, text: str = "text") -> DataFrame:
     Issue: labelled date, else the first date anywhere. Due: labelled date, else issue date plus the days of the terms,
     else the first date that is not before the issue date. Without an issue date bare terms give no due date.
     """
-    t = F.col(text)
+    t = text
     raw = docs.withColumns(
         {
             "_issue": F.coalesce(first_of(t, ISSUE_PATTERNS), group(t, ANY_DATE)),
@@ -124,7 +124,7 @@ def with_dates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def with_totals(docs: DataFrame, text: str = "text", complete: bool = True) -> DataFrame:
     """Add flat ``subtotal``, ``tax_amount``, ``tax_rate``, ``total`` and ``currency``."""
-    t = F.col(text)
+    t = text
     raw = docs.withColumns(
         {
             "_total": first_of(t, TOTAL_PATTERNS),
@@ -164,7 +164,7 @@ def net_from_gross(gross: Column, rate: Column) -> Column:
     return F.try_divide(gross * 100, rate + 100).cast(MONEY)
 
 
-def last_amount_total(text: Column) -> Column:
+def last_amount_total(text: Column | str) -> Column:
     """Total as the last match of the first amount pattern that occurs."""
     raw = last_of(
         text,
@@ -177,7 +177,7 @@ def last_amount_total(text: Column) -> Column:
     return F.translate(raw, ",", "").try_cast(MONEY)
 
 
-def _party(block: Column, text: Column, own_labels: str) -> Column:
+def _party(block: str, text: str, own_labels: str) -> Column:
     name = group(block, r"^[ \t\n]*([^\n]+)")
     # Address: up to four lines below the name that carry no label.
     address = group(block, r"^[^\n]*\n((?:[ \t]*[^\n:]*[^\s:][^\n:]*(?:\n|$)){1,4})")
@@ -194,17 +194,17 @@ def _party(block: Column, text: Column, own_labels: str) -> Column:
 
 def with_parties(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``seller`` and ``buyer`` structs, each read from its own block of the text."""
-    t = F.col(text)
+    t = text
     blocks = docs.withColumns({"_seller": group(t, SELLER_BLOCK), "_buyer": group(t, BUYER_BLOCK)})
     return blocks.withColumns(
         {
-            "seller": _party(F.col("_seller"), t, "(?:seller|vendor)"),
-            "buyer": _party(F.col("_buyer"), t, "(?:customer|buyer)"),
+            "seller": _party("_seller", t, "(?:seller|vendor)"),
+            "buyer": _party("_buyer", t, "(?:customer|buyer)"),
         }
     ).drop("_seller", "_buyer")
 
 
-def payment_status(text: Column) -> Column:
+def payment_status(text: Column | str) -> Column:
     """Paid / Unpaid from wording, else the labelled status."""
     paid = F.rlike(text, F.lit(r"(?i)\bpaid\b|\bpayment\s+(?:received|completed)\b"))
     unpaid = F.rlike(text, F.lit(r"(?i)\bunpaid\b|\bdue\b|\bpending\s+payment\b"))
@@ -215,7 +215,7 @@ def payment_status(text: Column) -> Column:
     )
 
 
-def payment_method_class(text: Column) -> Column:
+def payment_method_class(text: Column | str) -> Column:
     """Credit card, bank transfer, PayPal or check: the first kind whose words occur."""
     # Wordings by payment kind, in test order.
     kinds = [
@@ -239,11 +239,11 @@ TERMS_PATTERNS = [
 ]
 
 
-def payment_terms(text: Column) -> Column:
+def payment_terms(text: Column | str) -> Column:
     return first_of(text, TERMS_PATTERNS)
 
 
-def notes(text: Column) -> Column:
+def notes(text: Column | str) -> Column:
     """Distinct notes, each up to a blank line, joined."""
     found = all_of(
         text, r"(?is)(?:^|\n)[ \t]*(?:notes?|comments?|remarks?|additional\s+information)[ \t]*:[ \t]*(.+?)(?:\n[ \t]*\n|$)", 1
@@ -252,7 +252,7 @@ def notes(text: Column) -> Column:
     return blank_to_null(F.array_join(F.array_distinct(trimmed), "\n"))
 
 
-def payment_info(text: Column) -> Column:
+def payment_info(text: Column | str) -> Column:
     """Struct of terms, days, method, status and bank details."""
     return F.struct(
         payment_terms(text).alias("terms"),
@@ -274,7 +274,7 @@ def payment_info(text: Column) -> Column:
 
 def with_order_metadata(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add order and reference number, delivery date, document kind, discount (amount or share of subtotal), shipping."""
-    t = F.col(text)
+    t = text
     raw = docs.withColumns(
         {
             "order_number": group(t, r"(?i)\b(?:purchase\s+order|order|po)(?:[ \t]+(?:number|no\.?))?[ \t]*[:#]+[ \t]*#?([A-Z0-9-]*[0-9][A-Z0-9-]*)"),
@@ -302,7 +302,7 @@ def extract_invoice(docs: DataFrame) -> DataFrame:
     keys = [c for c in ("doc_id", "page") if c in docs.columns]
     staged = with_order_metadata(with_parties(with_totals(with_dates(docs))))
     staged = staged.withColumns(
-        {"document_number": document_number(F.col("text")), "payment": payment_info(F.col("text")), "notes": notes(F.col("text"))}
+        {"document_number": document_number("text"), "payment": payment_info("text"), "notes": notes("text")}
     )
     language = F.col("language") if "language" in docs.columns else F.lit(None).cast("string")
     doc_type = F.col("doc_type") if "doc_type" in docs.columns else F.lower("document_kind")

@@ -114,7 +114,7 @@ def _raw(parts: Column, signed: bool, clean: bool) -> Column:
     for i, name in enumerate(PARTS):
         text = F.trim(parts[i + 1])
         if name in NUMERIC:
-            text = _signed_digits(text) if signed else parse_digits(text)
+            text = F.when(text != "", _signed_digits(text) if signed else parse_digits(text))
         elif name == "description" and clean:
             text = normalize_description(text)
         out.append(text.alias(name))
@@ -284,9 +284,14 @@ def items_by_rule(
         return F.struct(*out)
 
     items = F.transform(F.transform(fitted, lambda x: F.split(x, SEP)), item)
-    for name in required:
-        items = F.filter(items, lambda i, n=name: i[n].isNotNull())
-    return items
+
+    def complete(i: Column) -> Column:
+        ok = F.lit(True)
+        for name in required:
+            ok = ok & i[name].isNotNull()
+        return ok
+
+    return F.filter(items, complete)
 
 
 def items_lang(arr: Column, lang: str) -> Column:

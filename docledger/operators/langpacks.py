@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docledger.functions.amounts import parse_amount, parse_amount_signed
 from docledger.functions.dates import parse_date
-from docledger.functions.regexes import all_of, first_of, group, let
+from docledger.functions.regexes import all_of, any_case, first_of, first_sql, group, let
 from docledger.functions.text import lines
 from docledger.operators.items import extract_items, is_refund
 from docledger.schemas import MONEY
@@ -54,7 +54,7 @@ PACKS: dict[str, dict[str, list[str]]] = {
         "due_date": [rf"\b(?:termin\s+(?:wymagalno[sś]ci|p[lł]atno[sś]ci)|zapłacono\s+do)[ \t:]*({_D})"],
         "currency": [r"(?:płatność\s+w|kwota\s+w|waluta)[ \t:]*([A-Z]{3})\b"],
         "seller_name": [r"\b(?:sprzedawca|sprzedaż)[ \t]*:\s*([^\n]+)"],
-        "seller_tax_id": [r"(?:^|\n)[ \t]*nip[ \t:]*([A-Z]{0,2}[0-9][0-9A-Z -]{7,14}[0-9A-Z])"],
+        "seller_tax_id": [r"(?:^|\n)[ \t]*nip[ \t]*:?[ \t]*([A-Z]{0,2}[0-9][0-9 -]{6,12}[0-9])"],
         "buyer_name": [r"\b(?:nabywca|klient)[ \t]*:?\s*([^\n]+)"],
         "buyer_tax_id": [r"\bnip\s+nabywcy[ \t:]*([0-9A-Z-]+)", r"(?s)\b(?:nabywca|klient)\b.*?\bnip[ \t:]*([0-9][0-9 -]{8,12}[0-9])"],
         "buyer_vat": [r"\bnr\s*vat[ \t:]*([A-Z]{0,2}[ ]?[0-9][0-9 -]{7,12})"],
@@ -127,28 +127,21 @@ PACKS: dict[str, dict[str, list[str]]] = {
     },
 }
 
-# Currency of a pack that finds none in the text.
-DEFAULT_CURRENCY = {"en": None, "pl": "PLN", "de": "EUR", "es": "EUR", "fr": "EUR"}
 FIELDS = list(dict.fromkeys(f for pack in PACKS.values() for f in pack))
 _PLN = r"(?i)pln[ \t:]*([0-9]+[.,][0-9]{2})|([0-9]+[.,][0-9]{2})[ \t]*pln"
 
 
-def _capture(text: Column, lang: str, field: str) -> Column:
-    patterns = PACKS[lang].get(field)
-    if not patterns:
-        return F.lit(None).cast("string")
-    return first_of(text, [f"(?iu){p}" for p in patterns])
-
-
-def _by_language(lang: Column | str, make) -> Column:
+def _captured(text: str, field: str, lang: Column | str) -> Column:
+    """A field by the pack of one language, or of the row's own language when ``lang`` is the column ``_lang``."""
+    by_lang = {
+        code: first_sql(text, [any_case(p) for p in pack[field]]) for code, pack in PACKS.items() if pack.get(field)
+    }
     if isinstance(lang, str):
-        return make(lang)
-    out = None
-    for code in PACKS:
-        if code == "en":
-            continue
-        out = F.when(lang == code, make(code)) if out is None else out.when(lang == code, make(code))
-    return out.otherwise(make("en"))
+        return F.expr(by_lang[lang]) if lang in by_lang else F.lit(None).cast("string")
+    cases = " ".join(f"WHEN '{code}' THEN {sql}" for code, sql in by_lang.items() if code != "en")
+    other = by_lang.get("en", "CAST(NULL AS STRING)")
+    known = " ".join(f"WHEN '{code}' THEN CAST(NULL AS STRING)" for code in PACKS if code not in by_lang and code != "en")
+    return F.expr(f"CASE _lang {cases} {known} ELSE {other} END")
 
 
 def pln_amounts(text: Column) -> Column:
@@ -161,11 +154,12 @@ def pln_amounts(text: Column) -> Column:
 def extract_pack(docs: DataFrame, lang: Column | str, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Records of one language, or of mixed documents when ``lang`` is a column; narrow. ``keep`` names columns to carry."""
     t = F.col(text)
-    lang_col = F.lit(lang) if isinstance(lang, str) else lang
-    raw = docs.withColumns({f"_{f}": _by_language(lang, lambda code, f=f: _capture(t, code, f)) for f in FIELDS})
+    lang_col = F.lit(lang) if isinstance(lang, str) else F.col("_lang")
+    raw = docs if isinstance(lang, str) else docs.withColumn("_lang", lang)
+    raw = raw.withColumns({f"_{f}": _captured(text, f, lang) for f in FIELDS})
     raw = raw.withColumn("_pln", F.when(lang_col == "pl", pln_amounts(t)))
     raw = raw.withColumn("_reverse", F.contains(F.lower(t), F.lit("reverse charge")))
-    default = _by_language(lang, lambda code: F.lit(DEFAULT_CURRENCY[code]).cast("string"))
+    default = F.when(lang_col == "pl", "PLN").when(lang_col != "en", "EUR")
 
     def money(name: str) -> Column:
         return parse_amount(F.col(name))
@@ -263,7 +257,7 @@ def generic_number_token(text: Column) -> Column:
 
 def extract_vendor(docs: DataFrame, text: str = "text") -> DataFrame:
     """Vendor layout with layered lookups: file name, order field, terms, labelled numbers, plausible token."""
-    t, meta = F.col(text), F.col("metadata")
+    t, meta = text, F.col("metadata")
     name = F.try_element_at(meta, F.lit("filename"))
     po = F.try_element_at(meta, F.lit("po_number"))
     number = F.coalesce(
@@ -344,7 +338,7 @@ def extract_european(docs: DataFrame, text: str = "text") -> DataFrame:
     ``Product/Service``. Neighbours are slices of the document's own line array, so nothing is exploded or shuffled.
     """
     staged = docs.withColumn("_lines", F.transform(lines(F.col(text)), lambda x: F.trim(x))).withColumn("_t", F.col(text))
-    arr, t = F.col("_lines"), F.col("_t")
+    arr, t = F.col("_lines"), "_t"
 
     def at(pattern: str) -> Column:
         return F.array_position(F.transform(arr, lambda x: F.rlike(x, F.lit(pattern))), F.lit(True)).cast("int")

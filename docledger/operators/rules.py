@@ -147,7 +147,7 @@ def rules_from_table(df: DataFrame) -> list[FieldRule]:
     ]
 
 
-def extract_field(text: Column, rules: Sequence[FieldRule]) -> Column:
+def extract_field(text: Column | str, rules: Sequence[FieldRule]) -> Column:
     """First value any of the rules captures, in priority order."""
     ordered = sorted(rules, key=lambda r: r.priority)
     return F.coalesce(*[group(text, r.regex, r.group) for r in ordered])
@@ -155,7 +155,7 @@ def extract_field(text: Column, rules: Sequence[FieldRule]) -> Column:
 
 def extract_wide(docs: DataFrame, rules: Sequence[FieldRule], text: str = "text") -> DataFrame:
     """One string column per field (dots become underscores)."""
-    cols = {f.replace(".", "_"): extract_field(F.col(text), _ordered(rules, f)) for f in fields_of(rules)}
+    cols = {f.replace(".", "_"): extract_field(text, _ordered(rules, f)) for f in fields_of(rules)}
     return docs.withColumns(cols)
 
 
@@ -174,7 +174,7 @@ def extract_with_info(
         for i, r in enumerate(_ordered(rules, f)):
             found = F.struct(
                 F.lit(f).alias("field"),
-                group(t, r.regex, r.group).alias("value"),
+                group(text, r.regex, r.group).alias("value"),
                 F.lit(True).alias("success"),
                 (F.regexp_instr(t, F.lit(r.regex)) - 1).alias("match_pos"),
                 F.regexp_extract(t, r.regex, 0).alias("match_text"),
