@@ -6,6 +6,7 @@ same in Java and in RE2 engines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -83,13 +84,41 @@ def hit(col: Column, pattern: str) -> Column:
     return F.coalesce(F.rlike(col, F.lit(pattern)).cast("int"), F.lit(0))
 
 
-def hits(col: Column | str, patterns: Sequence[str]) -> Column:
-    """Number of patterns that occur."""
+def required_word(pattern: str) -> str | None:
+    """Longest plain text every match of a pattern must contain, lower-cased; NULL where that is not obvious.
+
+    Only patterns without alternatives and groups are looked at. Escapes, classes and quantified letters end a run.
+    """
+    if "|" in pattern or "(?" in pattern:
+        return None
+    plain = re.sub(r"\\.|\[[^\]]*\]|\{[^}]*\}|[().*+^$]", "\x00", pattern)
+    # A letter before an optional quantifier may be absent.
+    plain = re.sub(r".\?", "\x00", plain)
+    quantified = {m.start() for m in re.finditer(r"[A-Za-z ](?=[*{])", pattern)}
+    if quantified:
+        return None
+    word = max(plain.split("\x00"), key=len, default="")
+    return word.lower() if len(word) >= 3 and re.fullmatch(r"[A-Za-z #:]+", word) else None
+
+
+def hits(col: Column | str, patterns: Sequence[str], flags: str = "", lowered: str | None = None) -> Column:
+    """Number of patterns that occur.
+
+    With the name of a lower-cased copy of the text, patterns that need a certain word are tried only on texts that
+    contain it: a byte search is far cheaper than a case-insensitive pattern.
+    """
     if isinstance(col, str):
-        return F.expr(" + ".join(f"int(coalesce(`{col}` rlike {literal(p)}, false))" for p in patterns))
+        terms = []
+        for p in patterns:
+            test = f"`{col}` rlike {literal(flags + p)}"
+            word = required_word(p) if lowered else None
+            if word:
+                test = f"(contains(`{lowered}`, {literal(word)}) and {test})"
+            terms.append(f"int(coalesce({test}, false))")
+        return F.expr(" + ".join(terms))
     total = F.lit(0)
     for p in patterns:
-        total = total + hit(col, p)
+        total = total + hit(col, flags + p)
     return total
 
 

@@ -26,7 +26,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet")
 
 
-def _r(c: Column | str, digits: int = 4) -> Column:
+def _r(c: Column | str, digits: int = 9) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), digits)
 
@@ -44,7 +44,7 @@ def _ts(expr: str) -> str:
 @query(
     "conv_summary",
     f"""WITH {_JOBS} SELECT {_ts("date_trunc('day', created_at)")} AS day, input_format, output_format, status, count(*) AS job_count,
-        coalesce(round(avg(CASE WHEN done THEN secs END), 4), -1) AS avg_seconds, round(avg(file_size), 4) AS avg_file_size
+        coalesce(round(avg(CASE WHEN done THEN secs END), 9), -1) AS avg_seconds, round(avg(file_size), 9) AS avg_file_size
         FROM jobs WHERE created_at >= TIMESTAMP '2024-01-01' GROUP BY 1, 2, 3, 4""",
 )
 def conv_summary(spark, d):
@@ -65,15 +65,15 @@ def conv_rollup(spark, d):
 @query(
     "ocr_perf",
     f"""SELECT {_ts("date_trunc('hour', ts)")} AS hour, CASE user_id % 2 WHEN 0 THEN 'engine_a' ELSE 'engine_b' END AS engine,
-        CASE {_E} % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'pl' END AS language, count(*) AS ocr_count, round(avg({_E} / 100.0), 4) AS avg_confidence,
-        round(avg(value), 4) AS avg_seconds FROM events WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY 1, 2, 3""",
+        CASE {_E} % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'pl' END AS language, count(*) AS ocr_count, round(avg({_E} / 100.0), 9) AS avg_confidence,
+        round(avg(value), 9) AS avg_seconds FROM events WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY 1, 2, 3""",
 )
 def ocr_perf(spark, d):
     s = js.ocr_performance(act.ocr_from_events(_events(spark, d)), AS_OF)
     return s.select(_t("hour").alias("hour"), "engine", "language", "ocr_count", _r("avg_confidence").alias("avg_confidence"), _r("avg_seconds").alias("avg_seconds"))
 
 
-_API = f"""SELECT {_ts("date_trunc('hour', ts)")} AS hour, endpoint, count(*) AS request_count, round(avg(response_time), 4) AS avg_response_time,
+_API = f"""SELECT {_ts("date_trunc('hour', ts)")} AS hour, endpoint, count(*) AS request_count, round(avg(response_time), 9) AS avg_response_time,
     count(*) FILTER (status_code >= 400) AS error_count, count(*) FILTER (status_code < 400) AS success_count FROM calls"""
 
 
@@ -96,7 +96,7 @@ def retention(spark, d):
 
 @query(
     "latency_rating",
-    f"""WITH {_CALLS} SELECT endpoint, round(avg(response_time), 4) AS avg_seconds, min(response_time) AS min_seconds, max(response_time) AS max_seconds, count(*) AS n,
+    f"""WITH {_CALLS} SELECT endpoint, round(avg(response_time), 9) AS avg_seconds, min(response_time) AS min_seconds, max(response_time) AS max_seconds, count(*) AS n,
         CASE WHEN avg(response_time) < 0.1 THEN 'excellent' WHEN avg(response_time) < 0.5 THEN 'good' WHEN avg(response_time) < 2 THEN 'fair' ELSE 'slow' END AS rating FROM calls GROUP BY endpoint""",
 )
 def latency_rating(spark, d):
@@ -104,7 +104,7 @@ def latency_rating(spark, d):
     return s.withColumn("avg_seconds", _r("avg_seconds"))
 
 
-@query("p95", f"WITH {_CALLS} SELECT endpoint, round(quantile_cont(response_time, 0.95), 4) AS quantile, count(*) AS n FROM calls GROUP BY endpoint")
+@query("p95", f"WITH {_CALLS} SELECT endpoint, round(quantile_cont(response_time, 0.95), 9) AS quantile, count(*) AS n FROM calls GROUP BY endpoint")
 def p95(spark, d):
     q = js.latency_quantile(act.api_calls_from_events(_events(spark, d)), ["endpoint"], exact=True)
     return q.withColumn("quantile", _r("quantile"))
@@ -118,11 +118,11 @@ def p95_approx(spark, d):
 @query(
     "rate_series",
     f"""WITH {_CALLS} SELECT {_ts("time_bucket(INTERVAL 5 MINUTE, ts)")} AS window_start, endpoint, count(*) AS requests, count(*) FILTER (status_code >= 500) AS errors,
-        round(count(*) / 300.0, 6) AS per_second FROM calls GROUP BY 1, 2""",
+        round(count(*) / 300.0, 9) AS per_second FROM calls GROUP BY 1, 2""",
 )
 def rate_series(spark, d):
     s = js.rate_series(act.api_calls_from_events(_events(spark, d)))
-    return s.select(_t("window_start").alias("window_start"), "endpoint", "requests", "errors", _r("per_second", 6).alias("per_second"))
+    return s.select(_t("window_start").alias("window_start"), "endpoint", "requests", "errors", _r("per_second").alias("per_second"))
 
 
 @query("job_list", f"WITH {_JOBS} SELECT job_id, status, {_ts('created_at')} AS created_at FROM jobs ORDER BY jobs.created_at DESC, job_id LIMIT 100")
@@ -138,13 +138,13 @@ def job_counts(spark, d):
 
 @query(
     "job_progress",
-    f"WITH {_JOBS} SELECT batch_id, count(*) AS total, count(*) FILTER (status IN ('completed', 'failed')) AS completed, round(count(*) FILTER (status IN ('completed', 'failed')) * 100.0 / count(*), 4) AS progress FROM jobs GROUP BY batch_id",
+    f"WITH {_JOBS} SELECT batch_id, count(*) AS total, count(*) FILTER (status IN ('completed', 'failed')) AS completed, round(count(*) FILTER (status IN ('completed', 'failed')) * 100.0 / count(*), 9) AS progress FROM jobs GROUP BY batch_id",
 )
 def job_progress(spark, d):
     return js.job_progress(act.jobs_from_events(_events(spark, d))).withColumn("progress", _r("progress"))
 
 
-@query("job_metrics", f"WITH {_JOBS} SELECT status, count(*) AS n, round(avg(file_size / 1000), 4) AS mean_value FROM jobs GROUP BY status")
+@query("job_metrics", f"WITH {_JOBS} SELECT status, count(*) AS n, round(avg(file_size / 1000), 9) AS mean_value FROM jobs GROUP BY status")
 def job_metrics(spark, d):
     e = _events(spark, d)
     m = js.job_metrics(act.jobs_from_events(e), act.metrics_from_events(e))
@@ -251,7 +251,7 @@ def stream_hourly(spark, d):
 @query("stream_error_rate", f"{_RATE} SELECT {_ts('window_end')} AS window_end, source, n, errors, breach FROM rate WHERE window_end <= {_CLOSED}")
 def stream_error_rate(spark, d):
     s = _finished(spark, sj.stream_error_rate(act.api_calls_from_events(_stream(spark, d))))
-    return s.withColumn("window_end", _t("window_end")).drop("sampled_at")
+    return s.withColumn("window_end", _t("window_end"))
 
 
 @query("stream_dedupe", f"WITH {_CALLS} SELECT DISTINCT source FROM calls")
@@ -269,7 +269,11 @@ def stream_p95(spark, d):
 
 @query("alert_for")
 def alert_for(spark, d):
-    return _finished(spark, alerts.alert_for(sj.stream_error_rate(act.api_calls_from_events(_stream(spark, d))), minutes=4))
+    # Two streams: windowed samples to a table, alerts from that table. Each keeps its own state and checkpoint.
+    folder = _folder(spark)
+    samples = sj.stream_error_rate(act.api_calls_from_events(_stream(spark, d)))
+    sj.start(samples, f"{folder}/samples", f"{folder}/checkpoint-samples").awaitTermination()
+    return _finished(spark, alerts.alert_for(sj.read_stream(spark, f"{folder}/samples", samples.schema), minutes=4))
 
 
 @query("job_lifecycle")

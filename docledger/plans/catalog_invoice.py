@@ -408,7 +408,8 @@ def items_dedupe(spark, d):
 @query(
     "allocate_missing",
     f"""WITH {INV}, s AS (SELECT doc_id, sum(amount) FILTER (l_returnflag <> 'R') AS known, count(*) FILTER (l_returnflag = 'R') AS missing FROM it GROUP BY doc_id)
-        SELECT doc_id, count(*) AS n, round({dbl('sum(CASE WHEN l_returnflag = ' + chr(39) + 'R' + chr(39) + ' THEN (subtotal + tot.tax_amount - coalesce(known, 0)) / missing ELSE it.amount END)')}, 1) AS amount
+        SELECT doc_id, count(*) AS n, CAST(round(sum(CASE WHEN l_returnflag = 'R'
+          THEN CAST(round((subtotal + tot.tax_amount - coalesce(known, 0)) / missing, 4) AS DECIMAL(18,4)) ELSE it.amount END), 1) AS DOUBLE) AS amount
         FROM it JOIN s USING (doc_id) JOIN tot USING (doc_id) GROUP BY doc_id""",
 )
 def allocate_missing(spark, d):
@@ -419,7 +420,7 @@ def allocate_missing(spark, d):
     items = ledger_items(flagged).withColumn("amount", F.when(F.col("item_code").cast("bigint") >= 0, F.col("amount").cast(MONEY)))
     totals = Ledger(spark, d).totals.withColumn("total", (F.col("subtotal") + F.col("tax_amount")).cast(MONEY))
     done = it.allocate_missing(items, totals)
-    return done.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(_d(F.sum("amount")), 1).alias("amount"))
+    return done.groupBy("doc_id").agg(F.count("*").alias("n"), _d(F.round(F.sum("amount"), 1)).alias("amount"))
 
 
 @query(

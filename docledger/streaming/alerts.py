@@ -20,11 +20,14 @@ def _ts(seconds: int) -> pd.Timestamp:
     return pd.Timestamp(seconds, unit="s")
 
 
-def alert_for(samples: DataFrame, by: str = "source", minutes: int = 5, step_minutes: int = 1) -> DataFrame:
+def alert_for(
+    samples: DataFrame, by: str = "source", minutes: int = 5, step_minutes: int = 1, watermark: str = "10 minutes"
+) -> DataFrame:
     """``firing`` once a condition has held without a break for ``minutes``, ``resolved`` when it breaks.
 
     ``samples`` needs columns (``by``, ``window_end``, ``breach``), at most one row per key and step. A missing sample is
-    a break. The event-time timeout resolves an alert whose samples stop coming.
+    a break. The event-time timeout resolves an alert whose samples stop coming. Samples come from a table that
+    ``stream_error_rate`` or ``stream_slow_p95`` keeps: an append-mode stream takes no state after an aggregate.
     """
     hold, step = minutes * 60, step_minutes * 60
 
@@ -60,6 +63,7 @@ def alert_for(samples: DataFrame, by: str = "source", minutes: int = 5, step_min
 
     return (
         samples.select(by, "window_end", "breach")
+        .withWatermark("window_end", watermark)
         .groupBy(by)
         .applyInPandasWithState(update, ALERT_SCHEMA, _ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
