@@ -59,7 +59,7 @@ VENDOR_SHAPES = [
 # Words of summary and header lines.
 SUMMARY_WORDS = r"subtotal|total|tax|vat|shipping|discount|amount due|balance|payment"
 HEADER_WORDS = r"\b(?:DESCRIPTION|ITEM|QTY|PRICE|AMOUNT|TOTAL)"
-POLISH_SKIP = r"(?i)produkt|usługa|towar|nazwa|suma|razem|kwota"
+POLISH_SKIP = r"(?i)produkt|usługa|towar|nazwa|suma|razem|kwota|^[ \t]*vat\b"
 SECTION_START = r"item|description|product|groceries"
 SECTION_END = r"subtotal|total|tax|amount due|balance"
 
