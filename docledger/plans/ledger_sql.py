@@ -17,8 +17,8 @@ inv AS (SELECT o_orderkey AS doc_id, 'INV-' || lpad(CAST(o_orderkey AS VARCHAR),
   CASE o_orderpriority WHEN '2-HIGH' THEN 14 WHEN '3-MEDIUM' THEN 30 END AS days,
   CASE o_orderpriority WHEN '1-URGENT' THEN CAST(o_orderdate AS DATE) + 7 WHEN '5-LOW' THEN CAST(o_orderdate AS DATE) + 400
     WHEN '2-HIGH' THEN CAST(o_orderdate AS DATE) + 14 WHEN '3-MEDIUM' THEN CAST(o_orderdate AS DATE) + 30 END AS due_date,
-  CASE o_orderkey % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'es' WHEN 3 THEN 'fr' ELSE 'pl' END AS lang,
-  CASE o_orderkey % 5 WHEN 0 THEN 'USD' WHEN 4 THEN 'PLN' ELSE 'EUR' END AS currency,
+  CASE coalesce(c_nationkey, 0) % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'es' WHEN 3 THEN 'fr' ELSE 'pl' END AS lang,
+  CASE coalesce(c_nationkey, 0) % 5 WHEN 0 THEN 'USD' WHEN 4 THEN 'PLN' ELSE 'EUR' END AS currency,
   s_name AS seller_name, CASE WHEN s_name IS NOT NULL THEN 'SU' || lpad(CAST(sk AS VARCHAR), 8, '0') END AS seller_tax_id,
   CASE WHEN s_name IS NOT NULL THEN 's' || sk || '@example.com' END AS seller_email, ns.n_name AS seller_address,
   c_name AS buyer_name, CASE WHEN c_mktsegment <> 'FURNITURE' THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS buyer_tax_id,

@@ -96,6 +96,12 @@ def _by_language(options: dict[str, Column], lang: Column) -> Column:
     return out
 
 
+def buyer_language(nation_key: Column) -> Column:
+    """Language an invoice is written in: that of the buyer's nation, nations taking the languages in turn."""
+    turn = F.pmod(F.coalesce(nation_key, F.lit(0)), F.lit(len(LANGUAGES)))
+    return F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (turn + 1).cast("int"))
+
+
 def ledger_invoices(
     orders: DataFrame, totals: DataFrame, customer: DataFrame, supplier: DataFrame, nation: DataFrame
 ) -> DataFrame:
@@ -114,14 +120,14 @@ def ledger_invoices(
     ).join(nations, "n_nationkey", "left").withColumnRenamed("n_name", "s_nation").drop("n_nationkey")
     buyer = customer.select(
         F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey")
-    ).join(nations, "n_nationkey", "left").withColumnRenamed("n_name", "c_nation").drop("n_nationkey")
+    ).join(nations, "n_nationkey", "left").withColumnRenamed("n_name", "c_nation").withColumnRenamed("n_nationkey", "c_nationkey")
     base = (
         orders.withColumn("doc_id", F.col("o_orderkey"))
         .join(totals, "doc_id", "left")
         .join(buyer, "o_custkey", "left")
         .join(seller, "supplier_id", "left")
     )
-    lang = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (F.col("doc_id") % 5 + 1).cast("int"))
+    lang = buyer_language(F.col("c_nationkey"))
     null = F.lit(None)
     cust = F.col("o_custkey").cast("string")
     stated = F.when(status == "P", _dec(F.col("o_totalprice")).cast(MONEY)).otherwise(
@@ -192,20 +198,18 @@ def ledger_invoices(
     )
 
 
-def _line_text(lang: Column) -> Column:
-    """One item line per language layout."""
-    qty, price = F.col("quantity").cast("string"), F.col("unit_price").cast("string")
-    amount = F.col("amount").cast("string")
+def _line_text(entry: Column, lang: Column) -> Column:
+    """One item line in the layout of its language."""
+    qty, price = entry["quantity"].cast("string"), entry["unit_price"].cast("string")
+    amount, description = entry["amount"].cast("string"), entry["description"]
 
     def comma(c: Column) -> Column:
         return F.translate(c, ".", ",")
 
-    columns = F.concat_ws("   ", F.col("description"), qty, price, amount)
-    factor = F.concat_ws(
-        " ", comma(qty), F.lit("x"), F.col("description"), comma(price), F.lit("EUR"), comma(amount)
-    )
-    rate = F.concat(F.col("tax_rate").cast("int").cast("string"), F.lit("%"))
-    polish = F.concat_ws("   ", F.col("description"), comma(price), comma(qty), rate, comma(amount))
+    columns = F.concat_ws("   ", description, qty, price, amount)
+    factor = F.concat_ws(" ", comma(qty), F.lit("x"), description, comma(price), F.lit("EUR"), comma(amount))
+    rate = F.concat(entry["tax_rate"].cast("int").cast("string"), F.lit("%"))
+    polish = F.concat_ws("   ", description, comma(price), comma(qty), rate, comma(amount))
     return F.when(lang == "en", columns).when(lang == "pl", polish).otherwise(factor)
 
 
@@ -216,7 +220,6 @@ def render_documents(invoices: DataFrame, items: DataFrame, totals: DataFrame, p
     as it needs, so that no task ever holds an order that owns a large share of the ledger. Every page repeats the
     header and the totals, as printed invoices do, and can therefore be read on its own.
     """
-    lang = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (F.col("doc_id") % 5 + 1).cast("int"))
     pages = F.ceil(F.col("n_items") / page_lines).cast("int")
     long_docs = totals.filter(F.col("n_items") > page_lines).select("doc_id", pages.alias("_pages"))
     numbered = items.withColumn("_row", F.monotonically_increasing_id())
@@ -227,16 +230,14 @@ def render_documents(invoices: DataFrame, items: DataFrame, totals: DataFrame, p
         placed.select(
             "doc_id",
             page.alias("page"),
-            F.struct(
-                "line_number", "item_code", "quantity", "unit_price", "amount", "tax_rate",
-                _line_text(lang).alias("line"),
-            ).alias("entry"),
-        )
+            F.struct("line_number", "item_code", "quantity", "unit_price", "amount", "tax_rate", "description").alias("entry"),
+        )
         .groupBy("doc_id", "page")
         .agg(F.sort_array(F.collect_list("entry")).alias("entries"))
-        .select("doc_id", "page", F.array_join(F.transform("entries", lambda e: e["line"]), "\n").alias("body"))
     )
     joined = invoices.join(body, "doc_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    rows = F.transform("entries", lambda e: _line_text(e, F.col("language")))
+    joined = joined.withColumn("body", F.array_join(rows, "\n"))
     return joined.select(
         "doc_id",
         "page",
