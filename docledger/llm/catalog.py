@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docledger.llm.bpe import op1_bpe
+from docledger.llm.decontaminate import OP6_SQL, op6_decontaminate
+from docledger.llm.langid import op2_language
+from docledger.llm.licenses import op5_licenses
+from docledger.llm.quality import op3_quality
+from docledger.llm.simhash import op4_simhash
+from docledger.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
+    "op4_simhash": op4_simhash,
+    "op5_licenses": op5_licenses,
+    "op6_decontaminate": op6_decontaminate,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontaminate": OP6_SQL,
+}
