@@ -28,12 +28,12 @@ MAX_LABELLED = 24_000
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 SHARDS = 8
-ROUNDS = 3
+ROUNDS = 4
 LEAST_TEXTS = 3
 # Learning rate, its offset, and the weights of the two penalties.
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 0.5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
 # Bytes that a stem keeps of a word.
-STEMS = (6, 8)
+STEMS = (4, 6)
 THRESHOLD = 0.3
 
 
