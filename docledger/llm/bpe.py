@@ -15,14 +15,13 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -50,7 +49,6 @@ _CAPITALS = "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isupper() and c
 _NOT_PLAIN = re.compile(f"[^\x00-\x1b\x20-\x7f{_PLAIN_LETTERS}{_CAPITALS}]")
 # Letters come first: no contraction starts with one, so the order does not matter, and most pieces are words.
 _PLAIN_PIECE = re.compile(f"[a-z{_PLAIN_LETTERS}]+|{'|'.join(CONTRACTIONS)}|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9{_PLAIN_LETTERS}]+")
-_ANY_PIECE = regex.compile(rf"{'|'.join(CONTRACTIONS)}|\p{{L}}+|\p{{N}}|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
 
 
 def _byte_symbols() -> list[str]:
@@ -86,6 +84,8 @@ class Encoder:
         self.strings = [""] * (max([*self.ids.values(), *self.special.values()]) + 1)
         for text, at in [*self.ids.items(), *self.special.items()]:
             self.strings[at] = text
+        self._library = tokenizers.Tokenizer.from_file(self.path)
+        self._byte_of = {c: b for b, c in enumerate(_byte_symbols())}
         self._bytes = [self.ids[c] for c in _byte_symbols()]
         self._last = [self.ids[c + self.suffix] for c in _byte_symbols()]
         self._splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -148,12 +148,12 @@ class Encoder:
             return out
         return self._cut(text)
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
+    def _cut(self, text: str) -> list[str]:
         if not _NOT_PLAIN.search(text):
             return _PLAIN_PIECE.findall(text.lower())
-        # Character by character: a capital sigma has one lower-case form, wherever it stands.
-        return _ANY_PIECE.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        # What is a letter, a number or a blank depends on the version of Unicode: the library's own tables decide.
+        cut = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        return [bytes(map(self._byte_of.__getitem__, piece)).decode() for piece, _ in cut]
 
     def places(self, pieces: list[str]) -> list[int]:
         """Memo places of the pieces, encoding those not met before."""

@@ -42,10 +42,8 @@ class LibraryEncoder(Encoder):
     """Encodes the pieces that it has not met before with the model of the tokenizers library."""
 
     def __post_init__(self) -> None:
-        import tokenizers
-
-        self._model = tokenizers.Tokenizer.from_file(self.path).model
         super().__post_init__()
+        self._model = self._library.model
         self._symbols = [self.strings[i] for i in self._bytes]
 
     def merge(self, piece: str) -> list[int]:
