@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import sys
+import tempfile
 import time
 
+from pyspark.sql import SparkSession
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from docledger.plans import catalog  # noqa: E402
@@ -34,12 +38,32 @@ HEADLINE = [
     "conv_summary",
     "error_rate_5m",
     "stream_hourly",
+    "render_documents",
+    "xml_roundtrip",
+    "html_report",
 ]
+# Tables whose rows are read by CPU-bound work.
+SPREAD = ["orders", "documents", "pages"]
+
+
+def spread(spark: SparkSession, folder: str, cores: int) -> str:
+    """The tables with at least ``cores`` files each, as a table of any size has: one small file would be one task."""
+    out = tempfile.mkdtemp(prefix="spark-bench-")
+    for path in glob.glob(f"{folder}/*.parquet"):
+        name = os.path.basename(path)
+        if name.removesuffix(".parquet") in SPREAD:
+            spark.read.parquet(path).repartition(cores).write.parquet(f"{out}/{name}")
+        else:
+            os.symlink(os.path.abspath(path), f"{out}/{name}")
+    return out
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    cores = os.environ.get("BENCH_CPUS", "8")
+    spark = local_session(cores)
+    sf = os.path.basename(folder.rstrip("/")).removeprefix("sf")
+    folder = spread(spark, folder, int(cores))
     # One small query first: the numbers below are queries, not the start of the virtual machine.
     catalog.QUERIES["job_counts"](spark, folder).collect()
     took: dict[str, float] = {}
@@ -57,7 +81,7 @@ def main() -> None:
                 "value": round(sum(took.values()), 3),
                 "unit": "sec",
                 "queries": took,
-                "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
+                "sf": sf,
                 "documents_per_second": round(docs / took["run_corpus"], 1),
                 "line_items_per_second": round(lines / took["inv_items"], 1),
             }

@@ -51,11 +51,6 @@ def all_numbers(col: Column) -> Column:
     return F.transform(found, lambda n: F.translate(n, ",", ".").try_cast("double"))
 
 
-def near_abs(a: Column, b: Column, tol: float) -> Column:
-    """|a-b| <= tol in decimal arithmetic; NULL if either side is missing."""
-    return F.abs(a - b) <= F.lit(tol).cast(MONEY)
-
-
 def near_rel(a: Column, b: Column, tol: float = 0.01) -> Column:
     """|a-b| within ``tol`` of the larger magnitude; two zeros are equal; missing values are unequal."""
     biggest = F.greatest(F.abs(a), F.abs(b))

@@ -80,8 +80,3 @@ def parse_date(col: Column) -> Column:
 def parse_date_formats(col: Column, formats: Sequence[str]) -> Column:
     """First of the given Spark datetime patterns that fits."""
     return F.coalesce(*[F.try_to_date(col, f) for f in formats])
-
-
-def add_days(issue: Column, days: Column) -> Column:
-    """Issue date plus a number of days; NULL if either is missing."""
-    return F.date_add(issue, days.try_cast("int"))

@@ -48,13 +48,13 @@ def sanitize_text(col: Column, max_len: int | None = None) -> Column:
     return F.regexp_replace(kept, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
 
 
-def escape_markup(col: Column, max_len: int = MAX_MARKUP) -> Column:
-    """Struct of the escaped text and an error: text over the limit is refused, not cut."""
+def escape_markup(col: Column, max_len: int | None = None) -> Column:
+    """Struct of the escaped text and an error. With a ``max_len`` (such as :data:`MAX_MARKUP`) longer text is refused, not cut."""
     out = col
     # Character and its entity.
     for char, entity in [("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"), ("`", "&#96;")]:
         out = F.replace(out, F.lit(char), F.lit(entity))
-    too_long = F.length(col) > max_len
+    too_long = F.lit(False) if max_len is None else F.length(col) > max_len
     return F.struct(
         F.when(~F.coalesce(too_long, F.lit(False)), F.coalesce(out, F.lit(""))).alias("escaped"),
         F.when(too_long, F.lit(f"longer than {max_len} characters")).alias("error"),
@@ -115,7 +115,7 @@ def strip_item_noise(col: Column) -> Column:
     """Older description cleaner: also removes "2 x 1.50" factors, unit words and prices."""
     s = F.regexp_replace(col, r"[0-9]+\s*[xX×]\s*[0-9]+(?:[.,][0-9]+)?", " ")
     s = F.regexp_replace(s, r"(?i)\b(?:pcs?|ea|units?|hrs?|hours?|kg|lbs?)\b\.?", " ")
-    s = F.regexp_replace(s, r"[$€£¥]\s*[0-9]+(?:[.,][0-9]+)*", " ")
+    s = F.regexp_replace(s, r"[$€£¥]\s*[0-9]+(?:[.,][0-9]+){0,6}", " ")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 

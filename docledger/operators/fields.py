@@ -23,7 +23,10 @@ DATE = (
     rf"|{_MON}[ -]+[0-9]{{1,2}}(?:st|nd|rd|th)?[, -]+[0-9]{{4}}"
     r"|[0-9]{8}"
 )
-NUM = r"[0-9]+(?:[.,][0-9]+)*"
+# Longest payment terms taken for such, in days.
+MAX_TERMS = 3_650
+
+NUM = r"[0-9]{1,15}(?:[.,][0-9]{1,15}){0,6}"
 PRICE = rf"[€$£¥]?[ \t]*{NUM}"
 
 NUMBER_PATTERNS = [
@@ -72,7 +75,7 @@ REGISTRATION = r"(?i)\b(?:company\s+reg|reg\.?\s+no\.?|registration(?:\s+number)
 PHONE = r"(?i)\b(?:phone|tel|telephone)\.?[ \t]*:[ \t]*([0-9+()][0-9+() .-]{5,18}[0-9])"
 MAIL = r"(?i)\b(?:e-?mail)[ \t]*:[ \t]*([a-z0-9_.+-]+@[a-z0-9-]+\.[a-z0-9.-]*[a-z0-9])"
 
-EMAIL_ALL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL_ALL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,}"
 PHONE_ALL = r"\+?[0-9][0-9 ()-]{6,}[0-9]"
 TAX_ID_ALL = r"\b[A-Z]{2}[0-9]{8,12}\b|\b[0-9]{3}-[0-9]{3}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{10}\b"
 DATE_ALL = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}\b"
@@ -98,6 +101,12 @@ def find_all_dates(text: Column) -> Column:
     return all_of(text, DATE_ALL)
 
 
+def terms_days(raw: Column) -> Column:
+    """Days of payment terms; NULL for what no terms grant, so that a due date always lies in the calendar."""
+    days = raw.try_cast("int")
+    return F.when(days.between(0, MAX_TERMS), days)
+
+
 def with_dates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``issue_date`` and ``due_date``.
 
@@ -110,7 +119,7 @@ def with_dates(docs: DataFrame, text: str = "text") -> DataFrame:
             "_issue": F.coalesce(first_of(t, ISSUE_PATTERNS), group(t, ANY_DATE)),
             "_any": group(t, ANY_DATE),
             "_due": first_of(t, DUE_PATTERNS),
-            "_days": first_of(t, NET_DAYS_PATTERNS).try_cast("int"),
+            "_days": terms_days(first_of(t, NET_DAYS_PATTERNS)),
         }
     )
     parsed = raw.withColumns(
@@ -150,20 +159,15 @@ def complete_totals(df: DataFrame) -> DataFrame:
     sub, tax, total, rate = F.col("subtotal"), F.col("tax_amount"), F.col("total"), F.col("tax_rate")
     filled = df.withColumns(
         {
-            "total": F.coalesce(total, (sub + tax).cast(MONEY)),
-            "tax_amount": F.coalesce(tax, (total - sub).cast(MONEY)),
-            "subtotal": F.coalesce(sub, (total - tax).cast(MONEY)),
+            "total": F.coalesce(total, (sub + tax).try_cast(MONEY)),
+            "tax_amount": F.coalesce(tax, (total - sub).try_cast(MONEY)),
+            "subtotal": F.coalesce(sub, (total - tax).try_cast(MONEY)),
         }
     )
-    share = F.try_divide(tax * 100, sub).cast(MONEY)
+    share = F.try_divide(tax * 100, sub).try_cast(MONEY)
     return filled.withColumn("tax_rate", F.coalesce(rate, F.when((sub > 0) & (tax > 0), share)))
 
 
-def net_from_gross(gross: Column, rate: Column) -> Column:
-    """Net amount implied by a gross amount and a percentage rate."""
-    return F.try_divide(gross * 100, rate + 100).cast(MONEY)
-
-
 def last_amount_total(text: Column | str) -> Column:
     """Total as the last match of the first amount pattern that occurs."""
     raw = last_of(
@@ -171,7 +175,7 @@ def last_amount_total(text: Column | str) -> Column:
         [
             rf"(?i)\b(?:total|amount due|balance due)\b[^0-9\n]{{0,40}}({NUM})",
             rf"[$€£¥][ \t]*({NUM})",
-            r"\b([0-9]+(?:,[0-9]{3})*\.[0-9]{2})\b",
+            r"\b([0-9]+(?:,[0-9]{3}){0,5}\.[0-9]{2})\b",
         ],
     )
     return F.translate(raw, ",", "").try_cast(MONEY)
@@ -256,7 +260,7 @@ def payment_info(text: Column | str) -> Column:
     """Struct of terms, days, method, status and bank details."""
     return F.struct(
         payment_terms(text).alias("terms"),
-        first_of(text, NET_DAYS_PATTERNS).try_cast("int").alias("terms_days"),
+        terms_days(first_of(text, NET_DAYS_PATTERNS)).alias("terms_days"),
         first_of(
             text,
             [
@@ -291,7 +295,7 @@ def with_order_metadata(docs: DataFrame, text: str = "text") -> DataFrame:
     return raw.withColumns(
         {
             "delivery_date": parse_date(F.col("_delivery")),
-            "discount": F.when(share, (amount * subtotal / 100).cast(MONEY)).otherwise(amount),
+            "discount": F.when(share, (amount * subtotal / 100).try_cast(MONEY)).otherwise(amount),
             "shipping": parse_amount(F.col("_shipping")),
         }
     ).drop("_delivery", "_discount", "_shipping")

@@ -22,7 +22,7 @@ SEP = "\x01"
 PARTS = ["item_code", "description", "quantity", "unit", "unit_price", "net_amount", "tax_rate", "tax_amount", "amount", "currency"]
 NUMERIC = {"quantity", "unit_price", "net_amount", "tax_rate", "tax_amount", "amount"}
 
-N = r"[0-9]+(?:[.,][0-9]+)*"
+N = r"[0-9]{1,15}(?:[.,][0-9]{1,15}){0,6}"
 P = rf"[€$£¥]?[ \t]*({N})"
 D = r"([\p{L}\p{N}_][\p{L}\p{N}_ \t.,()&+'/-]*?)"
 S = r"[ \t]+"
@@ -36,7 +36,7 @@ GENERIC_SHAPES = [
 ]
 ENGLISH_SHAPES = [
     (rf"^[ \t]*({N})[ \t]*[xX×][ \t]*([^@\n]+?)[ \t]*@[ \t]*{P}[ \t]*=[ \t]*{P}[ \t]*$", ["quantity", "description", "unit_price", "amount"]),
-    (rf"^[ \t]*([^\n]{{4,}}?[\p{{L}})]){S}[€$£¥]?[ \t]*([0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]{{2}})?)[ \t]*$", ["description", "amount"]),
+    (rf"^[ \t]*([^\n]{{4,}}?[\p{{L}})]){S}[€$£¥]?[ \t]*([0-9]+(?:,[0-9]{{3}}){{0,5}}(?:\.[0-9]{{2}})?)[ \t]*$", ["description", "amount"]),
 ]
 LANGUAGE_SHAPES = {
     lang: [(rf"^[ \t]*({N})[ \t]+[xX*][ \t]+([^\n]+?){S}({N}){S}([A-Z]{{3}}){S}({N})[ \t]*$", ["quantity", "description", "unit_price", "currency", "amount"])]
@@ -48,7 +48,7 @@ LANGUAGE_SHAPES["pl"] = [
     (rf"^[ \t]*([^\n]+?)[ \t]{{2,}}({N})[ \t]*([A-Z]{{3}})[ \t]*$", ["description", "amount", "currency"]),
     (rf"^[ \t]*([^\n]+?)[ \t]{{2,}}([0-9]+[.,][0-9]{{2}})[ \t]*$", ["description", "amount"]),
 ]
-_SIGNED = r"(\(?-?[0-9]+(?:[.,][0-9]+)*\)?)"
+_SIGNED = r"(\(?-?[0-9]{1,15}(?:[.,][0-9]{1,15}){0,6}\)?)"
 VENDOR_SHAPES = [
     (rf"^[ \t]*([0-9]+){S}([^\n]+?){S}([0-9]+){S}([A-Z]{{2}}){S}{_SIGNED}{S}{_SIGNED}{S}([0-9.,]+)%{S}{_SIGNED}{S}{_SIGNED}[ \t]*$",
      ["item_code", "description", "quantity", "unit", "unit_price", "net_amount", "tax_rate", "tax_amount", "amount"]),
@@ -124,11 +124,11 @@ def _raw(parts: Column, signed: bool, clean: bool) -> Column:
 def _item(raw: Column) -> Column:
     """Item struct with quantity, price and amount derived where they are missing."""
     quantity = F.coalesce(raw["quantity"], F.lit(1).cast(MONEY))
-    with_tax = (raw["net_amount"] + F.coalesce(raw["tax_amount"], F.lit(0).cast(MONEY))).cast(MONEY)
+    with_tax = (raw["net_amount"] + F.coalesce(raw["tax_amount"], F.lit(0).cast(MONEY))).try_cast(MONEY)
     amount = F.coalesce(raw["amount"], with_tax)
     values = {p: raw[p] if p in NUMERIC else F.nullif(raw[p], F.lit("")) for p in PARTS}
     values["quantity"], values["amount"] = quantity, amount
-    values["unit_price"] = F.coalesce(raw["unit_price"], F.try_divide(amount, quantity).cast(MONEY))
+    values["unit_price"] = F.coalesce(raw["unit_price"], F.try_divide(amount, quantity).try_cast(MONEY))
     return F.struct(*[values[p].alias(p) for p in PARTS])
 
 
@@ -258,8 +258,8 @@ def _header_item(cells: Column, names: Column) -> Column:
     known = {
         "description": F.nullif(F.trim(value("description")), F.lit("")),
         "quantity": F.coalesce(quantity, F.lit(1).cast(MONEY)),
-        "unit_price": F.coalesce(price, F.try_divide(total, quantity).cast(MONEY)),
-        "amount": F.coalesce(total, (quantity * price).cast(MONEY)),
+        "unit_price": F.coalesce(price, F.try_divide(total, quantity).try_cast(MONEY)),
+        "amount": F.coalesce(total, (quantity * price).try_cast(MONEY)),
     }
     empty = {p: F.lit(None).cast(MONEY if p in NUMERIC else "string") for p in PARTS}
     return F.struct(*[{**empty, **known}[p].alias(p) for p in PARTS])
@@ -306,7 +306,7 @@ def items_lang(arr: Column, lang: str) -> Column:
         items,
         lambda i: i.withField(
             "quantity",
-            F.when(F.abs(i["quantity"] - whole(i["quantity"])) < 0.01, whole(i["quantity"]).cast(MONEY)).otherwise(
+            F.when(F.abs(i["quantity"] - whole(i["quantity"])) < 0.01, whole(i["quantity"]).try_cast(MONEY)).otherwise(
                 i["quantity"]
             ),
         ),
@@ -320,7 +320,11 @@ def items_by_language(arr: Column, lang: Column, default: str = "en") -> Column:
         if code == default:
             continue
         out = F.when(lang == code, items_lang(arr, code)) if out is None else out.when(lang == code, items_lang(arr, code))
-    return out.otherwise(items_by_lines(arr) if default == "en" else items_lang(arr, default))
+    if default != "en":
+        return out.otherwise(items_lang(arr, default))
+    # English rows below a header line, else rows that fit an English shape on their own; an empty list if there is neither.
+    below = F.get(F.filter(F.array(items_by_lines(arr)), lambda found: F.size(found) > 0), F.lit(0))
+    return out.otherwise(F.coalesce(below, items_lang(arr, "en")))
 
 
 def items_en(arr: Column) -> Column:
@@ -425,7 +429,7 @@ def allocate_missing(items: DataFrame, totals: DataFrame, gross: str = "total",
     hold a whole document in one task.
     """
     known = items.groupBy(key).agg(
-        F.sum("amount").cast(MONEY).alias("_known"), F.count_if(F.col("amount").isNull()).alias("_missing")
+        F.sum("amount").try_cast(MONEY).alias("_known"), F.count_if(F.col("amount").isNull()).alias("_missing")
     )
     share = (
         known.filter("_missing > 0")
@@ -433,14 +437,14 @@ def allocate_missing(items: DataFrame, totals: DataFrame, gross: str = "total",
         .select(
             key,
             F.try_divide(F.col("_gross") - F.coalesce("_known", F.lit(0).cast(MONEY)), F.col("_missing"))
-            .cast(MONEY)
+            .try_cast(MONEY)
             .alias("_share"),
         )
     )
     amount = F.coalesce("amount", "_share")
     return (
         items.join(share, key, "left")
-        .withColumn("unit_price", F.coalesce("unit_price", F.try_divide(amount, F.col("quantity")).cast(MONEY)))
+        .withColumn("unit_price", F.coalesce("unit_price", F.try_divide(amount, F.col("quantity")).try_cast(MONEY)))
         .withColumn("amount", amount)
         .drop("_share")
     )
@@ -449,10 +453,10 @@ def allocate_missing(items: DataFrame, totals: DataFrame, gross: str = "total",
 def derive_item_values(items: DataFrame) -> DataFrame:
     """Fill quantity, price, amount, tax and net from each other."""
     q = F.coalesce("quantity", F.lit(1).cast(MONEY))
-    price = F.coalesce("unit_price", F.try_divide(F.col("amount"), q).cast(MONEY))
-    amount = F.coalesce("amount", (price * q).cast(MONEY))
-    tax = F.coalesce("tax_amount", (amount * F.col("tax_rate") / 100).cast(MONEY))
-    net = F.coalesce("net_amount", (amount - F.coalesce(tax, F.lit(0).cast(MONEY))).cast(MONEY))
+    price = F.coalesce("unit_price", F.try_divide(F.col("amount"), q).try_cast(MONEY))
+    amount = F.coalesce("amount", (price * q).try_cast(MONEY))
+    tax = F.coalesce("tax_amount", (amount * F.col("tax_rate") / 100).try_cast(MONEY))
+    net = F.coalesce("net_amount", (amount - F.coalesce(tax, F.lit(0).cast(MONEY))).try_cast(MONEY))
     return items.withColumns({"_q": q, "_p": price, "_a": amount, "_t": tax, "_n": net}).select(
         *[
             F.col({"quantity": "_q", "unit_price": "_p", "amount": "_a", "tax_amount": "_t", "net_amount": "_n"}.get(c, c)).alias(c)
@@ -463,14 +467,14 @@ def derive_item_values(items: DataFrame) -> DataFrame:
 
 def items_rollup(items: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document: subtotal, tax, total and count; partially aggregated, so one huge document is no hot spot."""
-    value = F.coalesce("amount", (F.col("unit_price") * F.col("quantity")).cast(MONEY))
+    value = F.coalesce("amount", (F.col("unit_price") * F.col("quantity")).try_cast(MONEY))
     zero = F.lit(0).cast(MONEY)
     out = items.groupBy(key).agg(
-        F.coalesce(F.sum(value).cast(MONEY), zero).alias("subtotal"),
-        F.coalesce(F.sum("tax_amount").cast(MONEY), zero).alias("tax_amount"),
+        F.coalesce(F.sum(value).try_cast(MONEY), zero).alias("subtotal"),
+        F.coalesce(F.sum("tax_amount").try_cast(MONEY), zero).alias("tax_amount"),
         F.count("*").alias("n_items"),
     )
-    return out.withColumn("total", (F.col("subtotal") + F.col("tax_amount")).cast(MONEY))
+    return out.withColumn("total", (F.col("subtotal") + F.col("tax_amount")).try_cast(MONEY))
 
 
 def refund_totals(totals: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:

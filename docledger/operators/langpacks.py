@@ -16,11 +16,14 @@ from docledger.functions.amounts import parse_amount, parse_amount_signed
 from docledger.functions.dates import parse_date
 from docledger.functions.regexes import all_of, any_case, first_of, first_sql, group, let
 from docledger.functions.text import lines
+from docledger.operators.fields import terms_days
 from docledger.operators.items import extract_items, is_refund
 from docledger.schemas import MONEY
 
 _D = r"[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}|[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}"
-_N = r"[0-9]+(?:[ .,][0-9]+)*"
+# An amount: groups of three digits parted by blanks, or digits with points and commas. Repetitions are bounded, so that no text
+# can exhaust the matcher's stack.
+_N = r"(?:[0-9]{1,3}(?: [0-9]{3}){1,5}(?:[.,][0-9]{1,4})?\b|[0-9]{1,15}(?:[.,][0-9]{1,15}){0,6})"
 _LINE = r"[ \t]*([^\n]+)"
 _IBAN = r"([A-Z]{2}[ ]?[0-9]{2}[A-Z0-9 ]{10,32})"
 _BIC = r"([A-Z0-9]{8,11})\b"
@@ -38,7 +41,7 @@ PACKS: dict[str, dict[str, list[str]]] = {
         "buyer_name": [rf"(?:^|\n)[ \t]*(?:bill|invoice|sold)\s+to[ \t]*:{_LINE}"],
         "buyer_tax_id": [r"\b(?:customer|buyer)\s+(?:tax\s+id|vat)[ \t:]*([A-Z0-9-]+)"],
         "net": [rf"\b(?:sub-?total|total\s+before\s+tax)[ \t:]*[$€£¥]?[ \t]*({_N})"],
-        "tax": [rf"\b(?:sales\s+tax|tax|vat|gst)(?:[ \t]+amount)?[ \t]*(?:\([0-9.,]+%\))?[ \t:]*[$€£¥]?[ \t]*([0-9]+(?:[.,][0-9]+)*[.,][0-9]{{2}})"],
+        "tax": [rf"\b(?:sales\s+tax|tax|vat|gst)(?:[ \t]+amount)?[ \t]*(?:\([0-9.,]+%\))?[ \t:]*[$€£¥]?[ \t]*([0-9]{{1,15}}(?:[.,][0-9]{{1,15}}){{0,6}}[.,][0-9]{{2}})"],
         "rate": [r"\b(?:tax|vat|gst)[ \t:]*\(?([0-9]+(?:\.[0-9]+)?)[ \t]*%"],
         "total": [rf"\b(?:grand\s+total|total|amount\s+due|balance\s+due)[ \t:]*[$€£¥]?[ \t]*({_N})"],
         "terms": [rf"\b(?:payment\s+terms|terms)[ \t]*:{_LINE}"],
@@ -168,7 +171,7 @@ def extract_pack(docs: DataFrame, lang: Column | str, text: str = "text", keep:
         {
             "issue_date": parse_date(F.col("_issue_date")),
             "_due": parse_date(F.col("_due_date")),
-            "_days": F.col("_days").try_cast("int"),
+            "_days": terms_days(F.col("_days")),
             "_net": money("_net"),
             "_tax": money("_tax"),
             "_rate": money("_rate"),
@@ -178,7 +181,7 @@ def extract_pack(docs: DataFrame, lang: Column | str, text: str = "text", keep:
     )
     # Polish documents without labelled totals: the largest PLN amount, and the sum of all as net.
     largest = F.array_max("_pln")
-    summed = F.aggregate("_pln", F.lit(0).cast(MONEY), lambda acc, a: (acc + a).cast(MONEY))
+    summed = F.aggregate("_pln", F.lit(0).cast(MONEY), lambda acc, a: (acc + a).try_cast(MONEY))
     some = F.size("_pln") > 0
     keys = [c for c in ("doc_id", "page") if c in docs.columns]
 
@@ -239,7 +242,7 @@ _VENDOR_NUMBERS = [
     r"(?i)\b(?:credit\s+note|credit|refund|reference)\s*(?:number|#)\s*[:#]?\s*([A-Z0-9-]*[0-9][A-Z0-9-]*)",
     r"(?i)\b(?:transaction|document)\s+(?:id|number)\s*[:#]?\s*([A-Z0-9-]*[0-9][A-Z0-9-]*)",
 ]
-_SIGNED = r"(\(?-?[0-9]+(?:[.,][0-9]+)*\)?)"
+_SIGNED = r"(\(?-?[0-9]{1,15}(?:[.,][0-9]{1,15}){0,6}\)?)"
 
 
 def generic_number_token(text: Column) -> Column:
@@ -311,21 +314,6 @@ def extract_vendor(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def vendor_language(text: Column) -> Column:
-    """English if the vendor's wording shows three times, Estonian if its place names outnumber it, else English."""
-    # Wordings of the two languages.
-    english = [
-        "Adobe Systems Software Ireland", "Invoice Information", "Invoice Number", "Invoice Date", "Payment Terms",
-        "Purchase Order", "PRODUCT DESCRIPTION", "GRAND TO[TU]AL",
-    ]
-    estonian = ["TALLINN", "Pärnu", "EESTI|ESTONIA"]
-
-    def score(patterns: list[str]) -> Column:
-        return sum((F.rlike(text, F.lit(f"(?iu){p}")).cast("int") for p in patterns), F.lit(0))
-
-    return F.when((score(english) < 3) & (score(estonian) > score(english)), "et").otherwise("en")
-
-
 # ---- European layout
 
 _NOT_A_NAME = r"(?i)vat|reg|iban|swift|phone|www|client"
@@ -343,15 +331,24 @@ def extract_european(docs: DataFrame, text: str = "text") -> DataFrame:
     def at(pattern: str) -> Column:
         return F.array_position(F.transform(arr, lambda x: F.rlike(x, F.lit(pattern))), F.lit(True)).cast("int")
 
-    tax_line = at(r"(?i)VAT\s+no\.?:")
     staged = staged.withColumns(
         {
-            "_tax_at": tax_line,
             "_client_at": at(r"(?i)^CLIENT$"),
             "_product_at": at(r"(?i)^Product/Service$"),
             "_sum_at": at(r"(?i)Sum without VAT|Thank you"),
         }
     )
+    # The client's block runs to the first blank line or to the item, however long it is.
+    after = F.slice(arr, F.col("_client_at") + 1, F.greatest(F.size(arr) - F.col("_client_at"), F.lit(0)))
+    staged = staged.withColumn("_after", F.when(F.col("_client_at") > 0, after))
+    staged = staged.withColumn("_client_end", F.array_position(F.transform("_after", lambda x: (x == "") | F.contains(x, F.lit("Product/Service"))), F.lit(True)).cast("int"))
+    last_client = F.col("_client_at") + F.when(F.col("_client_end") > 0, F.col("_client_end") - 1).otherwise(F.size("_after"))
+    # The seller's is the last tax-id line outside that block.
+    tax_lines = F.filter(
+        F.transform(arr, lambda x, i: F.when(F.rlike(x, F.lit(r"(?i)VAT\s+no\.?:")), i + 1)),
+        lambda i: i.isNotNull() & ~F.coalesce((i > F.col("_client_at")) & (i <= last_client) & (F.col("_client_at") > 0), F.lit(False)),
+    )
+    staged = staged.withColumn("_tax_at", F.coalesce(F.array_max(tax_lines), F.lit(0)).cast("int"))
 
     def slice_from(start: Column, stop: Column) -> Column:
         n = F.greatest(stop - start, F.lit(0))
@@ -359,11 +356,8 @@ def extract_european(docs: DataFrame, text: str = "text") -> DataFrame:
 
     above = slice_from(F.greatest(F.col("_tax_at") - 5, F.lit(1)), F.col("_tax_at"))
     seller = F.filter(above, lambda x: (x != "") & ~F.rlike(x, F.lit(_NOT_A_NAME)))
-    after_client = F.when(F.col("_client_at") > 0, F.slice(arr, F.col("_client_at") + 1, F.lit(12)))
-    client_end = F.array_position(
-        F.transform(after_client, lambda x: (x == "") | F.contains(x, F.lit("Product/Service"))), F.lit(True)
-    ).cast("int")
-    client = F.when(client_end > 1, F.slice(after_client, 1, client_end - 1)).when(client_end == 0, after_client)
+    client_end = F.col("_client_end")
+    client = F.when(client_end > 1, F.slice("_after", F.lit(1), client_end - 1)).when(client_end == 0, F.col("_after"))
     product = F.filter(
         slice_from(F.col("_product_at") + 1, F.col("_sum_at")),
         lambda x: (x != "") & ~F.rlike(x, F.lit(r"Price|Quantity|VAT|Sum")),
@@ -381,9 +375,9 @@ def extract_european(docs: DataFrame, text: str = "text") -> DataFrame:
             "_rate": F.coalesce(group(t, r"VAT\s+([0-9]+)%").try_cast(MONEY), F.lit(0).cast(MONEY)),
         }
     )
-    item_net = F.coalesce("_net", (F.col("_price") * F.col("_qty")).cast(MONEY))
+    item_net = F.coalesce("_net", (F.col("_price") * F.col("_qty")).try_cast(MONEY))
     net = F.coalesce("_net", item_net)
-    item_tax = (item_net * F.col("_rate") / 100).cast(MONEY)
+    item_tax = (item_net * F.col("_rate") / 100).try_cast(MONEY)
     keys = [c for c in ("doc_id", "page") if c in docs.columns]
     return staged.select(
         *keys,
@@ -394,17 +388,17 @@ def extract_european(docs: DataFrame, text: str = "text") -> DataFrame:
             F.when(F.contains(t, F.lit("EUR")), "EUR").when(F.contains(t, F.lit("PLN")), "PLN").otherwise("EUR"),
         ).alias("currency"),
         F.get("_seller", F.lit(0)).alias("seller_name"),
-        F.nullif(F.array_join(F.slice("_seller", 2, 4), ", "), F.lit("")).alias("seller_address"),
+        F.nullif(F.array_join(F.slice("_seller", F.lit(2), F.size("_seller")), ", "), F.lit("")).alias("seller_address"),
         group(F.try_element_at(arr, F.nullif(F.col("_tax_at"), F.lit(0))), r"(?i)VAT\s+no\.?:\s*([A-Z0-9]+)").alias("seller_tax_id"),
         F.get(plain_client, F.lit(0)).alias("buyer_name"),
-        F.nullif(F.array_join(F.slice(plain_client, 2, 10), ", "), F.lit("")).alias("buyer_address"),
+        F.nullif(F.array_join(F.slice(plain_client, F.lit(2), F.size(plain_client)), ", "), F.lit("")).alias("buyer_address"),
         group(F.array_join("_client", "\n"), r"(?i)VAT\s+no\.?:\s*([A-Z0-9]+)").alias("buyer_tax_id"),
         net.alias("subtotal"),
-        F.coalesce("_tax", F.when(F.col("_gross") > net, (F.col("_gross") - net).cast(MONEY))).alias("tax_amount"),
-        F.coalesce("_gross", (net + item_tax).cast(MONEY)).alias("total"),
+        F.coalesce("_tax", F.when(F.col("_gross") > net, (F.col("_gross") - net).try_cast(MONEY))).alias("tax_amount"),
+        F.coalesce("_gross", (net + item_tax).try_cast(MONEY)).alias("total"),
         F.array_join("_product", " ").alias("item_description"),
         F.col("_qty").alias("item_quantity"),
-        F.coalesce("_price", F.try_divide(item_net, F.col("_qty")).cast(MONEY)).alias("item_unit_price"),
+        F.coalesce("_price", F.try_divide(item_net, F.col("_qty")).try_cast(MONEY)).alias("item_unit_price"),
         item_net.alias("item_net"),
         item_tax.alias("item_tax"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,12 +126,22 @@ def rate_series(spark, d):
     return s.select(_t("window_start").alias("window_start"), "endpoint", "requests", "errors", _r("per_second").alias("per_second"))
 
 
-@query("job_list", f"WITH {_JOBS} SELECT job_id, status, {_ts('created_at')} AS created_at FROM jobs ORDER BY jobs.created_at DESC, job_id LIMIT 100")
+@query("job_list", f"WITH {_JOBS} SELECT job_id, status, {_ts('created_at')} AS created_at FROM jobs ")
 def job_list(spark, d):
-    j = js.job_list(act.jobs_from_events(_events(spark, d)), limit=100)
+    j = js.job_list(act.jobs_from_events(_events(spark, d)))
     return j.select("job_id", "status", _t("created_at").alias("created_at"))
 
 
+@query(
+    "retention_kept",
+    f"""WITH {_JOBS} SELECT job_id, status FROM jobs WHERE NOT (jobs.created_at < (SELECT max(created_at) FROM jobs) - INTERVAL 30 DAY AND status IN ('completed', 'failed'))""",
+)
+def retention_kept(spark, d):
+    jobs = act.jobs_from_events(_events(spark, d))
+    now = jobs.agg(F.max("created_at")).first()[0]
+    return js.retained(jobs, now).select("job_id", "status")
+
+
 @query("job_counts", f"WITH {_JOBS} SELECT count(*) AS total, count(*) FILTER (status IN ('pending', 'processing')) AS active FROM jobs")
 def job_counts(spark, d):
     return js.job_counts(act.jobs_from_events(_events(spark, d)))
@@ -217,18 +228,24 @@ def heartbeat_gaps(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder for a stream's output and checkpoint: in the shared folder of the session, local only without one."""
+    """A fresh folder for a stream's output and checkpoint, in the shared folder of the session.
+
+    Only a session in local mode may be without one: elsewhere executors would write to disks of their own.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        import uuid
-
-        return f"{shared}/docledger-{uuid.uuid4().hex}"
+        return f"{shared.rstrip('/')}/docledger-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="spark-docledger-")
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return sj.read_stream(spark, d, schema, glob="events.parquet")
+    # The table may be one file or a folder of part files; a file stream reads the files of a folder.
+    table = spark.read.parquet(f"{d}/events.parquet")
+    names = {row["p"] for row in table.select(F.input_file_name().alias("p")).distinct().limit(1).collect()}
+    whole = any(name.endswith("/events.parquet") for name in names)
+    return sj.read_stream(spark, d, table.schema, glob="events.parquet") if whole else sj.read_stream(spark, f"{d}/events.parquet", table.schema)
 
 
 def _finished(spark: SparkSession, stream: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from docledger.operators import validate as va
 from docledger.plans.ledger_sql import INV, dbl, text
 from docledger.plans.registry import query
 from docledger.schemas import MONEY
-from docledger.sources.files import read_table
 from docledger.sources.ledger import Ledger
 
 AS_OF = dt.date(2000, 1, 1)
@@ -390,7 +389,7 @@ def words_of(docs: DataFrame) -> DataFrame:
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return words_of(read_table(spark, f"{d}/documents.parquet"))
+    return words_of(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 @query(
@@ -435,7 +434,7 @@ def json_key_k(spark, d):
 
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, f"{d}/events.parquet")
+    e = spark.read.parquet(f"{d}/events.parquet")
     return e.select(
         "event_id", F.concat(F.lit('{"a": ['), F.col("props"), F.lit(', {"b": '), F.col("props"), F.lit('}], "t": "'), F.col("event_type"), F.lit('"}')).alias("doc")
     )

@@ -12,7 +12,7 @@ from docledger.operators import classify as cl
 from docledger.operators import fields, items as it, langpacks, rules
 from docledger.operators.consistency import check_all, check_summary, compare_with_reference, comparison_counts, unpivot
 from docledger.plans import pipeline
-from docledger.plans.ledger_sql import INV, LI, dbl, text
+from docledger.plans.ledger_sql import INV, INV_EN, LI, dbl, text
 from docledger.plans.registry import query
 from docledger.schemas import MONEY
 from docledger.sources import files, markup
@@ -35,7 +35,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _english(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).filter(F.col("language") == "en")
+    """Every document of the ledger, written in English."""
+    return Ledger(spark, d).render(language="en").withColumn("language", F.lit("en"))
 
 
 def _pack(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +101,7 @@ def pack_payment(spark, d):
 
 @query(
     "inv_header",
-    f"WITH {INV} SELECT doc_id, document_number, {text('issue_date')} AS issue_date FROM inv WHERE lang = 'en'",
+    f"WITH {INV_EN} SELECT doc_id, document_number, {text('issue_date')} AS issue_date FROM inv",
 )
 def inv_header(spark, d):
     docs = fields.with_dates(_english(spark, d))
@@ -109,7 +110,7 @@ def inv_header(spark, d):
 
 @query(
     "inv_due_date",
-    f"WITH {INV} SELECT doc_id, {text('coalesce(due_date, issue_date)')} AS due_date FROM inv WHERE lang = 'en'",
+    f"WITH {INV_EN} SELECT doc_id, {text('coalesce(due_date, issue_date)')} AS due_date FROM inv",
 )
 def inv_due_date(spark, d):
     return fields.with_dates(_english(spark, d)).select("doc_id", _s("due_date").alias("due_date"))
@@ -117,8 +118,8 @@ def inv_due_date(spark, d):
 
 @query(
     "inv_totals",
-    f"""WITH {INV} SELECT doc_id, {dbl('subtotal')} AS subtotal, {dbl('tax_amount')} AS tax_amount, {dbl('total')} AS total, currency
-        FROM inv WHERE lang = 'en'""",
+    f"""WITH {INV_EN} SELECT doc_id, {dbl('subtotal')} AS subtotal, {dbl('tax_amount')} AS tax_amount, {dbl('total')} AS total, currency
+        FROM inv""",
 )
 def inv_totals(spark, d):
     t = fields.with_totals(_english(spark, d))
@@ -127,8 +128,8 @@ def inv_totals(spark, d):
 
 @query(
     "inv_parties",
-    f"""WITH {INV} SELECT doc_id, {text('seller_name')} AS seller_name, {text('seller_tax_id')} AS seller_tax_id,
-        {text('seller_email')} AS seller_email, {text('buyer_name')} AS buyer_name, {text('buyer_tax_id')} AS buyer_tax_id FROM inv WHERE lang = 'en'""",
+    f"""WITH {INV_EN} SELECT doc_id, {text('seller_name')} AS seller_name, {text('seller_tax_id')} AS seller_tax_id,
+        {text('seller_email')} AS seller_email, {text('buyer_name')} AS buyer_name, {text('buyer_tax_id')} AS buyer_tax_id FROM inv""",
 )
 def inv_parties(spark, d):
     p = fields.with_parties(_english(spark, d))
@@ -137,8 +138,8 @@ def inv_parties(spark, d):
 
 @query(
     "inv_payment",
-    f"""WITH {INV} SELECT doc_id, coalesce('Net ' || days || ' days', '') AS terms, {text('method')} AS method, {text('account')} AS iban,
-        CASE WHEN status = 'F' THEN 'credit_card' WHEN status = 'O' OR account IS NOT NULL THEN 'bank_transfer' ELSE '' END AS kind FROM inv WHERE lang = 'en'""",
+    f"""WITH {INV_EN} SELECT doc_id, coalesce('Net ' || days || ' days', '') AS terms, {text('method')} AS method, {text('account')} AS iban,
+        CASE WHEN status = 'F' THEN 'credit_card' WHEN status = 'O' OR account IS NOT NULL THEN 'bank_transfer' ELSE '' END AS kind FROM inv""",
 )
 def inv_payment(spark, d):
     docs = _english(spark, d)
@@ -148,16 +149,15 @@ def inv_payment(spark, d):
 
 @query(
     "inv_last_total",
-    f"WITH {INV} SELECT doc_id, {dbl('total')} AS total FROM inv WHERE lang = 'en' AND total IS NOT NULL",
+    f"WITH {INV_EN} SELECT doc_id, {dbl('total')} AS total FROM inv",
 )
 def inv_last_total(spark, d):
-    docs = _english(spark, d).filter(F.contains("text", F.lit("\nTotal:")))
-    return docs.select("doc_id", _d(fields.last_amount_total(F.col("text"))).alias("total"))
+    return _english(spark, d).select("doc_id", _d(fields.last_amount_total(F.col("text"))).alias("total"))
 
 
 @query(
     "inv_kind",
-    f"WITH {INV} SELECT doc_id, 'Invoice' AS document_kind, '' AS order_number FROM inv WHERE lang = 'en'",
+    f"WITH {INV_EN} SELECT doc_id, 'Invoice' AS document_kind, '' AS order_number FROM inv",
 )
 def inv_kind(spark, d):
     m = fields.with_order_metadata(_english(spark, d))
@@ -166,9 +166,9 @@ def inv_kind(spark, d):
 
 @query(
     "rules_info",
-    f"""WITH {INV} SELECT field, count(*) AS n_docs, sum(CAST(ok AS INT)) AS n_found FROM (
+    f"""WITH {INV_EN} SELECT field, count(*) AS n_docs, sum(CAST(ok AS INT)) AS n_found FROM (
         SELECT unnest([{{'field': 'invoice_number', 'ok': true}}, {{'field': 'customer_name', 'ok': buyer_name IS NOT NULL}},
-          {{'field': 'currency', 'ok': true}}, {{'field': 'due_date', 'ok': due_date IS NOT NULL AND days IS NULL}}], recursive := true) FROM inv WHERE lang = 'en') GROUP BY field""",
+          {{'field': 'currency', 'ok': true}}, {{'field': 'due_date', 'ok': due_date IS NOT NULL AND days IS NULL}}], recursive := true) FROM inv) GROUP BY field""",
 )
 def rules_info(spark, d):
     info = rules.extract_with_info(_english(spark, d).select("doc_id", "text"), rules.DEFAULT_FIELD_RULES)
@@ -178,8 +178,8 @@ def rules_info(spark, d):
 
 @query(
     "rules_wide",
-    f"""WITH {INV} SELECT doc_id, document_number AS invoice_number, {text('issue_date')} AS issue_date, {text('buyer_name')} AS buyer_name,
-        {text('seller_name')} AS seller_name, {dbl('total')} AS total FROM inv WHERE lang = 'en'""",
+    f"""WITH {INV_EN} SELECT doc_id, document_number AS invoice_number, {text('issue_date')} AS issue_date, {text('buyer_name')} AS buyer_name,
+        {text('seller_name')} AS seller_name, {dbl('total')} AS total FROM inv""",
 )
 def rules_wide(spark, d):
     wanted = {"invoice_number", "issue_date", "buyer.name", "seller.name", "total_amount"}
@@ -193,7 +193,7 @@ def rules_wide(spark, d):
 
 @query(
     "rules_nested",
-    f"WITH {INV} SELECT doc_id, document_number, {text('seller_name')} AS seller_name, {text('buyer_name')} AS buyer_name FROM inv WHERE lang = 'en'",
+    f"WITH {INV_EN} SELECT doc_id, document_number, {text('seller_name')} AS seller_name, {text('buyer_name')} AS buyer_name FROM inv",
 )
 def rules_nested(spark, d):
     base = [r for r in rules.RULE_CATALOGUE if r.field in ("invoice_number", "seller.name", "buyer.name")]
@@ -322,8 +322,8 @@ def inv_items(spark, d):
     return _item_rows(it.extract_items(_documents(spark, d), "language"))
 
 
-_ENGLISH_ITEMS = f"""WITH {INV} SELECT doc_id, description, {dbl('quantity')} AS quantity, {dbl('unit_price')} AS unit_price, {dbl('amount')} AS amount
-    FROM it WHERE doc_id IN (SELECT doc_id FROM inv WHERE lang = 'en')"""
+_ENGLISH_ITEMS = f"""WITH {INV_EN} SELECT doc_id, description, {dbl('quantity')} AS quantity, {dbl('unit_price')} AS unit_price, {dbl('amount')} AS amount
+    FROM it WHERE doc_id IN (SELECT doc_id FROM inv)"""
 
 
 @query("items_by_lines", _ENGLISH_ITEMS)
@@ -349,7 +349,7 @@ def items_by_rule(spark, d):
 
 @query(
     "items_auto",
-    f"""WITH {INV} SELECT doc_id, n_items, {dbl('subtotal')} AS amount FROM inv WHERE lang = 'en' AND n_items > 0""",
+    f"""WITH {INV_EN} SELECT doc_id, n_items, {dbl('subtotal')} AS amount FROM inv WHERE n_items > 0""",
 )
 def items_auto(spark, d):
     rows = it.explode_items(it.extract_items(_english(spark, d)))
@@ -358,12 +358,12 @@ def items_auto(spark, d):
 
 @query(
     "item_lines",
-    f"WITH {INV} SELECT doc_id, n_items AS n_lines FROM inv WHERE lang = 'en' AND n_items > 0",
+    f"WITH {INV_EN} SELECT doc_id, n_items AS n_lines FROM inv",
 )
 def item_lines(spark, d):
     arr = lines(it.item_section(F.col("text")))
     n = F.size(F.filter(arr, it.is_item_line))
-    return _english(spark, d).select("doc_id", n.cast("bigint").alias("n_lines")).filter("n_lines > 0")
+    return _english(spark, d).select("doc_id", n.cast("bigint").alias("n_lines"))
 
 
 _KEY = "trim(description), quantity, unit_price"
@@ -531,15 +531,39 @@ def european_layout(spark, d):
         n_items > 0 AS items_ok, coalesce(date_diff('day', issue_date, due_date) BETWEEN 0 AND 365, true) AS dates_ok, '' AS error FROM inv""",
 )
 def run_corpus(spark, d):
-    docs = Ledger(spark, d).documents
-    # The corpus knows its languages; detection is exercised on its own.
-    r = pipeline.run_pipeline(docs, language=F.element_at("metadata", F.lit("language")))
+    # Languages are detected; long documents come as pages and are put together again.
+    return _corpus_rows(pipeline.run_paged(Ledger(spark, d).render(page_lines=500)))
+
+
+def _corpus_rows(r: DataFrame) -> DataFrame:
     return r.select(
         "doc_id", "document_number", _s("issue_date").alias("issue_date"), _d("totals.total").alias("total"),
         F.col("n_items").cast("bigint").alias("n_items"), "total_ok", "items_ok", "dates_ok", _s("error").alias("error"),
     )
 
 
+@query(
+    "hostile_docs",
+    f"""WITH {INV} SELECT doc_id, document_number, n_items + CASE WHEN doc_id % 4 = 1 THEN 2 ELSE 0 END AS n_items,
+        CASE WHEN doc_id % 4 = 1 THEN 'amount out of range' ELSE '' END AS error FROM inv""",
+)
+def hostile_docs(spark, d):
+    """Every document with something appended that a pattern or a sum could break on: only impossible sums are errors."""
+    key, lang = F.pmod("doc_id", F.lit(4)), F.col("language")
+    runs = F.concat(F.lit("\nNote "), F.repeat(F.lit("7 "), 400), F.lit("\n"), F.repeat(F.lit("1."), 400), F.lit("\n"), F.repeat(F.lit("("), 400))
+    huge = {
+        "en": "Part 1 stock   1   99999999999999.00   99999999999999.00", "pl": "Part 1 stock   99999999999999,00   1   5%   99999999999999,00",
+        "other": "1 x Part 1 stock 99999999999999,00 EUR 99999999999999,00",
+    }
+    row = F.when(lang == "en", huge["en"]).when(lang == "pl", huge["pl"]).otherwise(huge["other"])
+    # The two rows stand before the document's own first item, below the header of the table.
+    head = r"((?:Description|Menge|Cantidad|Quantité|Nazwa)[^\n]*\n)"
+    with_rows = F.regexp_replace(F.col("text"), F.lit(head), F.concat(F.lit("$1"), row, F.lit("\n"), row, F.lit("\n")))
+    odd = F.when(key == 0, F.concat("text", runs)).when(key == 1, with_rows).when(key == 2, F.concat("text", F.lit("\nNet 2147483647 days"))).otherwise(F.concat("text", F.lit("\n\u0000\uffff<[\\")))
+    r = pipeline.run_pipeline(_documents(spark, d).withColumn("text", odd), language=lang)
+    return r.select("doc_id", "document_number", F.col("n_items").cast("bigint").alias("n_items"), _s("error").alias("error"))
+
+
 @query(
     "flagship",
     f"""WITH {INV}, c AS (SELECT coalesce(abs(total - subtotal - tax_amount) <= greatest(abs(total), abs(subtotal + tax_amount)) * 0.01, false) AS a,

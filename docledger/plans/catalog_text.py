@@ -13,11 +13,11 @@ from docledger.sources import files, markup
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return files.read_table(spark, f"{d}/documents.parquet")
+    return spark.read.parquet(f"{d}/documents.parquet")
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return files.read_table(spark, f"{d}/pages.parquet")
+    return spark.read.parquet(f"{d}/pages.parquet")
 
 
 def _n(c):
@@ -106,12 +106,19 @@ def sanitize(spark, d):
 
 @query(
     "escape_markup",
-    """SELECT doc_id, length(text) > 10000 AS too_long, CASE WHEN length(text) <= 10000 THEN md5(replace(replace(replace(replace(
-       replace(text, '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), '`', '&#96;')) ELSE '' END AS digest FROM documents""",
+    """SELECT doc_id, md5(replace(replace(replace(replace(
+       replace(text, '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), '`', '&#96;')) AS digest FROM documents""",
 )
 def escape_markup(spark, d):
     e = _docs(spark, d).select("doc_id", tx.escape_markup(F.col("text")).alias("e"))
-    return e.select("doc_id", F.col("e.error").isNotNull().alias("too_long"), F.coalesce(F.md5("e.escaped"), F.lit("")).alias("digest"))
+    return e.select("doc_id", F.md5("e.escaped").alias("digest"))
+
+
+@query("escape_limit", "SELECT doc_id, length(text) > 10000 AS too_long FROM documents")
+def escape_limit(spark, d):
+    """The limit as an option: which texts it refuses."""
+    e = _docs(spark, d).select("doc_id", tx.escape_markup(F.col("text"), tx.MAX_MARKUP).alias("e"))
+    return e.select("doc_id", F.col("e.error").isNotNull().alias("too_long"))
 
 
 @query(

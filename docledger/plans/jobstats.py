@@ -5,20 +5,22 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Periods and bands of the reports.
 SUMMARY_DAYS, OCR_DAYS, API_HOURS, JOB_DAYS, CALL_DAYS = 30, 7, 24, 30, 7
 BANDS = [(0.1, "excellent"), (0.5, "good"), (2.0, "fair")]
 FINISHED = ["completed", "failed"]
+# Parts of a group's range of values in which exact quantiles are sought.
+QUANTILE_BUCKETS = 1_024
 
 
 def _since(as_of: dt.datetime, **delta: float) -> Column:
     return F.lit(as_of - dt.timedelta(**delta))
 
 
-def batch_summary(results: DataFrame, max_listed: int = 1000) -> DataFrame:
+def batch_summary(results: DataFrame) -> DataFrame:
     """Total, successful and failed documents. The failures themselves are rows: see :func:`batch_failures`."""
     return results.agg(
         F.count("*").alias("total"),
@@ -124,18 +126,38 @@ def retention(jobs: DataFrame, calls: DataFrame, as_of: dt.datetime, job_days: i
     return counts(jobs, "jobs", gone_jobs).unionByName(counts(calls, "api_calls", gone_calls))
 
 
+def retained(jobs: DataFrame, as_of: dt.datetime, days: int = JOB_DAYS) -> DataFrame:
+    """The jobs that the retention rule keeps: those that are young, or not finished."""
+    return jobs.filter(~F.coalesce(expired_jobs(jobs, as_of, days), F.lit(False)))
+
+
 def apply_retention(jobs: DataFrame, path: str, as_of: dt.datetime, days: int = JOB_DAYS) -> None:
-    """Rewrite only the day partitions that hold expired rows; untouched days stay on disk as they are."""
+    """Rewrite only the day partitions that hold expired rows, and delete those of which nothing is kept.
+
+    Days are the partitions of ``path``; only the days with an expired row are read again, and their number is that of the
+    days on disk. Untouched days stay as they are.
+    """
     spark = jobs.sparkSession
     bound = (as_of - dt.timedelta(days=days)).date()
-    with_day = jobs.withColumn("day", F.to_date("created_at")).filter(F.col("day") <= F.lit(bound))
-    kept = with_day.filter(~expired_jobs(jobs, as_of, days))
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        kept.write.mode("overwrite").partitionBy("day").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    old_days = jobs.withColumn("day", F.to_date("created_at")).filter(F.col("day") <= F.lit(bound))
+    gone = F.coalesce(expired_jobs(jobs, as_of, days), F.lit(False))
+    touched = old_days.groupBy("day").agg(F.count_if(gone).alias("gone"), F.count_if(~gone).alias("kept")).filter("gone > 0").collect()
+    partly = [r["day"] for r in touched if r["kept"]]
+    if partly:
+        kept = old_days.filter(F.col("day").isin(partly) & ~gone)
+        old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            kept.write.mode("overwrite").partitionBy("day").parquet(path)
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    # A day without kept rows writes nothing, so overwriting would leave it.
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in touched:
+        if not r["kept"]:
+            files.delete(jvm.org.apache.hadoop.fs.Path(folder, f"day={r['day'].isoformat()}"), True)
 
 
 def rating(seconds: Column) -> Column:
@@ -157,9 +179,29 @@ def latency_stats(calls: DataFrame, by: str = "endpoint") -> DataFrame:
 
 
 def latency_quantile(calls: DataFrame, by: Sequence[str], value: str = "response_time", q: float = 0.95, exact: bool = False) -> DataFrame:
-    """Quantile per group. The sketch merges map-side; the exact form is for small groups only."""
-    agg = F.percentile(value, F.lit(q)) if exact else F.percentile_approx(value, q, 10_000)
-    return calls.groupBy(*by).agg(agg.alias("quantile"), F.count("*").alias("n"))
+    """Quantile per group, with linear interpolation, and the number of rows; null values do not count for the quantile.
+
+    The sketch merges map-side. The exact form counts equal values first, then finds the two values around the rank by
+    their running counts: over ranges of values one after another, so that no group's values meet in one task.
+    """
+    if not exact:
+        return calls.groupBy(*by).agg(F.percentile_approx(value, q, 10_000).alias("quantile"), F.count("*").alias("n"))
+    keys = list(by)
+    counted = calls.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("_known"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    known = counted.where("_v is not null").join(totals, keys)
+    # A bucket is one of many equal parts of the group's range of values.
+    width = (F.col("_high") - F.col("_low")) / QUANTILE_BUCKETS
+    bucketed = known.withColumn("_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(QUANTILE_BUCKETS - 1))).otherwise(0))
+    sizes = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_size"))
+    before = sizes.select(*keys, "_b", (F.sum("_size").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_size")).alias("_before"))
+    running = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
+    placed = bucketed.join(before, [*keys, "_b"]).withColumn("_end", F.col("_before") + running)
+    rank = (F.col("_known") - 1) * F.lit(q)
+    picked = placed.groupBy(*keys).agg(
+        F.min(F.when(F.col("_end") > F.floor(rank), F.col("_v"))).alias("_a"), F.min(F.when(F.col("_end") > F.ceil(rank), F.col("_v"))).alias("_z"), F.max(rank - F.floor(rank)).alias("_f")
+    )
+    return totals.join(picked, keys, "left").select(*keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias("quantile"), "n")
 
 
 def rate_series(calls: DataFrame, by: Sequence[str] = ("endpoint",), minutes: int = 5) -> DataFrame:
@@ -226,31 +268,46 @@ def error_rate(calls: DataFrame, by: Sequence[str] = ("source",), threshold: flo
     )
 
 
+def _stitched(pieces: DataFrame, by: str, joins: Column) -> DataFrame:
+    """Pieces of intervals (``by``, first, last, n, bucket), at most a few for each bucket of time, joined where ``joins`` holds.
+
+    ``joins`` compares ``first`` with ``_before``, the end of the piece before it.
+    """
+    w = Window.partitionBy(by).orderBy("first")
+    marked = pieces.withColumn("_before", F.lag("last").over(w))
+    numbered = marked.withColumn("_run", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(by, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("_run")
+
+
 def heartbeat_gaps(events: DataFrame, by: str = "source", ts: str = "ts", gap: str = "1 minute") -> DataFrame:
-    """Sessions of a source separated by silence longer than ``gap``; Spark merges sessions map-side."""
-    return (
-        events.groupBy(by, F.session_window(ts, gap).alias("s"))
-        .agg(F.count("*").alias("n"), F.max(ts).alias("last_seen"))
-        .select(by, F.col("s.start").alias("first_seen"), "last_seen", "n")
+    """Activity of a source between silences of ``gap`` or longer.
+
+    Events are first counted by (source, instant), which combines before the shuffle; sessions are then found inside each
+    (source, hour), so that a source which sends a third of all events is spread over its hours; what is left of each hour
+    are its sessions, and those that continue over the border of an hour are joined.
+    """
+    instants = events.groupBy(F.col(by), F.col(ts).alias("_ts")).agg(F.count("*").alias("n"))
+    hourly = instants.groupBy(by, F.date_trunc("hour", "_ts").alias("_hour"), F.session_window("_ts", gap).alias("s")).agg(
+        F.min("_ts").alias("first"), F.max("_ts").alias("last"), F.sum("n").alias("n")
     )
+    near = F.col("first") < F.col("_before") + F.expr(f"INTERVAL {gap}")
+    return _stitched(hourly.select(by, "first", "last", "n"), by, near).select(by, F.col("first").alias("first_seen"), F.col("last").alias("last_seen"), "n")
 
 
 def alert_runs(states: DataFrame, by: str, ts: str = "window_end", breach: str = "breach", minutes: int = 5, step_minutes: int = 1) -> DataFrame:
     """Maximal runs of breaching samples, and whether each lasted long enough to fire.
 
-    Works on windowed samples: one row per source and minute, whatever the number of events behind it. A missing
-    sample ends a run.
+    Works on windowed samples: one row per source and minute, whatever the number of events behind it. A missing sample
+    ends a run. Runs are found inside each (source, day) and joined over the border of the day.
     """
-    from pyspark.sql import Window
-
-    bad = states.filter(F.col(breach)).select(by, ts)
-    minute = (F.unix_seconds(F.col(ts)) / 60).cast("bigint")
-    w = Window.partitionBy(by).orderBy(ts)
-    island = minute - F.row_number().over(w) * step_minutes
+    bad = states.filter(F.col(breach)).select(by, F.col(ts).alias("_ts"), F.date_trunc("day", ts).alias("_day"))
+    step = step_minutes * 60
+    w = Window.partitionBy(by, "_day").orderBy("_ts")
+    island = F.unix_seconds("_ts") - F.row_number().over(w) * step
+    daily = bad.withColumn("_island", island).groupBy(by, "_day", "_island").agg(F.min("_ts").alias("first"), F.max("_ts").alias("last"), F.count("*").alias("n"))
+    next_step = F.unix_seconds("first") - F.unix_seconds("_before") == step
     return (
-        bad.withColumn("_island", island)
-        .groupBy(by, "_island")
-        .agg(F.min(ts).alias("since"), F.max(ts).alias("until"), F.count("*").alias("samples"))
+        _stitched(daily.select(by, "first", "last", "n"), by, next_step)
+        .select(by, F.col("first").alias("since"), F.col("last").alias("until"), F.col("n").alias("samples"))
         .withColumn("fires", (F.unix_seconds("until") - F.unix_seconds("since")) >= minutes * 60)
-        .drop("_island")
     )

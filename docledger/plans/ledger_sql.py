@@ -31,6 +31,11 @@ inv AS (SELECT o_orderkey AS doc_id, 'INV-' || lpad(CAST(o_orderkey AS VARCHAR),
   FROM orders LEFT JOIN tot ON tot.doc_id = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey
   LEFT JOIN supplier ON s_suppkey = sk LEFT JOIN nation ns ON ns.n_nationkey = s_nationkey LEFT JOIN nation nc ON nc.n_nationkey = c_nationkey)"""
 
+# The same invoices, all written in English.
+INV_EN = INV.replace(
+    "CASE coalesce(c_nationkey, 0) % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'es' WHEN 3 THEN 'fr' ELSE 'pl' END AS lang", "'en' AS lang"
+).replace("CASE coalesce(c_nationkey, 0) % 5 WHEN 0 THEN 'USD' WHEN 4 THEN 'PLN' ELSE 'EUR' END AS currency", "'USD' AS currency")
+
 
 def dbl(expr: str) -> str:
     return f"CAST({expr} AS DOUBLE)"

@@ -1,9 +1,12 @@
-"""Session settings and size-checked helpers shared by every module."""
+"""Session settings shared by every module, and the package's way to the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import SparkSession
 
 # Settings every plan in this package relies on. They are safe on a cluster; sizes such as executor memory stay with
 # the submitter.
@@ -17,14 +20,34 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Largest number of key rows that may be broadcast after counting them.
-BROADCAST_ROWS = 500_000
+
+# Applications whose executors have been sent this package.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors as an archive, once for each application; in local mode they have it already."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # The driver serves the archive itself, so it may lie in a folder of its own.
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-docledger-"), "docledger.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to a running session."""
+    """Apply the settings above to a running session, and give its executors this package."""
     for key, value in DEFAULT_CONF.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
@@ -45,27 +68,3 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` is proven to hold at most ``max_rows`` rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_keys(left: DataFrame, keys: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a key table that is usually tiny: broadcast it when its counted size allows, otherwise shuffle-join."""
-    if small_enough(keys, max_rows):
-        return left.join(F.broadcast(keys), on, how)
-    return left.join(keys, on, how)
-
-
-def cut_lineage(df: DataFrame, default_dir: str | None = None) -> DataFrame:
-    """Checkpoint to the shared folder the session names; ``default_dir`` only serves sessions without one."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if folder:
-        sc.setCheckpointDir(folder)
-    elif default_dir:
-        sc.setCheckpointDir(default_dir)
-    return df.checkpoint(eager=True)

@@ -22,17 +22,6 @@ MIN_PDF_BYTES = 10
 PAGE_MARKER = r"\n?--- PAGE [0-9]+ ---\n?"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table, spread over the cores when its files give fewer splits than there are cores.
-
-    Extraction is bound by CPU, not by bytes, and one small file would otherwise be one task. Real corpora have more
-    splits than cores and are read as they are, without a shuffle.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
-
-
 def extension(path: Column) -> Column:
     """Lower-cased extension of the last path segment, NULL if it has none."""
     name = F.regexp_extract(path, r"([^/\\]+)$", 1)

@@ -10,12 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.schemas import MONEY
-from docledger.session import join_keys
-from docledger.sources.files import read_table
 
 LANGUAGES = ["en", "de", "es", "fr", "pl"]
 CURRENCY = {"en": "USD", "de": "EUR", "es": "EUR", "fr": "EUR", "pl": "PLN"}
-PAGE_LINES = 500
 
 LABELS: dict[str, dict[str, str]] = {
     "en": {
@@ -213,23 +210,24 @@ def _line_text(entry: Column, lang: Column) -> Column:
     return F.when(lang == "en", columns).when(lang == "pl", polish).otherwise(factor)
 
 
-def render_documents(invoices: DataFrame, items: DataFrame, totals: DataFrame, page_lines: int = PAGE_LINES) -> DataFrame:
+def in_language(invoices: DataFrame, language: str) -> DataFrame:
+    """The same invoices, all written in one language and its currency."""
+    money = F.lit(CURRENCY[language])
+    return invoices.withColumn("language", F.lit(language)).withColumn("currency", money).withColumn("totals", F.col("totals").withField("currency", money))
+
+
+def render_documents(invoices: DataFrame, items: DataFrame, page_lines: int | None = None) -> DataFrame:
     """Invoice texts (doc_id, page, text, source, metadata) in five languages.
 
-    Lines are gathered per page, not per document: a document longer than ``page_lines`` is spread over as many pages
-    as it needs, so that no task ever holds an order that owns a large share of the ledger. Every page repeats the
-    header and the totals, as printed invoices do, and can therefore be read on its own.
+    A document is one text. With ``page_lines`` it is one text for each range of so many line numbers instead, so that an
+    order which owns a large share of the ledger is spread over many rows; lines keep their order, every page repeats
+    the header and the totals, as printed invoices do, and the pipeline puts the pages of a document together again.
     """
-    pages = F.ceil(F.col("n_items") / page_lines).cast("int")
-    long_docs = totals.filter(F.col("n_items") > page_lines).select("doc_id", pages.alias("_pages"))
-    numbered = items.withColumn("_row", F.monotonically_increasing_id())
-    placed = join_keys(numbered, long_docs, ["doc_id"])
-    # Equal copies of a line differ in their row number, so they spread over the pages too.
-    page = F.pmod(F.xxhash64("doc_id", "_row"), F.coalesce(F.col("_pages"), F.lit(1))).cast("int")
+    page = F.lit(0) if page_lines is None else F.coalesce(F.floor((F.col("line_number") - 1) / page_lines), F.lit(0))
     body = (
-        placed.select(
+        items.select(
             "doc_id",
-            page.alias("page"),
+            page.cast("int").alias("page"),
             F.struct("line_number", "item_code", "quantity", "unit_price", "amount", "tax_rate", "description").alias("entry"),
         )
         .groupBy("doc_id", "page")
@@ -313,8 +311,7 @@ class Ledger:
         def table(name: str) -> DataFrame:
             return spark.read.parquet(f"{folder}/{name}.parquet")
 
-        # Documents are made from orders and then read by CPU-bound extraction, so orders are spread over the cores.
-        self.orders, self.lineitem = read_table(spark, f"{folder}/orders.parquet"), table("lineitem")
+        self.orders, self.lineitem = table("orders"), table("lineitem")
         self.customer, self.supplier, self.nation = table("customer"), table("supplier"), table("nation")
 
     @property
@@ -331,4 +328,9 @@ class Ledger:
 
     @property
     def documents(self) -> DataFrame:
-        return render_documents(self.invoices, self.items, self.totals)
+        return self.render()
+
+    def render(self, language: str | None = None, page_lines: int | None = None) -> DataFrame:
+        """The documents, all in one language if it is given."""
+        invoices = self.invoices if language is None else in_language(self.invoices, language)
+        return render_documents(invoices, self.items, page_lines)

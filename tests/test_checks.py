@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docledger import schemas
 from docledger.operators import consistency as co, grounding as gr, items as it, jsonops, merge, validate as va
-from docledger.plans import jobstats as js
+from docledger.plans import jobstats as js, pipeline
 from docledger.sources import files, ledger, markup
 
 AS_OF = dt.date(2025, 6, 20)
@@ -243,9 +243,9 @@ def test_html_report_escapes(spark):
 
 
 def test_long_documents_are_paged(spark):
-    """A document that owns most lines is spread over bounded pages, equal lines included; nothing is lost."""
+    """A document that owns most lines is spread over pages of consecutive lines; nothing is lost."""
     n = 1000
-    rows = [(1 if i % 3 else 2 + i, 7, 3, 1, 2.0, 5.0, 0.0, 0.0, "N", "O", dt.datetime(1995, 1, 1)) for i in range(n)]
+    rows = [(1 if i % 3 else 2 + i, 7, 3, i + 1 if i % 3 else 1, 2.0, 5.0, 0.0, 0.0, "N", "O", dt.datetime(1995, 1, 1)) for i in range(n)]
     line = spark.createDataFrame(rows, "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP")
     orders = line.select("l_orderkey").distinct().selectExpr("l_orderkey o_orderkey", "1L o_custkey", "'O' o_orderstatus", "1.0D o_totalprice", "timestamp'1995-01-01' o_orderdate", "'2-HIGH' o_orderpriority")
     cust = spark.sql("SELECT 1L c_custkey, 'C' c_name, 1 c_nationkey, 0.0D c_acctbal, 'BUILDING' c_mktsegment")
@@ -253,11 +253,36 @@ def test_long_documents_are_paged(spark):
     nation = spark.sql("SELECT 1 n_nationkey, 'N' n_name, 1 n_regionkey")
     its = ledger.ledger_items(line)
     tot = ledger.ledger_totals(its)
-    docs = ledger.render_documents(ledger.ledger_invoices(orders, tot, cust, supp, nation), its, tot, page_lines=50)
+    docs = ledger.render_documents(ledger.ledger_invoices(orders, tot, cust, supp, nation), its, page_lines=50)
     per = docs.withColumn("n", F.size(F.split("text", "Part 7 stock")) - 1).cache()
     assert per.agg(F.sum("n")).first()[0] == n
     assert per.filter("doc_id = 1").count() > 8
-    assert per.agg(F.max("n")).first()[0] < 120
+    assert per.agg(F.max("n")).first()[0] <= 50
+    whole = pipeline.run_paged(docs).filter("doc_id = 1").first()
+    assert whole.n_items == len(whole["items"]) == 666 and whole.items_ok
+
+
+@pytest.mark.parametrize("run", ["7 ", "1.", "(", " ", "7", "1,234 ", "a@"])
+def test_long_runs_stop_nothing(spark, run):
+    text = "INVOICE #INV-1\nInvoice Number: INV-1\nDescription   Quantity   Unit Price   Amount\nPart 1 stock   1   5.00   5.00\n\nSubtotal: 5.00\nTotal: 5.00\nNet 2147483647 days\n"
+    docs = spark.createDataFrame([(1, text + run * 10_000, None)], "doc_id BIGINT, text STRING, metadata MAP<STRING,STRING>")
+    row = pipeline.run_pipeline(docs, F.lit("en")).first()
+    assert (row.document_number, row.n_items, row.totals.total, row.error) == ("INV-1", 1, Decimal(5), None)
+
+
+@pytest.mark.parametrize("n", [499, 500, 501, 5_000])
+def test_the_size_of_a_document_changes_nothing(spark, n):
+    line = spark.range(1, n + 1).selectExpr("1L l_orderkey", "id l_partkey", "3L l_suppkey", "CAST(id AS INT) l_linenumber", "2.0D l_quantity", "5.0D l_extendedprice", "0.0D l_discount", "0.0D l_tax")
+    orders = spark.sql("SELECT 1L o_orderkey, 1L o_custkey, 'O' o_orderstatus, 1.0D o_totalprice, timestamp'1995-01-01' o_orderdate, '2-HIGH' o_orderpriority")
+    cust = spark.sql("SELECT 1L c_custkey, 'C' c_name, 0 c_nationkey, 0.0D c_acctbal, 'BUILDING' c_mktsegment")
+    supp = spark.sql("SELECT 3L s_suppkey, 'S' s_name, 1 s_nationkey, 0.0D s_acctbal")
+    nation = spark.sql("SELECT 0 n_nationkey, 'N' n_name, 1 n_regionkey")
+    its = ledger.ledger_items(line)
+    inv = ledger.ledger_invoices(orders, ledger.ledger_totals(its), cust, supp, nation)
+    for docs in (ledger.render_documents(inv, its), ledger.render_documents(inv, its, page_lines=500)):
+        rows = pipeline.run_paged(docs).collect()
+        assert [(r.n_items, len(r["items"]), r.items_ok, r.total_ok, r.document_number, r.error) for r in rows] == [(n, n, True, True, "INV-00000001", None)]
+        assert [i.description for i in rows[0]["items"]] == [f"Part {i} stock" for i in range(1, n + 1)]
 
 
 JOB = "job_id STRING, status STRING, input_format STRING, output_format STRING, file_size BIGINT, created_at TIMESTAMP, started_at TIMESTAMP, completed_at TIMESTAMP"
