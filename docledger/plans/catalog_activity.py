@@ -293,9 +293,22 @@ def alert_for(spark, d):
     return _finished(spark, alerts.alert_for(sj.read_stream(spark, f"{folder}/samples", samples.schema), minutes=4))
 
 
-@query("job_lifecycle")
+_LIVES = """WITH e AS (SELECT 'job-' || user_id || '-' || epoch(date_trunc('hour', ts))::BIGINT AS job_id, floor(epoch(ts))::BIGINT AS sec,
+    CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS status FROM events),
+  j AS (SELECT job_id, min(sec) AS started, min(sec) FILTER (status <> 'processing') AS e FROM e GROUP BY job_id),
+  o AS (SELECT job_id, started, CASE WHEN e - started <= 300 THEN (SELECT min(status) FROM e AS x WHERE x.job_id = j.job_id AND x.sec = j.e AND x.status <> 'processing') ELSE 'timeout' END AS outcome,
+    CASE WHEN e - started <= 300 THEN e ELSE started + 300 END AS ended FROM j)"""
+
+
+@query(
+    "job_lifecycle",
+    f"""{_LIVES} SELECT job_id, outcome, started, ended, CAST(ended - started AS DOUBLE) AS seconds FROM o
+        WHERE ended * 1000 < (SELECT floor(epoch_ms(max(ts)))::BIGINT - 600000 FROM events)""",
+)
 def job_lifecycle(spark, d):
-    e = _stream(spark, d)
+    """Jobs are the activity of a user within an hour."""
+    e = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("processing")
-    events = e.select(F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
-    return _finished(spark, alerts.job_lifecycle(events))
+    job = F.concat_ws("-", F.lit("job"), F.col("user_id").cast("string"), F.unix_seconds(F.date_trunc("hour", "ts")).cast("string"))
+    done = _finished(spark, alerts.job_lifecycle(e.select(job.alias("job_id"), status.alias("status"), "ts")))
+    return done.select("job_id", "outcome", F.unix_seconds("started_at").alias("started"), F.unix_seconds("ended_at").alias("ended"), "seconds")

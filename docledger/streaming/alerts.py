@@ -1,11 +1,14 @@
 """Stateful streaming: alerts that must hold for a while, and job lifecycles.
 
-State is a few numbers per key. Alerts take windowed samples (one row per source and minute), never raw events, so a
-source that sends a third of all events costs no more than any other.
+State is a few numbers per key and the rows that wait for the watermark. Rows are taken in the order of their time, once
+the watermark has passed them, so results depend neither on the order of arrival nor on the borders of batches. Alerts
+take windowed samples (one row per source and minute), never raw events, so a source that sends a third of all events
+costs no more than any other.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,52 +16,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ALERT_SCHEMA = "source BIGINT, at TIMESTAMP, state STRING, since TIMESTAMP"
-_ALERT_STATE = "since BIGINT, last BIGINT, firing BOOLEAN"
+_ALERT_STATE = "since BIGINT, last BIGINT, firing BOOLEAN, waiting STRING"
 
 
 def _ts(seconds: int) -> pd.Timestamp:
     return pd.Timestamp(seconds, unit="s")
 
 
+def _due(waiting: list, batches: Iterator[pd.DataFrame], time: str, value: str, watermark_ms: int) -> tuple[list, list]:
+    """(rows that the watermark has passed, rows that still wait), each as [second, value] in order of time."""
+    for batch in batches:
+        seconds = batch[time].astype("datetime64[s]").astype("int64").tolist()
+        waiting = waiting + [list(x) for x in zip(seconds, batch[value].tolist(), strict=True)]
+    waiting.sort()
+    passed = sum(at * 1000 < watermark_ms for at, _ in waiting)
+    return waiting[:passed], waiting[passed:]
+
+
 def alert_for(
     samples: DataFrame, by: str = "source", minutes: int = 5, step_minutes: int = 1, watermark: str = "10 minutes"
 ) -> DataFrame:
     """``firing`` once a condition has held without a break for ``minutes``, ``resolved`` when it breaks.
 
     ``samples`` needs columns (``by``, ``window_end``, ``breach``), at most one row per key and step. A missing sample is
-    a break. The event-time timeout resolves an alert whose samples stop coming. Samples come from a table that
+    a break; a sample that comes late, but inside the watermark, is none. Samples come from a table that
     ``stream_error_rate`` or ``stream_slow_p95`` keeps: an append-mode stream takes no state after an aggregate.
     """
     hold, step = minutes * 60, step_minutes * 60
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, last, firing = state.get if state.exists else (-1, -1, False)
+        since, last, firing, held = state.get if state.exists else (-1, -1, False, "[]")
+        now = state.getCurrentWatermarkMs()
+        due, waiting = _due(json.loads(held), iter(()) if state.hasTimedOut else batches, "window_end", "breach", now)
         out = []
-        if state.hasTimedOut:
+        for at, breach in due:
+            broken = last >= 0 and at - last > step
+            if firing and (broken or not breach):
+                out.append((key[0], _ts(last + step if broken else at), "resolved", _ts(since)))
+                firing = False
+            if broken or not breach:
+                since = -1
+            if breach:
+                since = at if since < 0 else since
+                if not firing and at - since >= hold:
+                    firing = True
+                    out.append((key[0], _ts(at), "firing", _ts(since)))
+            last = at
+        # The watermark has passed the next sample's time, and there is none: the condition is no longer known to hold.
+        if last >= 0 and (last + step) * 1000 < now:
             if firing:
                 out.append((key[0], _ts(last + step), "resolved", _ts(since)))
+            since, last, firing = -1, -1, False
+        if last < 0 and not waiting:
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values("window_end")
-            ends = rows["window_end"].astype("datetime64[s]").astype("int64")
-            for at, breach in zip(ends, rows["breach"]):
-                at = int(at)
-                broken = last >= 0 and at - last > step
-                if firing and (broken or not breach):
-                    out.append((key[0], _ts(last + step if broken else at), "resolved", _ts(since)))
-                    firing = False
-                if broken or not breach:
-                    since = -1
-                if breach:
-                    since = at if since < 0 else since
-                    if not firing and at - since >= hold:
-                        firing = True
-                        out.append((key[0], _ts(at), "firing", _ts(since)))
-                last = at
-            state.update((since, last, firing))
-            deadline = (last + step) * 1000
-            if deadline > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(deadline)
+            state.update((since, last, firing, json.dumps(waiting)))
+            next_due = min(([waiting[0][0]] if waiting else []) + ([last + step] if last >= 0 else []))
+            state.setTimeoutTimestamp(max(next_due * 1000, now + 1))
         yield pd.DataFrame(out, columns=["source", "at", "state", "since"])
 
     return (
@@ -70,44 +84,52 @@ def alert_for(
 
 
 LIFECYCLE_SCHEMA = "job_id STRING, outcome STRING, started_at TIMESTAMP, ended_at TIMESTAMP, seconds DOUBLE"
-_LIFECYCLE_STATE = "started BIGINT"
+_LIFECYCLE_STATE = "started BIGINT, ended BIGINT, waiting STRING"
 # Fixed value: seconds after which a job counts as timed out.
 JOB_TIMEOUT = 300
+# Seconds for which an ended job is remembered, so that its later events are ignored.
+REMEMBERED = 86_400
 
 
-def job_lifecycle(events: DataFrame, watermark: str = "10 minutes", timeout: int = JOB_TIMEOUT) -> DataFrame:
+def job_lifecycle(events: DataFrame, watermark: str = "10 minutes", timeout: int = JOB_TIMEOUT, remembered: int = REMEMBERED) -> DataFrame:
     """Outcome and duration of every job from its status events (job_id, status, ts).
 
-    A job ends as completed or failed, or as ``timeout`` when neither arrives within the limit after its start.
+    A job ends with its first event ``completed`` or ``failed``, or as ``timeout`` when neither comes within the limit after
+    its start. Events after the end are ignored for ``remembered`` seconds; what comes still later starts the job anew.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started = state.get[0] if state.exists else -1
+        started, ended, held = state.get if state.exists else (-1, -1, "[]")
+        now = state.getCurrentWatermarkMs()
+        due, waiting = _due(json.loads(held), iter(()) if state.hasTimedOut else batches, "ts", "status", now)
         out = []
-        if state.hasTimedOut:
-            end = started + timeout
-            out.append((key[0], "timeout", _ts(started), _ts(end), float(timeout)))
+
+        def end(outcome: str, at: int) -> int:
+            out.append((key[0], outcome, _ts(started), _ts(at), float(at - started)))
+            return at
+
+        for at, status in due:
+            if ended >= 0 and at - ended > remembered:
+                started, ended = -1, -1
+            if ended >= 0:
+                continue
+            started = at if started < 0 else started
+            if at - started > timeout:
+                ended = end("timeout", started + timeout)
+            elif status in ("completed", "failed"):
+                ended = end(status, at)
+        if ended < 0 <= started and (started + timeout) * 1000 < now:
+            ended = end("timeout", started + timeout)
+        if ended >= 0 and not waiting and (ended + remembered) * 1000 < now:
+            started, ended = -1, -1
+        if started < 0 and not waiting:
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-            ended = False
-            for at, status in zip(rows["ts"].astype("datetime64[s]").astype("int64"), rows["status"]):
-                at = int(at)
-                if status in ("completed", "failed"):
-                    begin = at if started < 0 else started
-                    late = at - begin > timeout
-                    end = begin + timeout if late else at
-                    out.append((key[0], "timeout" if late else status, _ts(begin), _ts(end), float(end - begin)))
-                    ended = True
-                    break
-                started = at if started < 0 else min(started, at)
-            if ended:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((started,))
-                deadline = (started + timeout) * 1000
-                state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
+            state.update((started, ended, json.dumps(waiting)))
+            limits = [waiting[0][0]] if waiting else []
+            if started >= 0:
+                limits.append(ended + remembered if ended >= 0 else started + timeout)
+            state.setTimeoutTimestamp(max(min(limits) * 1000, now + 1))
         yield pd.DataFrame(out, columns=["job_id", "outcome", "started_at", "ended_at", "seconds"])
 
     return (
