@@ -316,7 +316,7 @@ def extract_vendor(docs: DataFrame, text: str = "text") -> DataFrame:
 
 # ---- European layout
 
-_NOT_A_NAME = r"(?i)vat|reg|iban|swift|phone|www|client"
+_NOT_A_NAME = r"(?i)vat|reg|iban|swift|phone|www|client|invoice|^[0-9.,% ]+$"
 
 
 def extract_european(docs: DataFrame, text: str = "text") -> DataFrame:
