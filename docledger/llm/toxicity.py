@@ -7,17 +7,18 @@ exactly zero until the evidence exceeds it, so the weights are few and are sent
 Labels are learned from a bounded sample of labelled rows (``MAX_LABELLED``, chosen by a hash of the id). The sample is
 dealt to ``SHARDS`` tasks; each runs the updates over its rows, and the states are mixed coordinate by coordinate over
 those shards that met the coordinate, which is repeated for ``ROUNDS``. A slot takes part if at least ``LEAST_TEXTS`` texts
-of the sample have it. All rows are scored, over whole texts.
+of the sample have it, and at most ``MOST_SLOTS`` do. All rows are scored, over whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -29,7 +30,9 @@ SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 SHARDS = 8
 ROUNDS = 4
-LEAST_TEXTS = 3
+LEAST_TEXTS = 5
+# Most slots that take part, the most frequent ones first.
+MOST_SLOTS = 1 << 18
 # Learning rate, its offset, and the weights of the two penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
 # Bytes that a stem keeps of a word.
@@ -65,9 +68,8 @@ def by_text(texts: pa.Array) -> Iterator[np.ndarray]:
 
 @dataclass
 class State:
-    """The sums of FTRL-proximal for the coordinates in ``slots`` (sorted), the last of which is the constant."""
+    """The sums of FTRL-proximal by coordinate, the last of which is the constant."""
 
-    slots: np.ndarray
     z: np.ndarray
     n: np.ndarray
 
@@ -76,11 +78,9 @@ class State:
         z = self.z[at]
         return np.where(np.abs(z) > L1, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2), 0.0)
 
-    def learn(self, features: np.ndarray, label: float) -> None:
-        """One text: predict, then move each of its coordinates at its own rate."""
-        at = np.searchsorted(self.slots, features)
-        at = at[self.slots[np.minimum(at, len(self.slots) - 1)] == features]
-        at = np.append(at, len(self.slots) - 1)
+    def learn(self, coordinates: np.ndarray, label: float) -> None:
+        """One text: predict, then move each of its coordinates, and the constant, at its own rate."""
+        at = np.append(coordinates, len(self.z) - 1)
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
         n = self.n[at]
@@ -124,40 +124,78 @@ def _texts_by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count[found].astype(np.int64))], ["slot", "n"])
 
 
+def _coordinates(known: Broadcast) -> Callable[..., Column]:
+    """The function that turns texts into the places of their slots among the known ones."""
+
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = []
+            for features in by_text(batch):
+                at = np.searchsorted(known.value, features)
+                at[at == len(known.value)] = 0
+                found.append(at[known.value[at] == features].astype(np.int32) if len(known.value) else at[:0].astype(np.int32))
+            bounds = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+
+    return arrow_udf(of, "array<int>")
+
+
+def _shards(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function that runs the updates over the rows of each shard, from the state that was sent."""
+
+    def moved(shard: int, state: State, begun: State) -> pa.RecordBatch:
+        at = np.flatnonzero(state.n != begun.n).astype(np.int32)
+        row = [[shard], [at.tobytes()], [state.z[at].astype(np.float32).tobytes()], [state.n[at].astype(np.float32).tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], ["shard", "at", "z", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, own, shard = sent.value, None, None
+        for batch in batches:
+            lists, labels, shards = (batch.column(c) for c in ("at", "label", "shard"))
+            values, bounds = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+            for i, (label, of) in enumerate(zip(labels.to_pylist(), shards.to_pylist(), strict=True)):
+                if of != shard:
+                    if own is not None:
+                        yield moved(shard, own, begun)
+                    own, shard = State(begun.z.copy(), begun.n.copy()), of
+                own.learn(values[bounds[i] : bounds[i + 1]], label)
+        if own is not None:
+            yield moved(shard, own, begun)
+
+    return run
+
+
 def train(rows: DataFrame, label: str = "toxic") -> Model:
     """A model of ``label`` (0 or 1) from rows of (text, label); call it with a bounded number of rows.
 
     Null texts have no features and count as texts. Without rows every score is 0.5; a constant label is learned as such.
     """
-    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).cast("double").alias("label"))
-    # Equal texts are dealt by their content, so that a run meets the same rows in the same order whatever the input files.
-    dealt = written(rows.repartition(SHARDS, F.xxhash64("text")).sortWithinPartitions(F.xxhash64("text", F.lit(7)), "label"), "toxicity-sample")
-    shard = F.pmod(F.xxhash64("text"), F.lit(SHARDS)).alias("shard")
-    often = dealt.select("text").mapInArrow(_texts_by_slot, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    eligible = np.sort(np.array(often.select("slot").toArrow().column("slot").to_numpy(), np.int64))  # at most SLOTS numbers
-    state = State(np.append(eligible, SLOTS), np.zeros(len(eligible) + 1), np.zeros(len(eligible) + 1))
     spark = rows.sparkSession
-    for turn in range(ROUNDS):
+    texts = written(rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).cast("double").alias("label")), "toxicity-texts")
+    often = texts.select("text").mapInArrow(_texts_by_slot, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    # At most MOST_SLOTS numbers; of equally frequent slots the smaller.
+    slots_known = np.sort(np.array(often.orderBy(F.desc("n"), "slot").limit(MOST_SLOTS).select("slot").toArrow().column("slot").to_numpy(), np.int64))
+    # Dealt by content and written once: every round reads the same rows of a shard in the same order, without a shuffle.
+    places = _coordinates(spark.sparkContext.broadcast(slots_known))
+    key = F.xxhash64("text")
+    dealt = texts.select(places("text").alias("at"), "label", F.pmod(key, F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64("text", F.lit(7)).alias("order"))
+    dealt = written(dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", "order", "label").drop("order"), "toxicity-sample")
+    state = State(np.zeros(len(slots_known) + 1), np.zeros(len(slots_known) + 1))
+    for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(state)
-
-        def updated(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            begun = sent.value
-            own = State(begun.slots, begun.z.copy(), begun.n.copy())
-            for batch in batches:
-                labels = batch.column("label").to_pylist()
-                for features, label in zip(by_text(batch.column("text")), labels, strict=True):
-                    own.learn(features, label)
-            at = np.flatnonzero(own.n != begun.n)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, own.z[at], own.n[at])], ["at", "z", "n"])
-
-        order = dealt.select("text", "label", shard).repartition(SHARDS, "shard").sortWithinPartitions(F.xxhash64("text", F.lit(turn)), "label").select("text", "label")
-        moved = order.mapInArrow(updated, "at long, z double, n double").groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
-        at = moved.column("at").to_numpy()
-        state.z[at], state.n[at] = moved.column("z").to_numpy(), moved.column("n").to_numpy()
+        # SHARDS rows, each of at most MOST_SLOTS coordinates.
+        parts = sorted(dealt.mapInArrow(_shards(sent), "shard int, at binary, z binary, n binary").collect(), key=lambda r: r["shard"])
+        z, n, met = np.zeros(len(state.z)), np.zeros(len(state.n)), np.zeros(len(state.n))
+        for part in parts:
+            at = np.frombuffer(part["at"], np.int32)
+            z[at] += np.frombuffer(part["z"], np.float32)
+            n[at] += np.frombuffer(part["n"], np.float32)
+            met[at] += 1
+        state = State(np.where(met > 0, z / np.maximum(met, 1), state.z), np.where(met > 0, n / np.maximum(met, 1), state.n))
         sent.destroy()
     weights = state.weights()
     kept = np.flatnonzero(weights[:-1])
-    return Model(state.slots[:-1][kept], weights[:-1][kept].astype(np.float32), float(weights[-1]))
+    return Model(slots_known[kept], weights[:-1][kept].astype(np.float32), float(weights[-1]))
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

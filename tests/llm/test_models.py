@@ -118,7 +118,7 @@ def test_op10_held_out(spark):
 
 
 def test_updates_follow_the_formula():
-    state = toxicity.State(np.array([3, 8, toxicity.SLOTS]), np.zeros(3), np.zeros(3))
+    state = toxicity.State(np.zeros(3), np.zeros(3))
     z, n = [0.0] * 3, [0.0] * 3
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -130,7 +130,7 @@ def test_updates_follow_the_formula():
             if has[i]:
                 z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
                 n[i] += g * g
-        state.learn(np.array([s for s, h in zip((3, 8, 11), (has[0], has[1], True)) if h]), label)
+        state.learn(np.array([i for i in range(2) if has[i]], int), label)
     assert np.allclose(state.z, z) and np.allclose(state.n, n)
     assert state.weights()[0] > 0
 
