@@ -258,8 +258,11 @@ def generic_number_token(text: Column) -> Column:
     return F.get(plausible, F.lit(0))
 
 
-def extract_vendor(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Vendor layout with layered lookups: file name, order field, terms, labelled numbers, plausible token."""
+def extract_vendor(docs: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Vendor layout with layered lookups: file name, order field, terms, labelled numbers, plausible token.
+
+    ``keep`` names columns to carry.
+    """
     t, meta = text, F.col("metadata")
     name = F.try_element_at(meta, F.lit("filename"))
     po = F.try_element_at(meta, F.lit("po_number"))
@@ -300,6 +303,7 @@ def extract_vendor(docs: DataFrame, text: str = "text") -> DataFrame:
     keys = [c for c in ("doc_id", "page") if c in docs.columns]
     return staged.withColumns({"_n": money("_net"), "_t": money("_tax"), "_g": money("_total")}).select(
         *keys,
+        *keep,
         "document_number",
         parse_date(F.col("_from")).alias("issue_date"),
         parse_date(F.col("_to")).alias("due_date"),
@@ -319,7 +323,7 @@ def extract_vendor(docs: DataFrame, text: str = "text") -> DataFrame:
 _NOT_A_NAME = r"(?i)vat|reg|iban|swift|phone|www|client|invoice|^[0-9.,% ]+$"
 
 
-def extract_european(docs: DataFrame, text: str = "text") -> DataFrame:
+def extract_european(docs: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """European layout by line neighbourhood.
 
     The seller is named in the five lines above its tax-id line, the buyer in the lines after ``CLIENT``, the item after
@@ -381,6 +385,7 @@ def extract_european(docs: DataFrame, text: str = "text") -> DataFrame:
     keys = [c for c in ("doc_id", "page") if c in docs.columns]
     return staged.select(
         *keys,
+        *keep,
         first_of(t, [r"(?i)Invoice\s+no\.?\s*:?\s*(\w+)"]).alias("document_number"),
         parse_date(group(t, r"(?m)^[ \t]*Date\s+([0-9]{2}\.[0-9]{2}\.[0-9]{4})")).alias("issue_date"),
         F.coalesce(

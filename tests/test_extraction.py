@@ -366,6 +366,17 @@ def test_pipeline_reports_bad_documents(spark):
     assert rows[3].error is None and rows[3].issue_date is None
 
 
+def test_each_route_gives_its_record(spark):
+    rows = {r.doc_id: r for r in pipeline.run_pipeline(docs(spark, ENGLISH, REFUND, EUROPEAN, POLISH, RECEIPT)).collect()}
+    assert [rows[i].extractor for i in range(3)] == ["default", "vendor", "european"]
+    assert (rows[1].document_number, rows[1].issue_date, rows[1].due_date, rows[1].buyer.name) == ("CR88041", dt.date(2021, 9, 7), dt.date(2021, 10, 6), "Marlow Design Studio")
+    assert (rows[1].totals.subtotal, rows[1].totals.total, rows[1].n_items) == (dec("-13.50"), dec("-13.50"), 1)
+    assert (rows[2].document_number, rows[2].seller.name, rows[2].buyer.name, rows[2].currency) == ("880417", "Velo Parts OU", "Fjord Bikes AS", "EUR")
+    assert (rows[2].totals.subtotal, rows[2].totals.total, rows[2].items_amount, rows[2].items_ok) == (dec(120), dec(150), dec(120), True)
+    assert (rows[3].document_number, rows[3].totals.total, rows[3].n_items) == ("FS/77/2022", dec(3075), 2)
+    assert (rows[4].doc_type, rows[4].totals.total) == ("receipt", dec(10))
+
+
 def test_extension_points(spark):
     d = docs(spark, ENGLISH, "nothing").withColumn("doc_type", F.lit("invoice"))
     reg = ext.Extractors().register("invoice", lambda x: rules.candidates(x, rules.DEFAULT_FIELD_RULES, "own"))
