@@ -97,23 +97,20 @@ def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """
     known = messages.select(F.col("node").alias("parent"))
     linked = messages.join(known, "parent", "left_semi").select("node", F.col("parent").alias("up"))
-    state = written(messages.select("node", "score").join(linked, "node", "left").select("node", "up", F.lit(0).cast("long").alias("depth"), "score").withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)), "chat-jumps")
+    state = messages.select("node", "score").join(linked, "node", "left").select("node", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), "score")
+    state = written(state, "chat-jumps")
     tables: list[DataFrame] = []
+    done, active = state.where("up is null"), state.where("up is not null")
     before = -1
-    while (left := state.where("up is not null").count()) and left != before:
+    while (left := active.count()) and left != before:
         before = left
-        tables.append(state.where("up is not null").select("node", "up"))
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("score").alias("added"))
-        state = written(
-            state.join(above, "up", "left").select(
-                "node",
-                F.col("next").alias("up"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score"),
-            ),
-            "chat-jumps",
-        )
-    return tables, state.where("up is null").select("node", "depth", F.col("score").alias("total"))
+        tables.append(active.select("node", "up"))
+        # Only nodes that have not met their root look further up, so a round costs what is deeper than its reach.
+        above = done.unionByName(active).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("score").alias("added"))
+        further = active.join(above, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("added")).alias("score"))
+        further = written(further, "chat-jumps")
+        done, active = done.unionByName(further.where("up is null")), further.where("up is not null")
+    return tables, done.select("node", "depth", F.col("score").alias("total"))
 
 
 def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
