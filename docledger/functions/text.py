@@ -33,10 +33,11 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def normalize_text(col: Column, nfkc: bool = True) -> Column:
     """Whitespace runs to one space, trimmed, then NFKC.
 
-    Spark has no Unicode normalisation, so ``nfkc=True`` costs one Arrow round trip; ``nfkc=False`` stays JVM-side.
+    Spark has no Unicode normalisation, so ``nfkc=True`` costs an Arrow round trip for texts beyond ASCII; others are NULL on
+    that way, and ``nfkc=False`` stays JVM-side altogether.
     """
     squeezed = F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
-    return _nfkc(squeezed) if nfkc else squeezed
+    return F.coalesce(_nfkc(F.when(F.rlike(squeezed, F.lit(r"[^\x00-\x7F]")), squeezed)), squeezed) if nfkc else squeezed
 
 
 def sanitize_text(col: Column, max_len: int | None = None) -> Column:

@@ -528,7 +528,8 @@ def european_layout(spark, d):
     "run_corpus",
     f"""WITH {INV} SELECT doc_id, document_number, {text('issue_date')} AS issue_date, {dbl('total')} AS total, n_items,
         coalesce(abs(total - subtotal - tax_amount) <= greatest(abs(total), abs(subtotal + tax_amount)) * 0.01, false) AS total_ok,
-        n_items > 0 AS items_ok, coalesce(date_diff('day', issue_date, due_date) BETWEEN 0 AND 365, true) AS dates_ok, '' AS error FROM inv""",
+        n_items > 0 AS items_ok, coalesce(date_diff('day', issue_date, due_date) BETWEEN 0 AND 365, true) AS dates_ok, '' AS error,
+        (1 + CAST(seller_name IS NOT NULL AS INT) + CAST(buyer_name IS NOT NULL AS INT) + n_items) * 10 >= (3 + n_items) * 7 AS grounded FROM inv""",
 )
 def run_corpus(spark, d):
     # Languages are detected; long documents come as pages and are put together again.
@@ -538,7 +539,7 @@ def run_corpus(spark, d):
 def _corpus_rows(r: DataFrame) -> DataFrame:
     return r.select(
         "doc_id", "document_number", _s("issue_date").alias("issue_date"), _d("totals.total").alias("total"),
-        F.col("n_items").cast("bigint").alias("n_items"), "total_ok", "items_ok", "dates_ok", _s("error").alias("error"),
+        F.col("n_items").cast("bigint").alias("n_items"), "total_ok", "items_ok", "dates_ok", _s("error").alias("error"), "grounded",
     )
 
 
