@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from docledger.llm.bpe import Encoder, vocabulary_path
+from docledger.llm.bpe import Encoder, encoder, vocabulary_path
 from docledger.llm.ordered import range_of
 from docledger.llm.shared import new_path, prepare
 
@@ -59,6 +59,11 @@ def _coder(path: str) -> LibraryEncoder:
     return _CODERS[path]
 
 
+def _forget_pieces() -> None:
+    """Free what this worker remembers of encoding: the steps that follow are done by the same workers and need the room."""
+    _CODERS.clear()
+
+
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
     """Length of each symbol's code (0 where the count is 0): the shortest total of all codes of at most ``most`` bits.
 
@@ -193,11 +198,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) ->
     docs = docs.select("doc_id", "text")
     kept = f"{path}/ids"
     encoded(docs, kept, vocabulary, end_id)
-    size = len(_coder(vocabulary).strings)
+    size = len(encoder(vocabulary).strings)
     width = "<u2" if size <= 1 << 16 else "<u4"
     rows = spark.read.parquet(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_pieces()
         total = np.zeros(size, np.int64)
         for batch in batches:
             total += np.bincount(_numbers(batch.column("ids"), width)[0], minlength=size)
@@ -214,6 +220,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) ->
 
     @arrow_udf("struct<n: int, bits: binary, checks: array<int>>")
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _forget_pieces()
         lengths, codes = sent.value
         for batch in batches:
             ids, at = _numbers(batch, width)
@@ -226,6 +233,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) ->
             yield pa.StructArray.from_arrays([pa.array(np.diff(at).astype(np.int32)), bits, pa.ListArray.from_arrays(pa.array(many), pa.array(checks))], ["n", "bits", "checks"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_pieces()
         part, start, held = None, 0, 0
         docs: list[tuple[int | None, int, bytes, np.ndarray]] = []
 
@@ -277,6 +285,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     based = rows.join(F.broadcast(before), "part")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_pieces()
         decoder = _decoder(path, sent)
         for batch in batches:
             columns = {c: batch.column(c) for c in batch.schema.names}
