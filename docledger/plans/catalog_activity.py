@@ -284,13 +284,22 @@ def stream_p95(spark, d):
     return _finished(spark, sj.stream_slow_p95(act.api_calls_from_events(_stream(spark, d))))
 
 
-@query("alert_for")
+@query(
+    "alert_for",
+    f"""{_RATE}, kept AS (SELECT * FROM rate WHERE window_end <= {_CLOSED}),
+        mark AS (SELECT max(window_end) - INTERVAL 10 MINUTE AS passed FROM kept),
+        bad AS (SELECT source, window_end, epoch(window_end) / 60 - row_number() OVER (PARTITION BY source ORDER BY window_end) AS g FROM kept, mark WHERE breach AND window_end < passed),
+        held AS (SELECT source, min(window_end) AS since, max(window_end) AS until FROM bad GROUP BY source, g HAVING max(window_end) - min(window_end) >= INTERVAL 4 MINUTE)
+        SELECT source, {_ts("since + INTERVAL 4 MINUTE")} AS "at", 'firing' AS state, {_ts("since")} AS since FROM held
+        UNION ALL SELECT source, {_ts("until + INTERVAL 1 MINUTE")} AS "at", 'resolved' AS state, {_ts("since")} AS since FROM held, mark WHERE until + INTERVAL 1 MINUTE < passed""",
+)
 def alert_for(spark, d):
     # Two streams: windowed samples to a table, alerts from that table. Each keeps its own state and checkpoint.
     folder = _folder(spark)
     samples = sj.stream_error_rate(act.api_calls_from_events(_stream(spark, d)))
     sj.start(samples, f"{folder}/samples", f"{folder}/checkpoint-samples").awaitTermination()
-    return _finished(spark, alerts.alert_for(sj.read_stream(spark, f"{folder}/samples", samples.schema), minutes=4))
+    found = _finished(spark, alerts.alert_for(sj.read_stream(spark, f"{folder}/samples", samples.schema), minutes=4))
+    return found.select("source", _t("at").alias("at"), "state", _t("since").alias("since"))
 
 
 _LIVES = """WITH e AS (SELECT 'job-' || user_id || '-' || epoch(date_trunc('hour', ts))::BIGINT AS job_id, floor(epoch(ts))::BIGINT AS sec,
