@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from docledger.llm import minhash
 from docledger.llm.components import components
 from docledger.llm.shared import prepare, written
 
@@ -153,23 +154,26 @@ def groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: that with the smallest doc_id. Columns stay.
 
-    Of rows with equal ids a hash of the text decides; rows without id come after those with one; of rows with equal id
-    and text one stays.
+    Near copies share four fifths of their five-word shingles (see ``minhash``); ``groups`` has the narrower radius of its
+    own contract. Of rows with equal ids a hash of the text decides; rows without id come after those with one; of rows with
+    equal id and text one stays.
     """
     row = F.xxhash64("doc_id", "text")
     keyed = docs.withColumn("__key", row)
-    marked = written(fingerprints(keyed.select("doc_id", "text", "__key")).drop("text"), "simhash-rows")
-    distinct = marked.select("fp").distinct()
-    roots = components(links(distinct).select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash-rows")
+    marked = written(minhash.sketches(keyed.select("doc_id", "text", "__key")), "minhash-rows")
+    # One row of each set of shingles gives its text.
+    chosen = marked.groupBy("set").agg(F.min("__key").alias("__key"))
+    texts = keyed.select("__key", "text").join(chosen, "__key").select("set", "text").dropDuplicates(["set"])
+    roots = minhash.roots(marked.select("set", "size", "bands"), texts)
     best = (
-        marked.groupBy("fp")
+        marked.groupBy("set")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first"))
-        .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-        .groupBy(F.coalesce("root", "fp").alias("group_fp"))
+        .join(roots.withColumnRenamed("node", "set"), "set", "left")
+        .groupBy(F.coalesce("root", "set").alias("group"))
         .agg(F.min("first").alias("first"))
         .select(F.col("first.doc_id").alias("__id"), F.col("first.__key").alias("__first"))
     )
-    best = written(best, "simhash-kept")
+    best = written(best, "minhash-kept")
     kept = keyed.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__first")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
 
