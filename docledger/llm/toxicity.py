@@ -7,7 +7,8 @@ exactly zero until the evidence exceeds it, so the weights are few and are sent
 Labels are learned from a bounded sample of labelled rows (``MAX_LABELLED``, chosen by a hash of the id). The sample is
 dealt to ``SHARDS`` tasks; each runs the updates over its rows, and the states are mixed coordinate by coordinate over
 those shards that met the coordinate, which is repeated for ``ROUNDS``. A slot takes part if at least ``LEAST_TEXTS`` texts
-of the sample have it, and at most ``MOST_SLOTS`` do. All rows are scored, over whole texts.
+of the sample have it. The driver takes the shards' states one after another, in ranges of coordinates, so it holds the mixed
+state and that of few shards, each at most two numbers for each of ``SLOTS``. All rows are scored, over whole texts.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 SHARDS = 8
 ROUNDS = 4
-LEAST_TEXTS = 5
-# Most slots that take part, the most frequent ones first.
-MOST_SLOTS = 1 << 18
+LEAST_TEXTS = 3
+# Coordinates of one range, as a power of two.
+RANGE_BITS = 16
 # Learning rate, its offset, and the weights of the two penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
 # Bytes that a stem keeps of a word.
@@ -143,24 +144,26 @@ def _coordinates(known: Broadcast) -> Callable[..., Column]:
 def _shards(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function that runs the updates over the rows of each shard, from the state that was sent."""
 
-    def moved(shard: int, state: State, begun: State) -> pa.RecordBatch:
+    def moved(shard: int, state: State, begun: State) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(state.n != begun.n).astype(np.int32)
-        row = [[shard], [at.tobytes()], [state.z[at].astype(np.float32).tobytes()], [state.n[at].astype(np.float32).tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], ["shard", "at", "z", "n"])
+        parts, starts = np.unique(at >> RANGE_BITS, return_index=True)
+        for part, own in zip(parts.tolist(), np.split(at, starts[1:]), strict=False):
+            row = [[own.tobytes()], [state.z[own].astype(np.float32).tobytes()], [state.n[own].astype(np.float32).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), *(pa.array(x, pa.binary()) for x in row)], ["part", "shard", "at", "z", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, own, shard = sent.value, None, None
+        begun, own, shard = State(sent.value.z.astype(np.float64), sent.value.n.astype(np.float64)), None, None
         for batch in batches:
             lists, labels, shards = (batch.column(c) for c in ("at", "label", "shard"))
             values, bounds = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
             for i, (label, of) in enumerate(zip(labels.to_pylist(), shards.to_pylist(), strict=True)):
                 if of != shard:
                     if own is not None:
-                        yield moved(shard, own, begun)
+                        yield from moved(shard, own, begun)
                     own, shard = State(begun.z.copy(), begun.n.copy()), of
                 own.learn(values[bounds[i] : bounds[i + 1]], label)
         if own is not None:
-            yield moved(shard, own, begun)
+            yield from moved(shard, own, begun)
 
     return run
 
@@ -173,8 +176,8 @@ def train(rows: DataFrame, label: str = "toxic") -> Model:
     spark = rows.sparkSession
     texts = written(rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).cast("double").alias("label")), "toxicity-texts")
     often = texts.select("text").mapInArrow(_texts_by_slot, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    # At most MOST_SLOTS numbers; of equally frequent slots the smaller.
-    slots_known = np.sort(np.array(often.orderBy(F.desc("n"), "slot").limit(MOST_SLOTS).select("slot").toArrow().column("slot").to_numpy(), np.int64))
+    # At most SLOTS numbers.
+    slots_known = np.sort(np.array(often.select("slot").toArrow().column("slot").to_numpy(), np.int64))
     # Dealt by content and written once: every round reads the same rows of a shard in the same order, without a shuffle.
     places = _coordinates(spark.sparkContext.broadcast(slots_known))
     key = F.xxhash64("text")
@@ -182,11 +185,10 @@ def train(rows: DataFrame, label: str = "toxic") -> Model:
     dealt = written(dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", "order", "label").drop("order"), "toxicity-sample")
     state = State(np.zeros(len(slots_known) + 1), np.zeros(len(slots_known) + 1))
     for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(state)
-        # SHARDS rows, each of at most MOST_SLOTS coordinates.
-        parts = sorted(dealt.mapInArrow(_shards(sent), "shard int, at binary, z binary, n binary").collect(), key=lambda r: r["shard"])
-        z, n, met = np.zeros(len(state.z)), np.zeros(len(state.n)), np.zeros(len(state.n))
-        for part in parts:
+        sent = spark.sparkContext.broadcast(State(state.z.astype(np.float32), state.n.astype(np.float32)))
+        z, n, met = np.zeros(len(state.z)), np.zeros(len(state.n)), np.zeros(len(state.n), np.int8)
+        # Shard by shard, so that the driver never holds the moves of all; nothing is shuffled or written.
+        for part in dealt.mapInArrow(_shards(sent), "part int, shard int, at binary, z binary, n binary").toLocalIterator(prefetchPartitions=True):
             at = np.frombuffer(part["at"], np.int32)
             z[at] += np.frombuffer(part["z"], np.float32)
             n[at] += np.frombuffer(part["n"], np.float32)

@@ -141,3 +141,12 @@ def test_toxicity_bears_anything(spark):
     assert toxicity.score(docs, toxicity.learn(docs, labels)).where("score between 0 and 1").count() == docs.count()
     assert {r["score"] for r in toxicity.score(docs, toxicity.learn(docs, labels.limit(0))).collect()} == {0.5}
     assert toxicity.score(empty(spark), toxicity.learn(empty(spark), labels)).collect() == []
+
+
+def test_toxicity_keeps_rare_slots_beside_many_frequent_ones(spark):
+    rng = np.random.default_rng(1)
+    clean = [" ".join(f"c{x}" for x in rng.integers(0, 1 << 40, 8_000)) for _ in range(14)]
+    toxic = "zyxo wvut srqp"
+    rows = spark.createDataFrame([(t, 0) for t in clean for _ in range(6)] + [(toxic, 1)] * 5, "text string, toxic int")
+    scores = toxicity.train(rows).score(pa.array([toxic, clean[0]]))
+    assert scores[0] > 0.5 > scores[1]
