@@ -12,6 +12,7 @@ from docledger.llm.decontaminate import OP6_SQL, op6_decontaminate
 from docledger.llm.fingerprints import op8_fingerprints
 from docledger.llm.langid import op2_language
 from docledger.llm.licenses import op5_licenses
+from docledger.llm.minhash import OP13_SQL, op13_minhash
 from docledger.llm.quality import op3_quality
 from docledger.llm.simhash import op4_simhash
 from docledger.llm.token_files import op7_token_files
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLES: dict[str, str] = {
     "op6_decontaminate": OP6_SQL,
     "op9_chat": OP9_SQL,
+    "op13_minhash": OP13_SQL,
 }

@@ -158,17 +158,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own contract. Of rows with equal ids a hash of the text decides; rows without id come after those with one; of rows with
     equal id and text one stays.
     """
-    row = F.xxhash64("doc_id", "text")
-    keyed = docs.withColumn("__key", row)
-    marked = written(minhash.sketches(keyed.select("doc_id", "text", "__key")), "minhash-rows")
-    # One row of each set of shingles gives its text.
-    chosen = marked.groupBy("set").agg(F.min("__key").alias("__key"))
-    texts = keyed.select("__key", "text").join(chosen, "__key").select("set", "text").dropDuplicates(["set"])
-    roots = minhash.roots(marked.select("set", "size", "bands"), texts)
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    marked, found = minhash.grouped(keyed.select("doc_id", "text", "__key"), minhash.ALIKE, "__key")
     best = (
         marked.groupBy("set")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first"))
-        .join(roots.withColumnRenamed("node", "set"), "set", "left")
+        .join(found, "set", "left")
         .groupBy(F.coalesce("root", "set").alias("group"))
         .agg(F.min("first").alias("first"))
         .select(F.col("first.doc_id").alias("__id"), F.col("first.__key").alias("__first"))
