@@ -17,6 +17,7 @@ from docledger.llm.quality import op3_quality
 from docledger.llm.simhash import op4_simhash
 from docledger.llm.token_files import op7_token_files
 from docledger.llm.toxicity import op10_toxicity
+from docledger.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
@@ -29,11 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
     "op13_minhash": op13_minhash,
 }
 
 ORACLES: dict[str, str] = {
     "op6_decontaminate": OP6_SQL,
     "op9_chat": OP9_SQL,
+    "op11_vector_codes": OP11_SQL,
     "op13_minhash": OP13_SQL,
 }
