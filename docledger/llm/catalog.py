@@ -14,6 +14,7 @@ from docledger.llm.langid import op2_language
 from docledger.llm.licenses import op5_licenses
 from docledger.llm.minhash import OP13_SQL, op13_minhash
 from docledger.llm.quality import op3_quality
+from docledger.llm.repair import OP12_SQL, op12_repair
 from docledger.llm.simhash import op4_simhash
 from docledger.llm.token_files import op7_token_files
 from docledger.llm.toxicity import op10_toxicity
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
     "op11_vector_codes": op11_vector_codes,
+    "op12_repair": op12_repair,
     "op13_minhash": op13_minhash,
 }
 
@@ -38,5 +40,6 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": OP6_SQL,
     "op9_chat": OP9_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_repair": OP12_SQL,
     "op13_minhash": OP13_SQL,
 }
