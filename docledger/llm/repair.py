@@ -20,7 +20,7 @@ strings of the same rows are never prefixes of each other at equal cost, so the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -262,45 +262,52 @@ def _symbols(conversations: DataFrame) -> DataFrame:
 _PIECE = "conv_id long, seg long, symbols string, turns long, first long, last long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of the conversations in one range of sorted rows, with the number of different turns, the first and the last."""
-    seg = TaskContext.get().partitionId() << 32
-    done: list[tuple] = []
-    conv, begun, letters, turns, first, last = None, False, bytearray(), 0, None, None
-
-    def close() -> None:
-        nonlocal seg, letters, turns, first, last
-        if letters:
-            done.append((conv, seg, letters.decode(), turns, first, last))
-            seg += 1
-        letters, turns, first, last = bytearray(), 0, None, None
+def _pieces(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function that makes pieces of the conversations in one range of sorted rows.
 
-    def out() -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        columns = zip(*done, strict=True) if done else ([] for _ in types)
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in _PIECE.split(", ")])
-        done.clear()
-        return batch
+    A piece has at most ``most`` symbols, and the number of its different turns, the first and the last.
+    """
 
-    for batch in batches:
-        for of, turn, n, own, later in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "n", "symbol", "later")), strict=True):
-            if not begun or of != conv:
-                close()
-                conv, begun = of, True
-            letter = own
-            while n > 0:
-                if len(letters) == PIECE:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = TaskContext.get().partitionId() << 32
+        done: list[tuple] = []
+        conv, begun, letters, turns, first, last = None, False, bytearray(), 0, None, None
+
+        def close() -> None:
+            nonlocal seg, letters, turns, first, last
+            if letters:
+                done.append((conv, seg, letters.decode(), turns, first, last))
+                seg += 1
+            letters, turns, first, last = bytearray(), 0, None, None
+
+        def out() -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            columns = zip(*done, strict=True) if done else ([] for _ in types)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in _PIECE.split(", ")])
+            done.clear()
+            return batch
+
+        for batch in batches:
+            for of, turn, n, own, later in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "n", "symbol", "later")), strict=True):
+                if not begun or of != conv:
                     close()
-                if turn is not None and turn != last:
-                    turns, first, last = turns + 1, turn if first is None else first, turn
-                many = 1 if letter is own else min(n, PIECE - len(letters))
-                letters += (letter * many).encode()
-                n -= many
-                letter = later
-            if len(done) >= 500:
-                yield out()
-    close()
-    yield out()
+                    conv, begun = of, True
+                letter = own
+                while n > 0:
+                    if len(letters) == most:
+                        close()
+                    if turn is not None and turn != last:
+                        turns, first, last = turns + 1, turn if first is None else first, turn
+                    many = 1 if letter is own else min(n, most - len(letters))
+                    letters += (letter * many).encode()
+                    n -= many
+                    letter = later
+                if len(done) >= 500:
+                    yield out()
+        close()
+        yield out()
+
+    return run
 
 
 _SOLVED = "symbols string, costs array<long>, edits array<string>"
@@ -374,16 +381,17 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def reports(conversations: DataFrame) -> DataFrame:
+def reports(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     """One row for each conv_id of (conv_id, turn, role, text[, copies]), null included: its faults, the cost and the edits of its repair.
 
     Rows are taken by turn, null ones first; rows of one turn by role, then by a digest of the text; ``copies`` (1) says how
-    often a row stands there. Null roles and texts are one space. Other columns are not read.
+    often a row stands there. Null roles and texts are one space. Other columns are not read. ``piece`` bounds the symbols of a
+    piece.
     """
     prepare(conversations.sparkSession)
     rows = _symbols(conversations)
     ranged = rows.repartitionByRange("conv_id", "turn", "role", "digest").sortWithinPartitions("conv_id", "turn", "role", "digest")
-    pieces = written(ranged.select("conv_id", "turn", "n", "symbol", "later").mapInArrow(_pieces, _PIECE), "repair-pieces")
+    pieces = written(ranged.select("conv_id", "turn", "n", "symbol", "later").mapInArrow(_pieces(piece), _PIECE), "repair-pieces")
     solved = pieces.select("symbols").distinct().mapInArrow(_solve, _SOLVED)
     dealt = pieces.join(solved, "symbols").repartition("conv_id").sortWithinPartitions("conv_id", "seg")
     return dealt.select("conv_id", "symbols", "turns", "first", "last", "costs", "edits").mapInArrow(_fold, _REPORT)
@@ -490,10 +498,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries(given)
 
 
-def summaries(given: DataFrame) -> DataFrame:
+def summaries(given: DataFrame, piece: int = PIECE) -> DataFrame:
     """One row for each conv_id of ``given``: the report of its damaged rows, and the digest of the repaired ones."""
     rows = damaged(given)
-    found = written(reports(rows), "repair-reports")
+    found = written(reports(rows, piece), "repair-reports")
     digests = repaired(rows, found).mapInArrow(_digests, "conv_id long, repaired_sha256 string")
     counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     out = given.select("conv_id").distinct()
