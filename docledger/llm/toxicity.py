@@ -6,9 +6,9 @@ exactly zero until the evidence exceeds it, so the weights are few and are sent
 
 Labels are learned from a bounded sample of labelled rows (``MAX_LABELLED``, chosen by a hash of the id). The sample is
 dealt to ``SHARDS`` tasks; each runs the updates over its rows, and the states are mixed coordinate by coordinate over
-those shards that met the coordinate, which is repeated for ``ROUNDS``. A slot takes part if at least ``LEAST_TEXTS`` texts
-of the sample have it. The driver takes the shards' states one after another, in ranges of coordinates, so it holds the mixed
-state and that of few shards, each at most two numbers for each of ``SLOTS``. All rows are scored, over whole texts.
+those shards that met the coordinate, which is repeated for ``ROUNDS``. The table of slots is the feature space: nothing is
+chosen or dropped beforehand, a rare slot has no weight because of the L1 term. States are mixed by Spark in ranges of
+coordinates, so the driver holds two numbers for each of ``SLOTS``, whatever the input. All rows are scored, over whole texts.
 """
 
 from __future__ import annotations
@@ -19,19 +19,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from docledger.llm.shared import hashed_words, held_out, labelled_sample, mix, prepare, segment_hashes, written
 
 # Most labelled rows that a model learns from.
 MAX_LABELLED = 24_000
-SLOT_BITS = 22
+SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 SHARDS = 8
 ROUNDS = 4
-LEAST_TEXTS = 3
 # Coordinates of one range, as a power of two.
 RANGE_BITS = 16
 # Learning rate, its offset, and the weights of the two penalties.
@@ -115,41 +115,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums + self.constant, -35, 35)))
 
 
-def _texts_by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, n): in how many texts of one task each slot occurs."""
-    count = np.zeros(SLOTS, np.int32)
+@arrow_udf(ArrayType(IntegerType(), False))
+def _coordinates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The different slots of each text."""
     for batch in batches:
-        for features in by_text(batch.column("text")):
-            count[features] += 1
-    found = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count[found].astype(np.int64))], ["slot", "n"])
+        found = list(by_text(batch))
+        bounds = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)))
 
 
-def _coordinates(known: Broadcast) -> Callable[..., Column]:
-    """The function that turns texts into the places of their slots among the known ones."""
+_MOVES = "part int, z binary, n binary, met binary"
 
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            found = []
-            for features in by_text(batch):
-                at = np.searchsorted(known.value, features)
-                at[at == len(known.value)] = 0
-                found.append(at[known.value[at] == features].astype(np.int32) if len(known.value) else at[:0].astype(np.int32))
-            bounds = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
-    return arrow_udf(of, "array<int>")
+def _moves(part: int, z: np.ndarray, n: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    values = (z.astype(np.float32), n.astype(np.float32), met.astype(np.uint8))
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], ["part", "z", "n", "met"])
 
 
 def _shards(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function that runs the updates over the rows of each shard, from the state that was sent."""
 
-    def moved(shard: int, state: State, begun: State) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(state.n != begun.n).astype(np.int32)
-        parts, starts = np.unique(at >> RANGE_BITS, return_index=True)
-        for part, own in zip(parts.tolist(), np.split(at, starts[1:]), strict=False):
-            row = [[own.tobytes()], [state.z[own].astype(np.float32).tobytes()], [state.n[own].astype(np.float32).tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), *(pa.array(x, pa.binary()) for x in row)], ["part", "shard", "at", "z", "n"])
+    def moved(state: State, begun: State) -> Iterator[pa.RecordBatch]:
+        for part, at in enumerate(range(0, len(state.z), 1 << RANGE_BITS)):
+            own = slice(at, at + (1 << RANGE_BITS))
+            met = state.n[own] != begun.n[own]
+            if met.any():
+                yield _moves(part, state.z[own] * met, state.n[own] * met, met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun, own, shard = State(sent.value.z.astype(np.float64), sent.value.n.astype(np.float64)), None, None
@@ -159,45 +150,51 @@ def _shards(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for i, (label, of) in enumerate(zip(labels.to_pylist(), shards.to_pylist(), strict=True)):
                 if of != shard:
                     if own is not None:
-                        yield from moved(shard, own, begun)
+                        yield from moved(own, begun)
                     own, shard = State(begun.z.copy(), begun.n.copy()), of
                 own.learn(values[bounds[i] : bounds[i + 1]], label)
         if own is not None:
-            yield from moved(shard, own, begun)
+            yield from moved(own, begun)
 
     return run
 
 
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the moves of all shards, by range of coordinates."""
+    total: dict[int, tuple[np.ndarray, ...]] = {}
+    for batch in batches:
+        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "z", "n", "met")), strict=True):
+            own = tuple(np.frombuffer(v, t).astype(np.float64) for v, t in zip(row, (np.float32, np.float32, np.uint8), strict=True))
+            total[part] = tuple(a + b for a, b in zip(total[part], own, strict=True)) if part in total else own
+    for part, own in total.items():
+        yield _moves(part, *own)
+
+
 def train(rows: DataFrame, label: str = "toxic") -> Model:
     """A model of ``label`` (0 or 1) from rows of (text, label); call it with a bounded number of rows.
 
     Null texts have no features and count as texts. Without rows every score is 0.5; a constant label is learned as such.
     """
     spark = rows.sparkSession
-    texts = written(rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).cast("double").alias("label")), "toxicity-texts")
-    often = texts.select("text").mapInArrow(_texts_by_slot, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    # At most SLOTS numbers.
-    slots_known = np.sort(np.array(often.select("slot").toArrow().column("slot").to_numpy(), np.int64))
     # Dealt by content and written once: every round reads the same rows of a shard in the same order, without a shuffle.
-    places = _coordinates(spark.sparkContext.broadcast(slots_known))
     key = F.xxhash64("text")
-    dealt = texts.select(places("text").alias("at"), "label", F.pmod(key, F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64("text", F.lit(7)).alias("order"))
+    texts = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col(label).cast("double").alias("label"))
+    dealt = texts.select(_coordinates("text").alias("at"), "label", F.pmod(key, F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64("text", F.lit(7)).alias("order"))
     dealt = written(dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", "order", "label").drop("order"), "toxicity-sample")
-    state = State(np.zeros(len(slots_known) + 1), np.zeros(len(slots_known) + 1))
+    state = State(np.zeros(SLOTS + 1), np.zeros(SLOTS + 1))
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(State(state.z.astype(np.float32), state.n.astype(np.float32)))
-        z, n, met = np.zeros(len(state.z)), np.zeros(len(state.n)), np.zeros(len(state.n), np.int8)
-        # Shard by shard, so that the driver never holds the moves of all; nothing is shuffled or written.
-        for part in dealt.mapInArrow(_shards(sent), "part int, shard int, at binary, z binary, n binary").toLocalIterator(prefetchPartitions=True):
-            at = np.frombuffer(part["at"], np.int32)
-            z[at] += np.frombuffer(part["z"], np.float32)
-            n[at] += np.frombuffer(part["n"], np.float32)
-            met[at] += 1
-        state = State(np.where(met > 0, z / np.maximum(met, 1), state.z), np.where(met > 0, n / np.maximum(met, 1), state.n))
+        moves = dealt.mapInArrow(_shards(sent), _MOVES).repartition("part").mapInArrow(_mixed, _MOVES)
+        # One row for each range of coordinates.
+        for row in moves.toArrow().to_pylist():
+            z, n, met = (np.frombuffer(row[c], t).astype(np.float64) for c, t in (("z", np.float32), ("n", np.float32), ("met", np.uint8)))
+            at = np.flatnonzero(met)
+            own = at + (row["part"] << RANGE_BITS)
+            state.z[own], state.n[own] = z[at] / met[at], n[at] / met[at]
         sent.destroy()
     weights = state.weights()
     kept = np.flatnonzero(weights[:-1])
-    return Model(slots_known[kept], weights[:-1][kept].astype(np.float32), float(weights[-1]))
+    return Model(kept, weights[:-1][kept].astype(np.float32), float(weights[-1]))
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

@@ -135,6 +135,40 @@ def test_updates_follow_the_formula():
     assert state.weights()[0] > 0
 
 
+def test_rounds_are_plain_ftrl_in_shards_that_are_averaged(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = {" ".join(rng.choice(words, 12)): float(rng.integers(2)) for _ in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "text string, toxic double")
+    dealt = rows.selectExpr("text", "toxic", f"pmod(xxhash64(text), {toxicity.SHARDS}) AS shard", "xxhash64(text, 7) AS o").collect()
+    z, n = {}, {}  # the mixed state by slot; the constant is -1
+
+    def weight(a, b):
+        return 0.0 if abs(a) <= toxicity.L1 else (np.sign(a) * toxicity.L1 - a) / ((toxicity.BETA + b**0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.ROUNDS):
+        moved = []
+        for shard in range(toxicity.SHARDS):
+            own_z, own_n, met = dict(z), dict(n), set()
+            for r in sorted((r for r in dealt if r["shard"] == shard), key=lambda r: r["o"]):
+                slots = [*next(toxicity.by_text(pa.array([r["text"]]))).tolist(), -1]
+                w = {s: weight(own_z.get(s, 0.0), own_n.get(s, 0.0)) for s in slots}
+                g = 1 / (1 + np.exp(-sum(w.values()))) - r["toxic"]
+                for s in slots:
+                    a, b = own_z.get(s, 0.0), own_n.get(s, 0.0)
+                    own_z[s], own_n[s] = a + g - ((b + g * g) ** 0.5 - b**0.5) / toxicity.ALPHA * w[s], b + g * g
+                    met.add(s)
+            moved.append((own_z, own_n, met))
+        for s in set().union(*(m for _, _, m in moved)):
+            those = [(a[s], b[s]) for a, b, m in moved if s in m]
+            z[s], n[s] = np.mean([a for a, _ in those]), np.mean([b for _, b in those])
+    model = toxicity.train(rows)
+    want = {s: weight(z[s], n[s]) for s in z if s >= 0 and weight(z[s], n[s])}
+    assert model.slots.tolist() == sorted(want) and len(want) > 5
+    assert np.allclose(model.weights, [want[s] for s in sorted(want)], atol=1e-4)
+    assert model.constant == pytest.approx(weight(z[-1], n[-1]), abs=1e-4)
+
+
 def test_toxicity_bears_anything(spark):
     docs = hostile(spark)
     labels = spark.createDataFrame([(i, i % 2) for i in [*range(12), 6]] + [(None, 1), (5, None)], "doc_id long, toxic int")
