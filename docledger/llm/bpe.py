@@ -8,6 +8,9 @@ Decoding puts the vocabulary strings of the ids together.
 The rank table is a file of a few megabytes with a fixed size, read once by each Python worker. Pieces repeat, so each
 worker keeps the ids of the pieces it has met, up to ``MAX_PIECES``; beyond that the memo starts anew. That bounds memory
 and never changes a result.
+
+Texts of plain characters are cut a batch at a time, by classes of bytes. A piece of up to ``SHORT`` bytes is two numbers,
+which are looked up in a table of the pieces met last; what is not there goes to the memo, each different piece once a batch.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType
 
-from docledger.llm.shared import prepare, sha256_hex
+from docledger.llm.shared import LOWER, prepare, sha256_hex, utf8
 
 # Pieces a worker remembers before it forgets all of them.
 MAX_PIECES = 900_000
@@ -39,6 +42,11 @@ _BETWEEN = "\x01"
 SHIFT, PLACE = 24, 40
 PLACES = (1 << PLACE) - 1
 
+# Bytes of a piece that has numbers of its own, places of the table of such pieces, and bytes that are cut at once.
+SHORT = 15
+TABLE_BITS = 20
+WINDOW = 1 << 21
+
 # Fixed values of the tokenizer file: contractions that are pieces of their own.
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 
@@ -46,9 +54,18 @@ CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 # version: ASCII without the four separators 1C-1F, and the Latin letters of U+00C0 to U+017F that lower-case to one.
 _PLAIN_LETTERS = "".join(c for c in map(chr, range(0xDF, 0x180)) if c.islower())
 _CAPITALS = "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isupper() and c.lower() in _PLAIN_LETTERS)
-_NOT_PLAIN = re.compile(f"[^\x00-\x1b\x20-\x7f{_PLAIN_LETTERS}{_CAPITALS}]")
-# Letters come first: no contraction starts with one, so the order does not matter, and most pieces are words.
-_PLAIN_PIECE = re.compile(f"[a-z{_PLAIN_LETTERS}]+|{'|'.join(CONTRACTIONS)}|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9{_PLAIN_LETTERS}]+")
+
+# Classes of the bytes of plain texts in lower case; bytes beyond ASCII belong to letters.
+_BLANK, _LETTER, _DIGIT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[list(b" \t\n\r\x0b\x0c")], _CLASS[0x61:0x7B], _CLASS[0x80:], _CLASS[0x30:0x3A] = _BLANK, _LETTER, _LETTER, _DIGIT
+# The two bytes of a letter of U+00C0 to U+017F in lower case, by its first byte and the low bits of its second; 0 if it is not plain.
+_LEADS = range(0xC3, 0xC6)
+_LATIN = np.zeros((len(_LEADS), 64), np.uint16)
+for _c in _PLAIN_LETTERS + _CAPITALS:
+    _first, _second = _c.encode()
+    _LATIN[_first - _LEADS[0], _second & 63] = int.from_bytes(_c.lower().encode(), "big")
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def _byte_symbols() -> list[str]:
@@ -89,6 +106,7 @@ class Encoder:
         self._bytes = [self.ids[c] for c in _byte_symbols()]
         self._last = [self.ids[c + self.suffix] for c in _byte_symbols()]
         self._splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._marks = [text.encode() for text in self.special]
         self._forget()
 
     def _forget(self) -> None:
@@ -96,6 +114,9 @@ class Encoder:
         self._flat = array("i")
         self._ends = array("q", [0])
         self._arrays: tuple[np.ndarray, np.ndarray] | None = None
+        # Numbers of the pieces met last, and their places; no piece has length 0.
+        self._known = np.zeros((1 << TABLE_BITS, 2), np.uint64)
+        self._place = np.zeros(1 << TABLE_BITS, np.int32)
         for text, at in self.special.items():  # never produced by the piece patterns
             self._put("\0" + text, [at])
 
@@ -149,8 +170,6 @@ class Encoder:
         return self._cut(text)
 
     def _cut(self, text: str) -> list[str]:
-        if not _NOT_PLAIN.search(text):
-            return _PLAIN_PIECE.findall(text.lower())
         # What is a letter, a number or a blank depends on the version of Unicode: the library's own tables decide.
         cut = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
         return [bytes(map(self._byte_of.__getitem__, piece)).decode() for piece, _ in cut]
@@ -168,22 +187,126 @@ class Encoder:
             self._arrays = None
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _short(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Memo places of the pieces [start, end) of a window; ``low`` has 16 more bytes than its pieces need."""
+        length = ends - starts
+        words = np.ndarray((len(low) - 8,), "<u8", low, 0, (1,))
+        keys = np.empty((len(starts), 2), np.uint64)
+        keys[:, 0] = words[starts] & _MASKS[np.minimum(length, 8)]
+        keys[:, 1] = (words[starts + 8] & _MASKS[np.clip(length - 8, 0, 7)]) | (length.astype(np.uint64) << np.uint64(56))
+        slot = ((keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))) >> np.uint64(64 - TABLE_BITS)
+        slot = slot.astype(np.int64)
+        places = self._place[slot].astype(np.int64)
+        missed = np.flatnonzero((self._known[slot] != keys).any(axis=1) | (length > SHORT))
+        if len(missed):
+            raw, found = low.tobytes(), {}
+            at = []
+            for a, b in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True):
+                piece = raw[a:b]
+                place = found.get(piece)
+                if place is None:
+                    text = piece.decode()
+                    place = self.memo.get(text)
+                    found[piece] = place = self._put(text, self.merge(text)) if place is None else place
+                at.append(place)
+            places[missed] = at
+            self._arrays = None
+            kept = missed[length[missed] <= SHORT]
+            # One piece for each place of the table: the last one met.
+            one = np.unique(slot[kept][::-1], return_index=True)[1]
+            kept = kept[::-1][one]
+            self._known[slot[kept]], self._place[slot[kept]] = keys[kept], places[kept]
+        return places
+
+    def _plain(self, raw: np.ndarray, rows: np.ndarray, slow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(memo places of the pieces of all plain rows, number of pieces of each row); bytes of ``slow`` rows have none."""
+        places, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(raw):
+            end = min(at + WINDOW, len(raw))
+            while end < len(raw) and _CLASS[raw[end]] != _BLANK:
+                inside = _CLASS[raw[end : end + 4096]] != _BLANK
+                end += len(inside) if inside.all() else int(np.argmin(inside))
+            low = np.zeros(end - at + 16, np.uint8)
+            low[:-16] = LOWER[raw[at:end]]
+            lead = np.flatnonzero((low >= _LEADS[0]) & (low <= _LEADS[-1]))
+            pair = _LATIN[low[lead] - _LEADS[0], low[lead + 1] & 63]
+            low[lead], low[lead + 1] = pair >> 8, pair & 255
+            kind = _CLASS[low[:-16]]
+            for k in slow[(rows[slow] < end) & (rows[slow + 1] > at)].tolist():
+                kind[max(rows[k] - at, 0) : rows[k + 1] - at] = _BLANK
+            border = np.zeros(end - at + 1, bool)
+            border[rows[(rows >= at) & (rows <= end)] - at] = True
+            border[0] = True
+            cut = border[:-1] | (kind == _DIGIT)
+            cut[1:] |= kind[1:] != kind[:-1]
+            starts = np.flatnonzero(cut)
+            ends = np.append(starts[1:], end - at)
+            real = kind[starts] != _BLANK
+            starts, ends = starts[real], ends[real]
+            starts, ends = self._contracted(low, starts, ends, border)
+            places.append(self._short(low, starts, ends))
+            firsts.append(starts + at)
+            at = end
+        return np.concatenate(places), np.diff(np.searchsorted(np.concatenate(firsts), rows))
+
+    @staticmethod
+    def _contracted(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces with contractions: a lone apostrophe takes the first letters of the word after it, if they are one."""
+        lone = np.flatnonzero((low[starts[:-1]] == 0x27) & (ends[:-1] - starts[:-1] == 1) & (starts[1:] == ends[:-1])) if len(starts) > 1 else starts[:0]
+        lone = lone[~border[ends[lone]]]
+        if not len(lone):
+            return starts, ends
+        took = np.zeros(len(lone), np.int64)
+        letters = ends[lone + 1] - starts[lone + 1]
+        for text in CONTRACTIONS:
+            own = text[1:].encode()
+            same = letters >= len(own)
+            for k, c in enumerate(own):
+                same &= low[starts[lone] + 1 + k] == c
+            took[same & (took == 0)] = len(own)
+        starts, ends = starts.copy(), ends.copy()
+        ends[lone] += took
+        starts[lone + 1] += took
+        left = starts < ends
+        return starts[left], ends[left]
+
+    def _slow_rows(self, raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Rows with characters that are not plain, or with a special token."""
+        high = np.flatnonzero(raw >= 0x80)
+        byte = raw[high]
+        lead = (byte >= _LEADS[0]) & (byte <= _LEADS[-1])
+        latin = np.zeros(len(high), bool)
+        latin[lead] = _LATIN[byte[lead] - _LEADS[0], raw[high[lead] + 1] & 63] > 0
+        before = raw[high - 1]
+        latin |= (byte < 0xC0) & (before >= _LEADS[0]) & (before <= _LEADS[-1])
+        odd = [high[~latin], np.flatnonzero((raw >= 0x1C) & (raw <= 0x1F))]
+        text = raw.tobytes()
+        for mark in self._marks:
+            at = text.find(mark)
+            while at >= 0:
+                odd.append(np.array([at]))
+                at = text.find(mark, at + 1)
+        return np.unique(np.searchsorted(rows, np.concatenate(odd), side="right") - 1)
+
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets n + 1)."""
         if len(self.memo) > MAX_PIECES or len(self._flat) > 8 * MAX_PIECES:
             self._forget()
-        places: list[int] = []
-        ends = [0]
-        for text in texts:
-            if text:
-                places += self.places(self.pieces(text))
-            ends.append(len(places))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        raw, rows = utf8(texts)
+        slow = self._slow_rows(raw, rows)
+        at, many = self._plain(raw, rows, slow)
+        if len(slow):
+            found = {int(k): self.places(self.pieces(texts[int(k)].as_py())) for k in slow}
+            bounds = np.concatenate(([0], np.cumsum(many)))
+            at = np.concatenate([np.asarray(found[k], np.int64) if k in found else at[bounds[k] : bounds[k + 1]] for k in range(len(texts))])
+            many[slow] = [len(found[int(k)]) for k in slow]
         flat, bounds = self.tables()
-        at = np.asarray(places, np.int64)
         lengths = bounds[at + 1] - bounds[at]
         stops = np.concatenate(([0], np.cumsum(lengths)))
         ids = flat[np.arange(stops[-1]) + np.repeat(bounds[at] - stops[:-1], lengths)]
-        return ids, stops[np.asarray(ends)]
+        return ids, stops[np.concatenate(([0], np.cumsum(many)))]
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """All remembered ids and the bounds of each place, as arrays."""
@@ -213,7 +336,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = encoder(path)
         for batch in batches:
-            ids, offsets = coder.encode_batch(batch.to_pylist())
+            ids, offsets = coder.encode_batch(batch)
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
     prepare(docs.sparkSession)

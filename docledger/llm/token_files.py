@@ -169,7 +169,7 @@ def encoded(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
         coder = _coder(vocabulary)
         width = "<u2" if len(coder.strings) <= 1 << 16 else "<u4"
         for batch in batches:
-            ids, at = coder.encode_batch(batch.to_pylist())
+            ids, at = coder.encode_batch(batch)
             ids = np.insert(ids, at[1:], end_id).astype(width)
             at = (at + np.arange(len(at))) * ids.itemsize
             yield pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids)])
