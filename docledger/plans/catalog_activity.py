@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docledger.plans import jobstats as js
 from docledger.plans.registry import query
 from docledger.sources import activity as act
-from docledger.streaming import alerts, jobs as sj
+from docledger.streaming import alerts, jobs as sj, silence
 
 AS_OF = dt.datetime(2024, 1, 31)
 _E = "CAST(json_extract_string(props, '$.k') AS INT)"
@@ -302,6 +302,20 @@ def alert_for(spark, d):
     return found.select("source", _t("at").alias("at"), "state", _t("since").alias("since"))
 
 
+@query(
+    "silence_alarms",
+    f"""WITH {_CALLS}, g AS (SELECT source, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY source ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM calls),
+        s AS (SELECT source, ts, sum(new) OVER (PARTITION BY source ORDER BY ts) AS k FROM g),
+        w AS (SELECT source, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY source, k)
+        SELECT source, {_ts('first')} AS first_seen, {_ts('last')} AS last_seen, n, {_ts('last + INTERVAL 1 HOUR')} AS alarm_at FROM w
+        WHERE epoch_us(last) + 3600000000 <= (SELECT (epoch_ms(max(ts)) - 600000) * 1000 FROM calls)""",
+)
+def silence_alarms(spark, d):
+    silence.use_rocksdb(spark)
+    found = _finished(spark, silence.silence_alarms(act.api_calls_from_events(_stream(spark, d)), gap_seconds=3600))
+    return found.select("source", *(_t(c).alias(c) for c in ("first_seen", "last_seen", "alarm_at")), "n")
+
+
 _LIVES = """WITH e AS (SELECT 'job-' || user_id || '-' || epoch(date_trunc('hour', ts))::BIGINT AS job_id, floor(epoch(ts))::BIGINT AS sec,
     CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS status FROM events),
   j AS (SELECT job_id, min(sec) AS started, min(sec) FILTER (status <> 'processing') AS e FROM e GROUP BY job_id),
