@@ -247,3 +247,8 @@ def has_table(col: Column) -> Column:
         col,
         F.lit(rf"(?i){_HEAD}[^\n]*\n[^\n]*{_HEAD}|---[^\n]*---|\|[^\n]*\|"),
     )
+
+
+def short_blanks(text: Column) -> Column:
+    """Text whose runs of three or more blanks and tabs are two blanks: columns stay apart, and no pattern meets a long run."""
+    return F.regexp_replace(text, "[ \\t]{3,}", "  ")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions.checks import Validators
-from docledger.operators.items import GENERIC_SHAPES, SEP, SUMMARY_WORDS, _template
+from docledger.operators.items import GENERIC_SHAPES, SEP, SUMMARY_LINE, _template
 
 
 class Extractors:
@@ -152,7 +152,7 @@ def register_items_function(spark: SparkSession, name: str = "invoice_items") ->
         RETURNS TABLE (item_no INT, description STRING, quantity STRING, unit STRING, unit_price STRING, amount STRING)
         RETURN SELECT pos + 1, p[2], nullif(p[3], ''), nullif(p[4], ''), nullif(p[5], ''), p[9]
         FROM posexplode(transform(
-            filter(transform(filter(split(doc_text, '\\n'), x -> NOT lower(x) RLIKE r'{SUMMARY_WORDS}'), x -> {line}),
+            filter(transform(filter(split(doc_text, '\\n'), x -> NOT lower(x) RLIKE r'{SUMMARY_LINE}'), x -> {line}),
                    x -> startswith(x, '{SEP}')),
             x -> split(x, '{SEP}'))) AS t(pos, p)
         """

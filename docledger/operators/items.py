@@ -7,14 +7,15 @@ by document, and attach sums by joins that adaptive execution can split when one
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions.amounts import parse_digits
+from docledger.functions.currency import CODES
 from docledger.functions.regexes import explode_rows, group, let
-from docledger.functions.text import lines, normalize_description
+from docledger.functions.text import lines, normalize_description, short_blanks
 from docledger.schemas import MONEY
 
 SEP = "\x01"
@@ -23,9 +24,9 @@ PARTS = ["item_code", "description", "quantity", "unit", "unit_price", "net_amou
 NUMERIC = {"quantity", "unit_price", "net_amount", "tax_rate", "tax_amount", "amount"}
 
 N = r"[0-9]{1,15}(?:[.,][0-9]{1,15}){0,6}"
-P = rf"[€$£¥]?[ \t]*({N})"
+P = rf"[€$£¥]?[ \t]*+({N})"
 D = r"([\p{L}\p{N}_][\p{L}\p{N}_ \t.,()&+'/-]*?)"
-S = r"[ \t]+"
+S = r"[ \t]++"
 
 # Shapes as (pattern, parts by capture group); the whole line has to fit.
 GENERIC_SHAPES = [
@@ -56,24 +57,35 @@ VENDOR_SHAPES = [
      ["item_code", "description", "quantity", "unit", "unit_price", "net_amount"]),
 ]
 
-# Words of summary and header lines.
-SUMMARY_WORDS = r"subtotal|total|tax|vat|shipping|discount|amount due|balance|payment"
+# Words that a summary line begins with, and words of header lines.
+SUMMARY_WORDS = ["subtotal", "sub-total", "total", "tax", "vat", "shipping", "discount", "amount due", "balance", "payment"]
 HEADER_WORDS = r"\b(?:DESCRIPTION|ITEM|QTY|PRICE|AMOUNT|TOTAL)"
 POLISH_SKIP = r"(?i)produkt|usługa|towar|nazwa|suma|razem|kwota|^[ \t]*vat\b"
 SECTION_START = r"item|description|product|groceries"
-SECTION_END = r"subtotal|total|tax|amount due|balance"
 
-ITEM_SECTION = [
-    r"(?is)((?:items?|products?|description)[ \t|]+(?:qty|quantity)[ \t|]+(?:unit[ \t]+)?price[ \t|]+(?:amount|total).*?(?:subtotal|total:|tax\b|\z))",
-    r"(?is)((?:invoice|line)\s+items.*?(?:subtotal|total|tax))",
-    r"(?is)((?:description|items?)\s+(?:details|information).*?(?:subtotal|total|tax))",
-    r"(?is)((?:groceries|items|merchandise)\b.*?(?:subtotal|tax|total))",
-]
+# A summary line begins with one of its words, may go on in words that qualify a sum, and then holds no more letters than a
+# currency; or its label ends in a colon. "Tax consulting" or "Total station" begin an item.
+_BEFORE = ["grand", "net", "gross", "sales", "order", "invoice"]
+_AFTER = ["total", "tax", "vat", "due", "amount", "sum", "net", "gross", "before", "after", "incl", "excl", "including", "excluding", "of", "in", "to", "pay", "and", "handling", "costs?", "fees?", "rate", "method", "terms", "payable", "now"]
+_UNIT = rf"(?:{'|'.join(c.lower() for c in CODES)}|zł|kr)"
+SUMMARY_LINE = (
+    rf"^[ \t|]*+(?:(?:{'|'.join(_BEFORE)})[ \t]++)?(?:{'|'.join(SUMMARY_WORDS)})(?![\p{{L}}\p{{N}}_])(?:[ \t.&/(]++(?:{'|'.join(_AFTER)})(?![\p{{L}}_]))*+"
+    rf"(?:[ \t)]*+:|[^\p{{L}}]*+(?:{_UNIT}(?![\p{{L}}])[^\p{{L}}]*+)?$)"
+)
+# A line that opens a list of items: a heading of its own, or the names of two columns.
+_COLUMNS = r"(?:items?|products?|description|article|qty|quantity|unit|price|amount|rate)"
+SECTION_LINE = rf"^[^\p{{L}}\p{{N}}]*+(?:(?:invoice |line |order )?(?:items?|products|merchandise|groceries)(?: (?:details|information|purchased))?[^\p{{L}}\p{{N}}]*+$|{_COLUMNS}[ \t|]++(?:[^\n]*[ \t|])?{_COLUMNS}(?![\p{{L}}]))"
+
+
+def is_summary(line: Column) -> Column:
+    """True for a line that states a sum, a tax, a discount or a payment, and nothing else."""
+    return F.rlike(F.lower(line), F.lit(SUMMARY_LINE))
 
 
 def item_section(text: Column) -> Column:
-    """Text between an items header and the first totals word, the whole text if there is no such section."""
-    return F.coalesce(*[group(text, p) for p in ITEM_SECTION], text)
+    """Text from the first line that opens a list of items to the first summary line after it, the whole text if there is none."""
+    section = _between(lines(text), lambda x: F.rlike(F.lower(x), F.lit(SECTION_LINE)), is_summary)
+    return F.coalesce(let(section, lambda found: F.when(F.size(found) > 0, F.array_join(found, "\n"))), text)
 
 
 def is_item_line(line: Column) -> Column:
@@ -82,7 +94,7 @@ def is_item_line(line: Column) -> Column:
     return (
         (F.length(F.trim(line)) >= 5)
         & ~header
-        & ~F.rlike(F.lower(line), F.lit(SUMMARY_WORDS))
+        & ~is_summary(line)
         & F.rlike(line, F.lit(r"[a-zA-Z]{3,}"))
         & F.rlike(line, F.lit(r"[0-9]+[,.][0-9]{2}"))
     )
@@ -136,7 +148,7 @@ def items_by_shapes(
     arr: Column, shapes: Sequence[tuple[str, Sequence[str]]], signed: bool = False, clean: bool = True
 ) -> Column:
     """Array of items of the lines that fit one of the shapes; others are left out."""
-    fitted = F.filter(F.transform(arr, lambda x: _fit(x, shapes)), lambda x: F.startswith(x, F.lit(SEP)))
+    fitted = F.filter(F.transform(arr, lambda x: _fit(short_blanks(x), shapes)), lambda x: F.startswith(x, F.lit(SEP)))
     raws = F.transform(F.transform(fitted, lambda x: F.split(x, SEP)), lambda p: _raw(p, signed, clean))
     items = F.transform(raws, _item)
     return F.filter(items, lambda i: i["description"].isNotNull() & (i["description"] != "") & i["amount"].isNotNull())
@@ -144,15 +156,15 @@ def items_by_shapes(
 
 def items_by_pattern(arr: Column) -> Column:
     """Four generic row shapes; needs a description and a positive amount, and the line must not be a summary."""
-    rows = F.filter(arr, lambda x: ~F.rlike(F.lower(x), F.lit(SUMMARY_WORDS)))
+    rows = F.filter(arr, lambda x: ~is_summary(x))
     return F.filter(items_by_shapes(rows, GENERIC_SHAPES), lambda i: i["amount"] > 0)
 
 
-def _between(arr: Column, start: str, end: str) -> Column:
-    """Lines after the first one matching ``start`` up to the next one matching ``end``."""
+def _between(arr: Column, start: Callable[[Column], Column], end: Callable[[Column], Column]) -> Column:
+    """Lines after the first one that is a ``start`` up to the next one that is an ``end``; null if no line starts."""
 
-    def first(a: Column, pattern: str) -> Column:
-        return F.array_position(F.transform(a, lambda x: F.rlike(F.lower(x), F.lit(pattern))), F.lit(True)).cast("int")
+    def first(a: Column, test: Callable[[Column], Column]) -> Column:
+        return F.array_position(F.transform(a, test), F.lit(True)).cast("int")
 
     def after(i: Column) -> Column:
         return F.when(i > 0, F.slice(arr, i + 1, F.greatest(F.size(arr) - i, F.lit(0))))
@@ -169,7 +181,7 @@ def items_by_lines(arr: Column) -> Column:
     A line splits on two or more spaces (or pipes) into description [, quantity [, price]], amount; otherwise the
     trailing number is the amount and an "n x" factor the quantity.
     """
-    section = F.filter(_between(arr, SECTION_START, SECTION_END), is_item_line)
+    section = F.filter(_between(arr, lambda x: F.rlike(F.lower(x), F.lit(SECTION_START)), is_summary), is_item_line)
     # Fixed layouts by number of columns, rewritten like any other shape.
     cell = r"([^\n|]+?)"
     gap = r"(?:[ \t]{2,}|[ \t]*\|[ \t]*)"

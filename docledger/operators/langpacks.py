@@ -40,10 +40,10 @@ PACKS: dict[str, dict[str, list[str]]] = {
         "seller_tax_id": [r"(?:^|\n)[ \t]*(?:vat|gst|tax)(?:\s+(?:id|no\.?))?[ \t]*:[ \t]*([A-Z]{0,3}[0-9][A-Z0-9-]{4,})"],
         "buyer_name": [rf"(?:^|\n)[ \t]*(?:bill|invoice|sold)\s+to[ \t]*:{_LINE}"],
         "buyer_tax_id": [r"\b(?:customer|buyer)\s+(?:tax\s+id|vat)[ \t:]*([A-Z0-9-]+)"],
-        "net": [rf"\b(?:sub-?total|total\s+before\s+tax)[ \t:]*[$€£¥]?[ \t]*({_N})"],
-        "tax": [rf"\b(?:sales\s+tax|tax|vat|gst)(?:[ \t]+amount)?[ \t]*(?:\([0-9.,]+%\))?[ \t:]*[$€£¥]?[ \t]*([0-9]{{1,15}}(?:[.,][0-9]{{1,15}}){{0,6}}[.,][0-9]{{2}})"],
+        "net": [rf"\b(?:sub-?total|total\s+before\s+tax)[ \t:]*+[$€£¥]?[ \t]*+({_N})"],
+        "tax": [rf"\b(?:sales\s+tax|tax|vat|gst)(?:[ \t]+amount)?[ \t]*(?:\([0-9.,]+%\))?[ \t:]*+[$€£¥]?[ \t]*+([0-9]{{1,15}}(?:[.,][0-9]{{1,15}}){{0,6}}[.,][0-9]{{2}})"],
         "rate": [r"\b(?:tax|vat|gst)[ \t:]*\(?([0-9]+(?:\.[0-9]+)?)[ \t]*%"],
-        "total": [rf"\b(?:grand\s+total|total|amount\s+due|balance\s+due)[ \t:]*[$€£¥]?[ \t]*({_N})"],
+        "total": [rf"\b(?:grand\s+total|total|amount\s+due|balance\s+due)[ \t:]*+[$€£¥]?[ \t]*+({_N})"],
         "terms": [rf"\b(?:payment\s+terms|terms)[ \t]*:{_LINE}"],
         "days": [r"\bnet[ \t]+([0-9]+)", r"\bwithin[ \t]+([0-9]+)[ \t]+days"],
         "method": [rf"\bpayment\s+method[ \t]*:{_LINE}"],
