@@ -7,6 +7,7 @@ expression over the language column, and only the branch of a row's own language
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,107 +29,94 @@ _LINE = r"[ \t]*([^\n]+)"
 _IBAN = r"([A-Z]{2}[ ]?[0-9]{2}[A-Z0-9 ]{10,32})"
 _BIC = r"([A-Z0-9]{8,11})\b"
 
-# Field -> patterns, by language. Labels are matched without regard to case.
-PACKS: dict[str, dict[str, list[str]]] = {
-    "en": {
-        "document_number": [r"\binvoice\s+(?:number|no\.?)[ \t:#]*([A-Z0-9-]*[0-9][A-Z0-9-]*)", r"\b(?:invoice|bill|receipt|inv|document|doc\.?)[ \t:]*#?[ \t]*([A-Z0-9-]*[0-9][A-Z0-9-]{2,})"],
-        "order_number": [r"\b(?:po|p\.o\.|purchase\s+order|order)[ \t:]*#?[ \t]*([A-Z0-9-]*[0-9][A-Z0-9-]*)"],
-        "issue_date": [rf"\b(?:invoice\s+date|dated|issued?)[ \t:]*({_D})", rf"(?:^|\n)[ \t]*date[ \t:]*({_D})"],
-        "due_date": [rf"\b(?:payment\s+due|due\s+date|payment\s+date|due)[ \t:]*({_D})", rf"\b(?:payable|payment)\s+by[ \t:]*({_D})"],
-        "currency": [r"\bcurrency[ \t:]*([A-Z]{3})\b", r"\b(?:amount|total|balance|subtotal)[ \t:]*([A-Z]{3})\b"],
-        "seller_name": [rf"(?:^|\n)[ \t]*(?:seller|vendor|provider|from)[ \t]*:{_LINE}"],
-        "seller_tax_id": [r"(?:^|\n)[ \t]*(?:vat|gst|tax)(?:\s+(?:id|no\.?))?[ \t]*:[ \t]*([A-Z]{0,3}[0-9][A-Z0-9-]{4,})"],
-        "buyer_name": [rf"(?:^|\n)[ \t]*(?:bill|invoice|sold)\s+to[ \t]*:{_LINE}"],
-        "buyer_tax_id": [r"\b(?:customer|buyer)\s+(?:tax\s+id|vat)[ \t:]*([A-Z0-9-]+)"],
-        "net": [rf"\b(?:sub-?total|total\s+before\s+tax)[ \t:]*+[$€£¥]?[ \t]*+({_N})"],
-        "tax": [rf"\b(?:sales\s+tax|tax|vat|gst)(?:[ \t]+amount)?[ \t]*(?:\([0-9.,]+%\))?[ \t:]*+[$€£¥]?[ \t]*+([0-9]{{1,15}}(?:[.,][0-9]{{1,15}}){{0,6}}[.,][0-9]{{2}})"],
-        "rate": [r"\b(?:tax|vat|gst)[ \t:]*\(?([0-9]+(?:\.[0-9]+)?)[ \t]*%"],
-        "total": [rf"\b(?:grand\s+total|total|amount\s+due|balance\s+due)[ \t:]*+[$€£¥]?[ \t]*+({_N})"],
-        "terms": [rf"\b(?:payment\s+terms|terms)[ \t]*:{_LINE}"],
-        "days": [r"\bnet[ \t]+([0-9]+)", r"\bwithin[ \t]+([0-9]+)[ \t]+days"],
-        "method": [rf"\bpayment\s+method[ \t]*:{_LINE}"],
-        "bank_name": [rf"\bbank(?:\s+name)?[ \t]*:{_LINE}"],
-        "iban": [rf"\b(?:iban|international\s+bank\s+account\s+number)[ \t:]*{_IBAN}"],
-        "swift": [rf"\b(?:swift|bic)(?:\s+code)?[ \t:]*{_BIC}"],
-    },
-    "pl": {
-        "document_number": [r"\b(?:nr|numer)\s+faktury[ \t:]*([A-Z0-9/-]*[0-9][A-Z0-9/-]*)", r"\bfaktura[ \t]*(?:nr)?[ \t:]*([A-Z0-9/-]*[0-9][A-Z0-9/-]*)"],
-        "issue_date": [rf"\bdata(?:\s+(?:wystawienia|sprzedaży))?[ \t:]*({_D})"],
-        "due_date": [rf"\b(?:termin\s+(?:wymagalno[sś]ci|p[lł]atno[sś]ci)|zapłacono\s+do)[ \t:]*({_D})"],
-        "currency": [r"(?:płatność\s+w|kwota\s+w|waluta)[ \t:]*([A-Z]{3})\b"],
-        "seller_name": [r"\b(?:sprzedawca|sprzedaż)[ \t]*:\s*([^\n]+)"],
-        "seller_tax_id": [r"(?:^|\n)[ \t]*nip[ \t]*:?[ \t]*([A-Z]{0,2}[0-9][0-9 -]{6,12}[0-9])"],
-        "buyer_name": [r"\b(?:nabywca|klient)[ \t]*:?\s*([^\n]+)"],
-        "buyer_tax_id": [r"\bnip\s+nabywcy[ \t:]*([0-9A-Z-]+)", r"(?s)\b(?:nabywca|klient)\b.*?\bnip[ \t:]*([0-9][0-9 -]{8,12}[0-9])"],
-        "buyer_vat": [r"\bnr\s*vat[ \t:]*([A-Z]{0,2}[ ]?[0-9][0-9 -]{7,12})"],
-        "net": [rf"\bsuma\s+(?:netto|bez\s+vat(?:\s+[0-9]+%)?)[ \t:]*({_N})"],
-        "tax": [rf"\bkwota\s+vat[ \t:]*({_N})", rf"\bvat\s+[0-9]+%[ \t:]*({_N})"],
-        "rate": [r"\bvat[ \t:]*([0-9]+)[ \t]*%"],
-        "total": [rf"\b(?:razem(?:\s+do\s+zapłaty)?|kwota\s+[tł][aą]czna\s+faktury|do\s+zapłaty)[ \t:]*({_N})"],
-        "terms": [rf"\b(?:warunki\s+płatności)[ \t]*:{_LINE}"],
-        "days": [r"\b([0-9]+)[ \t]+dni\b"],
-        "method": [rf"\b(?:metoda|forma|sposób)\s+płatności[ \t]*:{_LINE}"],
-        "iban": [rf"\biban[ \t:]*{_IBAN}"],
-        "swift": [rf"\bswift[ \t:]*{_BIC}"],
+# The labels that invoices print before a field, by field and language.
+PACK_LABELS: dict[str, dict[str, list[str]]] = {
+    "document_number": {
+        "en": ["invoice", "invoice number", "invoice no", "bill", "receipt", "document", "doc"], "pl": ["faktura", "faktura nr", "nr faktury", "numer faktury"],
+        "de": ["rechnungsnummer", "rechnungs-nr", "nr"], "es": ["factura", "número", "numero", "núm"], "fr": ["facture", "numéro", "numero", "n°", "ref"],
     },
-    "de": {
-        "document_number": [r"\b(?:rechnungsnummer|rechnungs-nr\.?|nr\.)[ \t:]*([A-Z0-9/-]*[0-9][A-Z0-9/-]*)"],
-        "issue_date": [rf"\b(?:rechnungsdatum|datum)[ \t:]*({_D})"],
-        "due_date": [rf"(?:fälligkeitsdatum|fälligkeit|fällig(?:\s+am)?|zahlbar\s+bis)[ \t:]*({_D})"],
-        "currency": [r"(?:währung|betrag\s+in)[ \t:]*([A-Z]{3})\b"],
-        "seller_name": [rf"(?:verkäufer|lieferant|rechnungssteller)[ \t]*:{_LINE}"],
-        "seller_tax_id": [r"\b(?:ust-?id(?:-?nr\.?)?|umsatzsteuer-?identifikationsnummer)[ \t:]*([A-Z]{2}[ ]?[0-9]+[0-9A-Z]*)"],
-        "buyer_name": [rf"(?:käufer|rechnungsempfänger)[ \t]*:{_LINE}"],
-        "buyer_tax_id": [r"\bkunden-steuernummer[ \t:]*([A-Z0-9-]+)"],
-        "net": [rf"\b(?:nettobetrag|nettosumme|netto|zwischensumme)[ \t:]*({_N})[ \t]*[A-Z]{{3}}"],
-        "tax": [rf"\b(?:steuerbetrag|mehrwertsteuer|umsatzsteuer|mwst\.?|ust\.?)[ \t:]*(?:[0-9]+[ \t]*%)?[ \t:]*({_N})[ \t]*[A-Z]{{3}}"],
-        "rate": [r"\b(?:mehrwertsteuer|umsatzsteuer|ust\.?|mwst\.?)[ \t:]*([0-9]+)[ \t]*%"],
-        "total": [rf"\b(?:gesamtbetrag|endbetrag|rechnungsbetrag|zu\s+zahlender\s+betrag)[ \t:]*({_N})[ \t]*[A-Z]{{3}}"],
-        "terms": [rf"\b(?:zahlungsbedingungen|zahlbar\s+innerhalb\s+von|zahlungsziel)[ \t]*:?{_LINE}"],
-        "days": [r"\b([0-9]+)[ \t]*(?:tagen|tage|tag)\b"],
-        "method": [rf"\b(?:zahlungsart|zahlungsweise|bezahlung)[ \t]*:{_LINE}"],
-        "iban": [rf"\b(?:iban|kontonummer|konto-nr\.?)[ \t:]*{_IBAN}"],
-        "swift": [rf"\b(?:bic|swift|bankleitzahl)[ \t:]*{_BIC}"],
+    "order_number": {"en": ["order", "purchase order", "po"]},
+    "issue_date": {"en": ["invoice date", "issued", "issue date", "dated"], "pl": ["data", "data wystawienia", "data sprzedaży"], "de": ["datum", "rechnungsdatum"], "es": ["fecha", "fecha de emisión", "fecha de emision"], "fr": ["date", "date de facturation", "date d'émission"]},
+    "due_date": {
+        "en": ["due", "due date", "payment due", "payment date", "payment by", "payable by"], "pl": ["termin płatności", "termin płatnosci", "termin wymagalności", "zapłacono do"],
+        "de": ["fällig", "fällig am", "fälligkeit", "fälligkeitsdatum", "zahlbar bis"], "es": ["vencimiento", "fecha de vencimiento", "pagar antes de"], "fr": ["échéance", "echeance", "date d'échéance", "date de paiement"],
     },
-    "es": {
-        "document_number": [r"\b(?:n[úu]mero|n[úu]m\.?|factura)[ \t:]*([A-Z0-9/-]*[0-9][A-Z0-9/-]*)"],
-        "issue_date": [rf"\bfecha(?:\s+de\s+emisi[óo]n)?[ \t:]*({_D})"],
-        "due_date": [rf"\b(?:fecha\s+de\s+vencimiento|vencimiento|pagar\s+antes\s+de)[ \t:]*({_D})"],
-        "currency": [r"\b(?:moneda|importe\s+en)[ \t:]*([A-Z]{3})\b"],
-        "seller_name": [rf"\b(?:emisor|vendedor|proveedor|empresa)[ \t]*:{_LINE}"],
-        "seller_tax_id": [r"(?:^|\n)[ \t]*(?:nif/cif|nif|cif)[ \t:]*([A-Z0-9]{8,12})\b"],
-        "buyer_name": [rf"\b(?:receptor|cliente|comprador)[ \t]*:{_LINE}"],
-        "buyer_tax_id": [r"\bnif\s+del\s+cliente[ \t:]*([A-Z0-9-]+)"],
-        "net": [rf"\b(?:base\s+imponible|importe\s+neto)[ \t:]*({_N})[ \t]*[A-Z]{{3}}"],
-        "tax": [rf"\b(?:total\s+iva|importe\s+del\s+iva|iva\s*[0-9]+%?)[ \t:]*({_N})[ \t]*[A-Z]{{3}}"],
-        "rate": [r"\b(?:iva|tasa)[ \t:]*([0-9]+)[ \t]*%"],
-        "total": [rf"\btotal\s+(?:factura|a\s+pagar|general)[ \t:]*({_N})[ \t]*[A-Z]{{3}}"],
-        "terms": [rf"(?:t[ée]rminos\s+de\s+pago|condiciones\s+de\s+pago|pago\s+a)[ \t]*:?{_LINE}"],
-        "days": [r"\b([0-9]+)[ \t]*d[ií]as?"],
-        "method": [rf"(?:forma\s+de\s+pago|m[ée]todo\s+de\s+pago)[ \t]*:{_LINE}"],
-        "iban": [rf"\b(?:iban|cuenta\s+bancaria|n[úu]mero\s+de\s+cuenta)[ \t:]*{_IBAN}"],
-        "swift": [rf"\b(?:bic|swift)[ \t:]*{_BIC}"],
+    "currency": {"en": ["currency", "amount", "balance", "subtotal", "total"], "pl": ["waluta", "kwota w", "płatność w"], "de": ["währung", "betrag in"], "es": ["moneda", "importe en"], "fr": ["devise", "montant en"]},
+    "seller_name": {"en": ["from", "provider", "seller", "vendor"], "pl": ["sprzedawca"], "de": ["lieferant", "rechnungssteller", "verkäufer"], "es": ["emisor", "empresa", "proveedor", "vendedor"], "fr": ["entreprise", "fournisseur", "société", "vendeur"]},
+    "seller_tax_id": {"en": ["tax id", "vat id", "vat no", "gst no", "vat", "gst", "tax"], "pl": ["nip"], "de": ["ust-id", "ust-idnr", "ust-id-nr", "umsatzsteuer-identifikationsnummer"], "es": ["cif", "nif", "nif/cif"], "fr": ["siren", "siret", "tva", "n° siret", "n° tva"]},
+    "buyer_name": {"en": ["bill to", "invoice to", "sold to"], "pl": ["klient", "nabywca"], "de": ["käufer", "rechnungsempfänger"], "es": ["cliente", "comprador", "receptor"], "fr": ["acheteur", "client", "destinataire"]},
+    "buyer_tax_id": {"en": ["buyer tax id", "buyer vat", "customer tax id", "customer vat"], "pl": ["nip nabywcy"], "de": ["kunden-steuernummer"], "es": ["nif del cliente"], "fr": ["siret acheteur"]},
+    "buyer_vat": {"pl": ["nr vat"]},
+    "net": {"en": ["subtotal", "sub-total", "total before tax"], "pl": ["suma netto", "suma bez vat"], "de": ["netto", "nettobetrag", "nettosumme", "zwischensumme"], "es": ["base imponible", "importe neto"], "fr": ["montant ht", "total ht", "net à payer", "net a payer"]},
+    "tax": {
+        "en": ["gst", "sales tax", "tax", "vat"], "pl": ["kwota vat", "vat"], "de": ["mehrwertsteuer", "mwst", "steuerbetrag", "umsatzsteuer", "ust"],
+        "es": ["importe del iva", "iva", "total iva"], "fr": ["montant tva", "total tva", "tva"],
     },
-    "fr": {
-        "document_number": [r"(?:\bn[°º]|\bnum[ée]ro|\bfacture|\bref)[ \t:]*([A-Z0-9/-]*[0-9][A-Z0-9/-]*)"],
-        "issue_date": [rf"\bdate(?:\s+de\s+facturation|\s+d'émission)?[ \t:]*({_D})"],
-        "due_date": [rf"(?:date\s+d'[ée]ch[ée]ance|date\s+de\s+paiement|[ée]ch[ée]ance)[ \t:]*({_D})"],
-        "currency": [r"\b(?:devise|montant\s+en)[ \t:]*([A-Z]{3})\b"],
-        "seller_name": [rf"(?:vendeur|fournisseur|soci[ée]t[ée]|entreprise)[ \t]*:{_LINE}"],
-        "seller_tax_id": [r"(?:^|\n)[ \t]*(?:n°\s*)?(?:siret|siren|tva)[ \t:]*([A-Z0-9][A-Z0-9 ]{7,16}[A-Z0-9])"],
-        "buyer_name": [rf"\b(?:acheteur|client|destinataire)[ \t]*:{_LINE}"],
-        "buyer_tax_id": [r"\bsiret\s+acheteur[ \t:]*([A-Z0-9-]+)"],
-        "net": [rf"\b(?:montant\s+ht|total\s+ht|net\s+[àa]\s+payer)[ \t:]*({_N})[ \t]*[A-Z]{{3}}"],
-        "tax": [rf"\b(?:montant\s+tva|total\s+tva|tva)[ \t:]*(?:[0-9]+[ \t]*%)?[ \t:]*({_N})[ \t]*[A-Z]{{3}}"],
-        "rate": [r"\btva[ \t:]*([0-9]+)[ \t]*%"],
-        "total": [rf"\btotal(?:\s+ttc|\s+[àa]\s+payer|\s+g[ée]n[ée]ral)[ \t:]*({_N})[ \t]*[A-Z]{{3}}"],
-        "terms": [rf"(?:conditions\s+de\s+paiement|modalit[ée]s\s+de\s+paiement|paiement\s+sous)[ \t]*:?{_LINE}"],
-        "days": [r"\b([0-9]+)[ \t]*jours?\b"],
-        "method": [rf"(?:mode|moyen)\s+de\s+paiement[ \t]*:{_LINE}"],
-        "iban": [rf"(?:iban|r[ée]f[ée]rence\s+bancaire|compte\s+bancaire)[ \t:]*{_IBAN}"],
-        "swift": [rf"\b(?:bic|swift|code\s+banque)[ \t:]*{_BIC}"],
+    "rate": {"en": ["gst", "tax", "vat"], "pl": ["vat"], "de": ["mehrwertsteuer", "mwst", "umsatzsteuer", "ust"], "es": ["iva", "tasa"], "fr": ["tva"]},
+    "total": {
+        "en": ["amount due", "balance due", "grand total", "total"], "pl": ["do zapłaty", "kwota łączna faktury", "razem", "razem do zapłaty"], "de": ["endbetrag", "gesamtbetrag", "rechnungsbetrag", "zu zahlender betrag"],
+        "es": ["total a pagar", "total factura", "total general"], "fr": ["total ttc", "total à payer", "total général"],
     },
+    "terms": {"en": ["payment terms", "terms"], "pl": ["warunki płatności"], "de": ["zahlbar innerhalb von", "zahlungsbedingungen", "zahlungsziel"], "es": ["condiciones de pago", "pago a", "términos de pago"], "fr": ["conditions de paiement", "modalités de paiement", "paiement sous"]},
+    "days": {"en": ["days"], "pl": ["dni"], "de": ["tag", "tage", "tagen"], "es": ["dia", "dias", "día", "días"], "fr": ["jour", "jours"]},
+    "method": {"en": ["payment method"], "pl": ["forma płatności", "metoda płatności", "sposób płatności"], "de": ["bezahlung", "zahlungsart", "zahlungsweise"], "es": ["forma de pago", "método de pago"], "fr": ["mode de paiement", "moyen de paiement"]},
+    "bank_name": {"en": ["bank", "bank name"]},
+    "iban": {"en": ["iban", "international bank account number"], "pl": ["iban"], "de": ["iban", "kontonummer", "konto-nr"], "es": ["cuenta bancaria", "iban", "número de cuenta"], "fr": ["compte bancaire", "iban", "référence bancaire"]},
+    "swift": {"en": ["bic", "bic code", "swift", "swift code"], "pl": ["swift"], "de": ["bankleitzahl", "bic", "swift"], "es": ["bic", "swift"], "fr": ["bic", "code banque", "swift"]},
 }
+# Forms of tax numbers by language.
+_TAX_NUMBERS = {"en": "[A-Z]{0,3}[0-9][A-Z0-9-]{4,20}", "pl": "[A-Z]{0,2}[0-9][0-9 -]{6,12}[0-9]", "de": "[A-Z]{2}[ ]?[0-9]{1,15}[0-9A-Z]{0,6}", "es": r"[A-Z0-9]{8,12}\b", "fr": "[A-Z0-9][A-Z0-9 ]{7,16}[A-Z0-9]"}
+_NUMBER = r"([A-Z0-9/-]*[0-9][A-Z0-9/-]*)"
+_LINE_START = r"(?:^|\n)[ \t]*+"
+_GAP = r"\.?[ \t:]*+"
+_SYMBOL = r"[$€£¥]?[ \t]*+"
+
+
+def _any(labels: Sequence[str]) -> str:
+    """A group of labels, longer ones first, with any blanks between their words."""
+    return "(?:" + "|".join(re.escape(x).replace(r"\ ", r"\s+") for x in sorted(labels, key=lambda x: (-len(x), x))) + ")"
+
+
+def _pack(lang: str) -> dict[str, list[str]]:
+    """Patterns of every field of one language, composed of its labels and the form of the value."""
+    label = {field: _any(by_lang[lang]) for field, by_lang in PACK_LABELS.items() if lang in by_lang}
+    # Where amounts are followed by their currency, a number without one is no amount ("netto 30 Tage").
+    coded = lang in ("de", "es", "fr")
+    amount = rf"({_N})[ \t]*[A-Z]{{3}}" if coded else rf"({_N})"
+    cents = amount if lang != "en" else r"([0-9]{1,15}(?:[.,][0-9]{1,15}){0,6}[.,][0-9]{2})"
+    # Polish parties may stand on the line after their label.
+    name = r"[ \t]*:?\s*([^\n]+)" if lang == "pl" else rf"[ \t]*:{_LINE}"
+    colon = ":?" if coded else ":"
+    forms = {
+        "document_number": [rf"\b{{}}\.?[ \t:#]*+{_NUMBER}"],
+        "order_number": [rf"\b{{}}[ \t:#]*+{_NUMBER}"],
+        "issue_date": [rf"\b{{}}{_GAP}({_D})"] + ([rf"{_LINE_START}date[ \t:]*+({_D})"] if lang == "en" else []),
+        "due_date": [rf"\b{{}}{_GAP}({_D})"],
+        "currency": [rf"\b{{}}{_GAP}([A-Z]{{3}})\b"],
+        "seller_name": [(_LINE_START if lang == "en" else r"\b") + "{}" + (name if lang != "pl" else r"[ \t]*:\s*([^\n]+)")],
+        "buyer_name": [(_LINE_START if lang == "en" else r"\b") + "{}" + name],
+        "terms": [rf"\b{{}}[ \t]*{colon}{_LINE}"],
+        "method": [rf"\b{{}}[ \t]*:{_LINE}"],
+        "bank_name": [rf"\b{{}}[ \t]*:{_LINE}"],
+    }
+    own = {field: [p.replace("{}", label[field]) for p in patterns] for field, patterns in forms.items() if field in label}
+    own["seller_tax_id"] = [rf"{_LINE_START}{label['seller_tax_id']}{_GAP}({_TAX_NUMBERS[lang]})"]
+    own["buyer_tax_id"] = [rf"\b{label['buyer_tax_id']}{_GAP}([A-Z0-9-]+)"]
+    if lang == "pl":
+        own["buyer_tax_id"].append(rf"(?s)\b{label['buyer_name']}\b.*?\b{label['seller_tax_id']}{_GAP}([0-9][0-9 -]{{8,12}}[0-9])")
+        own["buyer_vat"] = [rf"\b{label['buyer_vat']}{_GAP}([A-Z]{{0,2}}[ ]?[0-9][0-9 -]{{7,12}})"]
+    own["net"] = [rf"\b{label['net']}(?:\s+[0-9]+%)?{_GAP}{_SYMBOL}{amount}"]
+    own["total"] = [rf"\b{label['total']}{_GAP}{_SYMBOL}{amount}"]
+    own["tax"] = [rf"\b{label['tax']}\.?(?:[ \t]+amount)?[ \t:]*+(?:\(?[0-9.,]+[ \t]*%\)?)?[ \t:]*+{_SYMBOL}{cents}"]
+    own["rate"] = [rf"\b{label['rate']}{_GAP}\(?([0-9]+(?:\.[0-9]+)?)[ \t]*%"]
+    own["days"] = ([r"\bnet[ \t]+([0-9]+)", rf"\bwithin[ \t]+([0-9]+)[ \t]+{label['days']}"] if lang == "en" else []) + ([] if lang == "en" else [rf"\b([0-9]+)[ \t]*{label['days']}\b"])
+    own["iban"] = [rf"\b{label['iban']}{_GAP}{_IBAN}"]
+    own["swift"] = [rf"\b{label['swift']}{_GAP}{_BIC}"]
+    return own
+
+
+# Field -> patterns, by language. Labels are matched without regard to case.
+PACKS: dict[str, dict[str, list[str]]] = {lang: _pack(lang) for lang in ("en", "pl", "de", "es", "fr")}
 
 FIELDS = list(dict.fromkeys(f for pack in PACKS.values() for f in pack))
 _PLN = r"(?i)pln[ \t:]*([0-9]+[.,][0-9]{2})|([0-9]+[.,][0-9]{2})[ \t]*pln"
