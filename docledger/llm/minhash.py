@@ -12,7 +12,9 @@
    (|D(x)| + |D(y)| - c(|x| + |y|)) / 2 shingles in common, where c = (1 - J) / (1 + J) at the threshold; if that is not
    positive, both are linked to p. So it is enough to compare the first few of each difference in an order that all share
    (prefix filter): those that p lacks come first, as edits are rare and what p has is common. Groups of one component are
-   left out, and what meets is verified on the full sets. No pair that shares a bucket and could join two components is left
+   left out. What meets has to pass two bounds inside the join: the places of the common shingle, and parities (each shingle
+   flips one of ``PARITIES`` bits, so two sets differ in at least as many shingles as their bits do). The rest is verified on
+   the full sets. No pair that shares a bucket and could join two components is left
    out, and a group of near copies costs as many comparisons as it has members, not their square.
 
 Sets are named by 64 bits of a hash, as are shingles.
@@ -20,8 +22,10 @@ Sets are named by 64 bits of a hash, as are shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,9 @@ SEED = 7
 # Bytes whose words are hashed at once, and shingles whose minima are taken at once.
 CHUNK = 1 << 19
 BLOCK = 128
+# Bits of the parities of a set, in words of 64.
+PARITIES = 512
+_WORDS = [f"parity{k}" for k in range(PARITIES // 64)]
 
 _BLANKS = [(0x09, 0x0D), (0x20, 0x20)]
 _TOKEN = ~byte_table(_BLANKS)
@@ -193,24 +200,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return written(_with(pairs, sets, ["a", "b"], "shingles").where(same("shingles_a", "shingles_b")).select("a", "b"), "minhash-links")
 
 
-def _differences(near: Near):
+_SPREAD = ", ".join(f"{c} long" for c in ["lead", "element", "a", "of", "size", "differs", "place", *_WORDS])
+
+
+def _differences(near: Near) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function that turns (lead, a, of, both sets) into the first elements of each difference, with their places."""
     num, den = near.least
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leads, members, of = (batch.column(c).to_numpy() for c in ("lead", "a", "of"))
-            columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(7)]
+            columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(7 + len(_WORDS))]
             for i, (x, p) in enumerate(zip(_views(batch.column("shingles_a")), _views(batch.column("shingles_lead")), strict=True)):
                 own = np.concatenate((np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)))
                 # A partner may differ by len(x) * (1 - J) / J elements at most; with the larger difference, by half of that.
                 most = len(x) * (den - num) // num
                 first = own[: most + 1].view(np.int64)
                 n = len(first)
-                values = (leads[i], first, members[i], of[i], len(x), len(own), np.arange(n))
+                odd = np.bincount((x % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+                values = (leads[i], first, members[i], of[i], len(x), len(own), np.arange(n), *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
                 for column, value in zip(columns, values, strict=True):
                     column.append(value if isinstance(value, np.ndarray) else np.full(n, value, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lead", "element", "a", "of", "size", "differs", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], [c.split()[0] for c in _SPREAD.split(", ")])
 
     return spread
 
@@ -223,12 +234,13 @@ def _between(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     num, den = near.least
     mixed = members.groupBy("lead").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("lead")
     rows = _with(members.join(mixed, "lead"), sets, ["a", "lead"], "shingles")
-    spread = written(rows.mapInArrow(_differences(near), "lead long, element long, a long, of long, size long, differs long, place long"), "minhash-differences")
+    spread = written(rows.mapInArrow(_differences(near), _SPREAD), "minhash-differences")
     apart = spread.groupBy("lead", "element").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("lead", "element")
     spread = spread.join(apart, ["lead", "element"])
     l, r = spread.where(F.col("place") <= F.floor(F.col("size") * (den - num) / (2 * num)) + 1).alias("l"), spread.alias("r")
     sizes = F.col("l.size") + F.col("r.size")
     differ = F.col("l.differs") + F.col("r.differs")
+    parity = reduce(add, (F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}"))) for w in _WORDS))
     left = F.least(F.col("l.differs") - F.col("l.place"), F.col("r.differs") - F.col("r.place"))
     met = l.join(
         r,
@@ -236,7 +248,8 @@ def _between(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
         & (F.col("l.element") == F.col("r.element"))
         & (F.col("l.of") != F.col("r.of"))
         & (F.col("l.differs") <= F.col("r.differs"))
-        & (2 * (den + num) * left >= (den + num) * differ - (den - num) * sizes),
+        & (2 * (den + num) * left >= (den + num) * differ - (den - num) * sizes)
+        & ((den + num) * parity <= (den - num) * sizes),
     )
     return met.select(F.least("l.a", "r.a").alias("a"), F.greatest("l.a", "r.a").alias("b")).distinct()
 
