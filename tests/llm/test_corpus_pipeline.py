@@ -3,7 +3,8 @@
 import corpus_pipeline
 from docledger.llm import bpe, decontaminate, simhash
 from tests.llm.helpers import empty, hostile, words
-from tests.llm.test_texts import _plain_hits, _plain_simhash, _union
+from tests.llm.test_minhash import _roots
+from tests.llm.test_texts import _plain_hits
 
 
 def test_stages_keep_the_columns(spark, data):
@@ -20,8 +21,7 @@ def test_run_is_the_stages_by_brute_force(spark, data):
     for _, stage in corpus_pipeline.STAGES[:2]:
         docs = spark.createDataFrame(stage(spark, docs, data).collect(), docs.schema)
     kept = {r["doc_id"]: r["text"] for r in docs.collect()}
-    fps = {d: _plain_simhash(t) for d, t in kept.items()}
-    root = _union([(a, b) for a in kept for b in kept if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], sorted(kept))
+    root = _roots(kept, (4, 5))
     kept = {d: t for d, t in kept.items() if root[d] == d}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     hits = {d: _plain_hits(t, items) for d, t in kept.items() if any(" ".join(words(t)).find(" ".join(words(i)[:13])) >= 0 or True for _, i in items[:1])}
