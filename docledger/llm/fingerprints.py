@@ -6,8 +6,10 @@ that bit), repeated until labels are below eight. A phrase begins where labels p
 symbols. Names are the symbols of the next level. Where phrases begin depends on nearby symbols alone, so equal substrings
 are cut alike inside, wherever they stand, and share their interior names.
 
-The fingerprint holds, for each of ``SKETCHED`` levels, the ``KEPT`` smallest different names: two texts are as alike as the
-names of their smallest ones are shared, averaged over the levels.
+Levels are built until one phrase is left, the root, whose name stands for the whole text. The fingerprint holds the root's
+name and, for each of ``SKETCHED`` levels, the ``KEPT`` smallest different names: two texts are as alike as the names of
+their smallest ones are shared, the root being one more, averaged over the levels. So only equal texts have likeness 1. By
+sampling, the error of a level's likeness J has a standard deviation of the square root of J (1 - J) / ``KEPT``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from docledger.llm.ordered import range_of
 from docledger.llm.shared import mix, powers, prepare
 
-# Levels are numbered from 1, the phrases of code points; the last level's phrases have some 30 characters.
+# Levels are numbered from 1, the phrases of code points; the last sketched level's phrases have some 30 characters.
 SKETCHED = (2, 3)
 KEPT = 32
 # Characters parsed at once.
@@ -93,18 +95,29 @@ def _smallest(names: np.ndarray, at: np.ndarray) -> list[list[int]]:
     return [values[a : min(b, a + KEPT)] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
 
 
-def parse(texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """(names, offsets) of each level from 1 to the last one sketched, for chunks of texts in order."""
-    out = []
+def parse(texts: list[str]) -> Iterator[tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
+    """(names, offsets) of each level from 1 to the last one sketched, and the roots' names, for chunks of texts in order.
+
+    The root of a text without characters is 0.
+    """
     for a, b in _chunks(texts):
         symbols = np.frombuffer("".join(texts[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         at = np.concatenate(([0], np.cumsum([len(t) for t in texts[a:b]])))
-        levels = []
-        for _ in range(max(SKETCHED)):
+        levels, roots = [], np.zeros(b - a, np.uint64)
+        own = np.arange(b - a)  # rows that have no root yet
+        while len(levels) < max(SKETCHED) or len(own):
             symbols, at = _level(symbols, at)
-            levels.append((symbols, at))
-        out.append(levels)
-    return out
+            sizes = np.diff(at)
+            if len(levels) < max(SKETCHED):
+                levels.append((symbols, at))
+            done = (sizes == 1) & (roots[own] == 0)
+            roots[own[done]] = symbols[at[:-1][done]]
+            # Rows of one phrase stay until the last sketched level is there.
+            if len(levels) == max(SKETCHED):
+                more = sizes > 1
+                symbols = symbols[np.repeat(more, sizes)]
+                own, at = own[more], np.concatenate(([0], np.cumsum(sizes[more])))
+        yield levels, roots
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -119,23 +132,25 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def fingerprints(texts: list[str]) -> list[str]:
-    """The fingerprint of each text: its sketches in hexadecimal, joined by dashes. That of the empty text is dashes alone."""
+    """The fingerprint of each text: its root and its sketches in hexadecimal, joined by dashes. That of the empty text has no sketches."""
     out: list[str] = []
-    for levels in parse(texts):
+    for levels, roots in parse(texts):
         sketches = [_smallest(*levels[k - 1]) for k in SKETCHED]
-        out += ["-".join("".join(map("{:08x}".format, s)) for s in own) for own in zip(*sketches, strict=True)]
+        own = zip(map("{:016x}".format, roots.tolist()), *sketches, strict=True)
+        out += ["-".join([root, *("".join(map("{:08x}".format, s)) for s in rest)]) for root, *rest in own]
     return out
 
 
 def likeness(one: str, other: str) -> float:
-    """How alike two fingerprints are, from 0 to 1: the share of common names among the smallest of both, over all levels."""
+    """How alike two fingerprints are, from 0 to 1: the share of common names among the smallest of both and the roots, over all levels."""
     if one == other:
         return 1.0
     total = 0.0
-    for a, b in zip(one.split("-"), other.split("-"), strict=True):
+    (root, *mine), (beside, *theirs) = one.split("-"), other.split("-")
+    for a, b in zip(mine, theirs, strict=True):
         x, y = ({s[i : i + _DIGITS] for i in range(0, len(s), _DIGITS)} for s in (a, b))
         smallest = sorted(x | y)[:KEPT]
-        total += sum(v in x and v in y for v in smallest) / len(smallest) if smallest else 1.0
+        total += (sum(v in x and v in y for v in smallest) + (root == beside)) / (len(smallest) + 1)
     return total / len(SKETCHED)
 
 

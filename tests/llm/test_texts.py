@@ -1,8 +1,10 @@
 """SimHash groups, licences, decontamination, fingerprints and chat against brute force."""
 
 import hashlib
+import itertools
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -182,8 +184,8 @@ def test_equal_substrings_share_interior_names():
     rng = random.Random(2)
     shared = "".join(rng.choices("abcdefgh  ", k=4_000))
     for lead in ("", "x", "lorem ipsum ", "z" * 77):
-        a = fingerprints.parse([shared])[0]
-        b = fingerprints.parse([lead + shared + "tail"])[0]
+        a = next(fingerprints.parse([shared]))[0]
+        b = next(fingerprints.parse([lead + shared + "tail"]))[0]
         for (x, _), (y, _) in zip(a, b):
             inside = set(x[6:-6].tolist())
             assert len(inside & set(y.tolist())) >= 0.97 * len(inside)
@@ -198,6 +200,57 @@ def test_a_fingerprint_does_not_depend_on_its_batch(texts):
     assert fingerprints.fingerprints(texts) == [fingerprints.fingerprints([t])[0] for t in texts]
 
 
+def _mixed(x):
+    return int(fingerprints.mix(np.array([x % (1 << 64)], np.uint64))[0])
+
+
+def _toss(own, before):
+    differing = own ^ before
+    lowest = (differing & -differing).bit_length() - 1
+    return 2 * lowest + (own >> lowest & 1)
+
+
+def _plain_level(symbols):
+    """One level of phrases, symbol by symbol."""
+    runs = []
+    for s, group in itertools.groupby(symbols):
+        n = len(list(group))
+        runs.append(s if n == 1 else _mixed(s + n * 0xC2B2AE3D27D4EB4F))
+    labels = [_toss(x, runs[i - 1] if i else x ^ 1) for i, x in enumerate(runs)]
+    for _ in range(2):
+        labels = [_toss(x, labels[i - 1] if i else x ^ 1) for i, x in enumerate(labels)]
+    heads = [i for i in range(len(runs)) if i == 0 or (i + 1 < len(runs) and labels[i - 1] < labels[i] > labels[i + 1])]
+    names = []
+    for a, b in zip(heads, [*heads[1:], len(runs)], strict=True):
+        names.append(_mixed(sum(_mixed(x) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, x in enumerate(runs[a:b])) + 2))
+    return names
+
+
+def _plain_fingerprint(text):
+    symbols, sketches, root, level = [ord(c) for c in text], [], 0, 0
+    while level < 3 or len(symbols) > 1:
+        symbols, level = _plain_level(symbols) if symbols else [], level + 1
+        root = symbols[0] if len(symbols) == 1 and not root else root
+        if level in (2, 3):
+            sketches.append("".join(f"{x:08x}" for x in sorted({x >> 32 for x in symbols})[:32]))
+    return "-".join([f"{root:016x}", *sketches])
+
+
+def test_fingerprints_are_those_of_a_plain_parser():
+    rng = random.Random(4)
+    texts = ["", "a", "ab", "aaaa", "aab", "abcabcabc", "🙂é中" * 9, *("".join(rng.choices("abc de", k=k)) for k in range(1, 300, 13)), "".join(rng.choices("abcdefgh ", k=4_000))]
+    assert fingerprints.fingerprints(texts) == [_plain_fingerprint(t) for t in texts]
+
+
+def test_one_other_sentence_gives_another_fingerprint():
+    rng = random.Random(6)
+    for n in (50, 5_000, 300_000):
+        words = [f"w{rng.randrange(3_000)}" for _ in range(n)]
+        other = [*words[: n // 2], *(f"v{i}" for i in range(10)), *words[n // 2 + 10 :]]
+        one, two = fingerprints.fingerprints([" ".join(words), " ".join(other)])
+        assert one != two and (0.5 if n > 50 else 0.1) < fingerprints.likeness(one, two) < 1
+
+
 def _plain_pairs(rows):
     out = []
     for i, (doc, text) in enumerate(rows):
