@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docledger.operators import quantiles
 from docledger.plans import jobstats as js
 from docledger.plans.registry import query
 from docledger.sources import activity as act
@@ -111,9 +112,39 @@ def p95(spark, d):
     return q.withColumn("quantile", _r("quantile"))
 
 
-@query("p95_approx")
+# The value at the rank, from all values in order, and the middle of the range of equal relative error that it lies in.
+_AT_RANK = "max(CASE WHEN pos = floor((known - 1) * 0.95::DOUBLE) THEN response_time END)"
+_MIDDLE = f"round(CASE WHEN {_AT_RANK} > 0 THEN pow(1.01::DOUBLE / 0.99, ceil(ln({_AT_RANK}) / ln(1.01::DOUBLE / 0.99))) * 2 / (1.01::DOUBLE / 0.99 + 1) ELSE {_AT_RANK} END, 9)"
+
+
+@query(
+    "p95_approx",
+    f"""WITH {_CALLS}, o AS (SELECT endpoint, response_time, count(response_time) OVER (PARTITION BY endpoint) AS known,
+        row_number() OVER (PARTITION BY endpoint ORDER BY response_time NULLS LAST) - 1 AS pos FROM calls)
+        SELECT endpoint, {_MIDDLE} AS quantile, count(*) AS n, true AS within FROM o GROUP BY endpoint""",
+)
 def p95_approx(spark, d):
-    return js.latency_quantile(act.api_calls_from_events(_events(spark, d)), ["endpoint"])
+    """From sketches of an hour; ``within`` holds them against the exact quantile: no further off than the proven error and one rank."""
+    calls = act.api_calls_from_events(_events(spark, d))
+    found = js.latency_quantile(calls, ["endpoint"])
+    above = js.latency_quantile(calls, ["endpoint"], exact=True).select(F.col("endpoint").alias("_e"), F.col("quantile").alias("_q"))
+    return found.join(above, F.col("endpoint").eqNullSafe(F.col("_e"))).select("endpoint", _r("quantile").alias("quantile"), "n", (F.col("quantile") <= F.col("_q") * 1.0100001).alias("within"))
+
+
+@query(
+    "p95_by_day",
+    f"""WITH {_CALLS}, o AS (SELECT endpoint, date_trunc('day', ts) AS day, response_time, count(response_time) OVER w AS known,
+        row_number() OVER (PARTITION BY endpoint, date_trunc('day', ts) ORDER BY response_time NULLS LAST) - 1 AS pos FROM calls
+        WINDOW w AS (PARTITION BY endpoint, date_trunc('day', ts)))
+        SELECT endpoint, {_ts("day")} AS day, {_MIDDLE} AS quantile, count(*) AS n FROM o GROUP BY endpoint, day""",
+)
+def p95_by_day(spark, d):
+    """Hourly sketches, kept as a table, merged to days."""
+    folder = f"{_folder(spark)}/sketches"
+    js.hourly_sketches(act.api_calls_from_events(_events(spark, d)), ["endpoint"]).write.parquet(folder)
+    days = spark.read.parquet(folder).withColumn("day", F.date_trunc("day", "hour"))
+    found = quantiles.estimated(quantiles.merged(days, ["endpoint", "day"]), ["endpoint", "day"], 0.95)
+    return found.select("endpoint", _t("day").alias("day"), _r("quantile").alias("quantile"), "n")
 
 
 @query(
@@ -279,9 +310,18 @@ def stream_dedupe(spark, d):
     return first.select("source").distinct()
 
 
-@query("stream_p95")
+@query(
+    "stream_p95",
+    f"""WITH {_CALLS}, x AS (SELECT *, unnest(range(0, 5)) AS o FROM calls),
+        s AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE * (o + 1) AS window_end, endpoint, response_time FROM x),
+        o AS (SELECT *, count(response_time) OVER (PARTITION BY window_end, endpoint) AS known,
+          row_number() OVER (PARTITION BY window_end, endpoint ORDER BY response_time NULLS LAST) - 1 AS pos FROM s WHERE window_end <= {_CLOSED}),
+        p AS (SELECT window_end, endpoint, {_MIDDLE} AS p95, count(*) AS n FROM o GROUP BY window_end, endpoint)
+        SELECT {_ts("window_end")} AS window_end, endpoint, p95, n, p95 > 10 AS breach FROM p""",
+)
 def stream_p95(spark, d):
-    return _finished(spark, sj.stream_slow_p95(act.api_calls_from_events(_stream(spark, d))))
+    s = _finished(spark, sj.stream_slow_p95(act.api_calls_from_events(_stream(spark, d))))
+    return s.withColumn("window_end", _t("window_end")).withColumn("p95", _r("p95"))
 
 
 @query(

@@ -8,12 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docledger.operators import quantiles
+
 # Periods and bands of the reports.
 SUMMARY_DAYS, OCR_DAYS, API_HOURS, JOB_DAYS, CALL_DAYS = 30, 7, 24, 30, 7
 BANDS = [(0.1, "excellent"), (0.5, "good"), (2.0, "fair")]
 FINISHED = ["completed", "failed"]
-# Parts of a group's range of values in which exact quantiles are sought.
-QUANTILE_BUCKETS = 1_024
 
 
 def _since(as_of: dt.datetime, **delta: float) -> Column:
@@ -179,29 +179,15 @@ def latency_stats(calls: DataFrame, by: str = "endpoint") -> DataFrame:
 
 
 def latency_quantile(calls: DataFrame, by: Sequence[str], value: str = "response_time", q: float = 0.95, exact: bool = False) -> DataFrame:
-    """Quantile per group, with linear interpolation, and the number of rows; null values do not count for the quantile.
+    """Quantile per group and the number of rows: estimated from hourly sketches, or exact with linear interpolation."""
+    if exact:
+        return quantiles.exact(calls, by, value, q)
+    return quantiles.estimated(quantiles.merged(hourly_sketches(calls, by, value), by), by, q)
 
-    The sketch merges map-side. The exact form counts equal values first, then finds the two values around the rank by
-    their running counts: over ranges of values one after another, so that no group's values meet in one task.
-    """
-    if not exact:
-        return calls.groupBy(*by).agg(F.percentile_approx(value, q, 10_000).alias("quantile"), F.count("*").alias("n"))
-    keys = list(by)
-    counted = calls.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("_known"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    known = counted.where("_v is not null").join(totals, keys)
-    # A bucket is one of many equal parts of the group's range of values.
-    width = (F.col("_high") - F.col("_low")) / QUANTILE_BUCKETS
-    bucketed = known.withColumn("_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(QUANTILE_BUCKETS - 1))).otherwise(0))
-    sizes = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_size"))
-    before = sizes.select(*keys, "_b", (F.sum("_size").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_size")).alias("_before"))
-    running = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
-    placed = bucketed.join(before, [*keys, "_b"]).withColumn("_end", F.col("_before") + running)
-    rank = (F.col("_known") - 1) * F.lit(q)
-    picked = placed.groupBy(*keys).agg(
-        F.min(F.when(F.col("_end") > F.floor(rank), F.col("_v"))).alias("_a"), F.min(F.when(F.col("_end") > F.ceil(rank), F.col("_v"))).alias("_z"), F.max(rank - F.floor(rank)).alias("_f")
-    )
-    return totals.join(picked, keys, "left").select(*keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias("quantile"), "n")
+
+def hourly_sketches(calls: DataFrame, by: Sequence[str], value: str = "response_time") -> DataFrame:
+    """(hour, ``by``, bucket, n): sketches to be kept as a table; those of any hours merge into the sketch of their calls."""
+    return quantiles.sketch(calls.withColumn("hour", F.date_trunc("hour", "ts")), ["hour", *by], value)
 
 
 def rate_series(calls: DataFrame, by: Sequence[str] = ("endpoint",), minutes: int = 5) -> DataFrame:
