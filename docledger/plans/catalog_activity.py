@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from docledger.operators import quantiles
 from docledger.plans import jobstats as js
 from docledger.plans.registry import query
+from docledger.session import run_folder
 from docledger.sources import activity as act
 from docledger.streaming import alerts, jobs as sj, silence
 
@@ -140,7 +139,7 @@ def p95_approx(spark, d):
 )
 def p95_by_day(spark, d):
     """Hourly sketches, kept as a table, merged to days."""
-    folder = f"{_folder(spark)}/sketches"
+    folder = f"{run_folder(spark)}/sketches"
     js.hourly_sketches(act.api_calls_from_events(_events(spark, d)), ["endpoint"]).write.parquet(folder)
     days = spark.read.parquet(folder).withColumn("day", F.date_trunc("day", "hour"))
     found = quantiles.estimated(quantiles.merged(days, ["endpoint", "day"]), ["endpoint", "day"], 0.95)
@@ -258,19 +257,6 @@ def heartbeat_gaps(spark, d):
 # ---- streams: the same tables as file streams, run to their end
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder for a stream's output and checkpoint, in the shared folder of the session.
-
-    Only a session in local mode may be without one: elsewhere executors would write to disks of their own.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/docledger-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="spark-docledger-")
-
-
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     # The table may be one file or a folder of part files; a file stream reads the files of a folder.
     table = spark.read.parquet(f"{d}/events.parquet")
@@ -280,7 +266,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    folder = _folder(spark)
+    folder = run_folder(spark)
     q = sj.start(stream, f"{folder}/out", f"{folder}/checkpoint")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -335,7 +321,7 @@ def stream_p95(spark, d):
 )
 def alert_for(spark, d):
     # Two streams: windowed samples to a table, alerts from that table. Each keeps its own state and checkpoint.
-    folder = _folder(spark)
+    folder = run_folder(spark)
     samples = sj.stream_error_rate(act.api_calls_from_events(_stream(spark, d)))
     sj.start(samples, f"{folder}/samples", f"{folder}/checkpoint-samples").awaitTermination()
     found = _finished(spark, alerts.alert_for(sj.read_stream(spark, f"{folder}/samples", samples.schema), minutes=4))

@@ -13,10 +13,13 @@ from docledger.operators import fields, items as it, langpacks, rules
 from docledger.operators.consistency import check_all, check_summary, compare_with_reference, comparison_counts, unpivot
 from docledger.plans import pipeline
 from docledger.plans.ledger_sql import INV, INV_EN, LI, dbl, text
-from docledger.plans.registry import query
+from docledger.plans.registry import ORACLES, query
 from docledger.schemas import MONEY
+from docledger.session import run_folder
 from docledger.sources import files, markup
 from docledger.sources.ledger import Ledger
+from docledger.streaming import paging, silence
+from docledger.streaming.jobs import read_stream, start
 
 
 def _s(c: Column | str) -> Column:
@@ -542,13 +545,32 @@ def run_corpus(spark, d):
     return _corpus_rows(pipeline.run_paged(Ledger(spark, d).render(page_lines=500)))
 
 
-def _corpus_rows(r: DataFrame) -> DataFrame:
+def _corpus_rows(r: DataFrame, *more: str) -> DataFrame:
     return r.select(
-        "doc_id", "document_number", _s("issue_date").alias("issue_date"), _d("totals.total").alias("total"),
+        *more, "doc_id", "document_number", _s("issue_date").alias("issue_date"), _d("totals.total").alias("total"),
         F.col("n_items").cast("bigint").alias("n_items"), "total_ok", "items_ok", "dates_ok", _s("error").alias("error"), "grounded",
     )
 
 
+@query("stream_records", ORACLES["run_corpus"].replace(" AS grounded FROM inv", " AS grounded, true AS complete FROM inv"))
+def stream_records(spark, d):
+    """Pages of three lines arrive in any order, in four or more batches; only the last one states their number."""
+    pages = Ledger(spark, d).render(page_lines=3)
+    # A range of line numbers without a line is no page.
+    last = pages.groupBy("doc_id").agg(F.max("page").alias("_last"), F.count("*").cast("int").alias("_pages"))
+    arrival = F.pmod(F.xxhash64("doc_id", "page"), F.lit(4)).cast("int")
+    come = pages.join(last, "doc_id").withColumns(
+        {"n_pages": F.when(F.col("page") == F.col("_last"), F.col("_pages")), "ts": F.timestamp_seconds(F.lit(1_704_067_200) + arrival * 60)}
+    )
+    folder = run_folder(spark)
+    come.drop("_last", "_pages").repartitionByRange(8, "ts", F.xxhash64("doc_id", "page")).write.parquet(f"{folder}/pages")
+    schema = spark.read.parquet(f"{folder}/pages").schema
+    stream = paging.stream_records(read_stream(silence.use_rocksdb(spark), f"{folder}/pages", schema, max_files=2))
+    start(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    r = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return _corpus_rows(r, "complete")
+
+
 @query(
     "hostile_docs",
     f"""WITH {INV} SELECT doc_id, document_number, n_items + CASE WHEN doc_id % 4 = 1 THEN 2 ELSE 0 END AS n_items,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -51,6 +52,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def run_folder(spark: SparkSession) -> str:
+    """A fresh folder for the tables, streams and checkpoints of one run, in the shared folder of the session.
+
+    Only a session in local mode may be without one: elsewhere executors would write to disks of their own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/docledger-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-docledger-")
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench."""
     builder = (
