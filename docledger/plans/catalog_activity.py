@@ -19,7 +19,7 @@ _E = "CAST(json_extract_string(props, '$.k') AS INT)"
 _JOBS = f"""jobs AS (SELECT 'job-' || event_id AS job_id, user_id AS batch_id, ts AS created_at, value AS secs, event_type IN ('error', 'view', 'purchase') AS done,
   CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'processing' ELSE 'completed' END AS status,
   CASE {_E} % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' ELSE 'json' END AS input_format, CASE user_id % 2 WHEN 0 THEN 'json' ELSE 'xml' END AS output_format,
-  {_E} * 1000 AS file_size FROM events)"""
+  {_E} * 1000 AS file_size, {_E} AS k, coalesce({_E} % 5 = 0, false) AS batch FROM events)"""
 _CALLS = "calls AS (SELECT '/' || event_type AS endpoint, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value AS response_time, user_id AS source, ts FROM events)"
 
 
@@ -156,10 +156,14 @@ def rate_series(spark, d):
     return s.select(_t("window_start").alias("window_start"), "endpoint", "requests", "errors", _r("per_second").alias("per_second"))
 
 
-@query("job_list", f"WITH {_JOBS} SELECT job_id, status, {_ts('created_at')} AS created_at FROM jobs ")
+@query(
+    "job_list",
+    f"""WITH {_JOBS} SELECT job_id, status, {_ts('created_at')} AS created_at, CASE WHEN batch THEN 'batch' ELSE 'single' END AS type,
+        CASE WHEN batch THEN 2 + k % 7 ELSE 1 END AS n_files FROM jobs""",
+)
 def job_list(spark, d):
     j = js.job_list(act.jobs_from_events(_events(spark, d)))
-    return j.select("job_id", "status", _t("created_at").alias("created_at"))
+    return j.select("job_id", "status", _t("created_at").alias("created_at"), "type", "n_files")
 
 
 @query(
@@ -204,6 +208,12 @@ def batch_summary(spark, d):
     return js.batch_summary(j)
 
 
+@query("batch_failures", f"WITH {_JOBS} SELECT job_id, 'conversion failed' AS error FROM jobs WHERE status = 'failed'")
+def batch_failures(spark, d):
+    j = act.jobs_from_events(_events(spark, d)).withColumn("error", F.col("error_message"))
+    return js.batch_failures(j, "job_id")
+
+
 @query(
     "coverage",
     "SELECT 'invoice' AS doc_type, count(*) AS n_docs, count(o_orderstatus) FILTER (o_orderstatus IN ('O', 'F')) AS with_method, count(*) FILTER (o_orderpriority <> '4-NOT SPECIFIED') AS with_due FROM orders",

@@ -632,6 +632,39 @@ def json_roundtrip(spark, d):
     return back.select("r.doc_id", "r.document_number", _s("r.issue_date").alias("issue_date"), _s("r.seller.name").alias("seller_name"), _d("r.totals.total").alias("total"))
 
 
+def _broken(r: DataFrame) -> DataFrame:
+    read = files.with_error(r)
+    total = F.col("totals.total") if "totals" in read.columns else F.col("total")
+    return read.select("doc_id", _s("document_number").alias("document_number"), _s("issue_date").alias("issue_date"), F.coalesce(_d(total), F.lit(-1.0)).alias("total"), _s("error").alias("error"))
+
+
+def _broken_sql(bad: str) -> str:
+    return f"""WITH {INV} SELECT doc_id, CASE WHEN {bad} THEN '' ELSE document_number END AS document_number, CASE WHEN {bad} THEN '' ELSE {text('issue_date')} END AS issue_date,
+        CASE WHEN {bad} THEN -1 ELSE coalesce({dbl('total')}, -1) END AS total, CASE WHEN {bad} THEN 'malformed record' ELSE '' END AS error FROM inv"""
+
+
+@query("broken_json", _broken_sql("doc_id % 3 = 0"))
+def broken_json(spark, d):
+    """Records as JSON lines on disk, a third of them cut short: each is a row with an error."""
+    folder = f"{run_folder(spark)}/json"
+    whole = F.col("json")
+    cut = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.left(whole, F.length(whole) - 20)).otherwise(whole)
+    files.invoice_json(Ledger(spark, d).invoices).select(cut.alias("value")).write.text(folder)
+    return _broken(files.read_invoice_json(spark, folder))
+
+
+@query("broken_csv", _broken_sql("doc_id % 3 = 1"))
+def broken_csv(spark, d):
+    """The same through the CSV sink; a third of the lines has a cell too many."""
+    ledger, folder = Ledger(spark, d), run_folder(spark)
+    files.write_flat_csv(ledger.invoices, ledger.items, f"{folder}/csv")
+    line = F.col("value")
+    bad = F.pmod(F.substring_index(line, ",", 1).try_cast("bigint"), F.lit(3)) == 1
+    rows = spark.read.text(f"{folder}/csv/invoices").filter(~line.startswith("doc_id,"))
+    rows.select(F.when(bad, F.concat(line, F.lit(",surplus"))).otherwise(line).alias("value")).write.text(f"{folder}/lines")
+    return _broken(files.read_flat_csv(spark, f"{folder}/lines", header=False))
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.extract_records(Ledger(spark, d).documents, language=F.element_at("metadata", F.lit("language")))
 

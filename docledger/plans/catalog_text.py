@@ -9,6 +9,7 @@ from docledger.functions import amounts, doctype, language, text as tx
 from docledger.functions.regexes import explode_rows
 from docledger.operators import classify as cl, fields
 from docledger.plans.registry import query
+from docledger.session import run_folder
 from docledger.sources import files, markup
 
 
@@ -51,6 +52,40 @@ def ext_allowed(spark, d):
     return out.select("page_id", "is_allowed", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+# Pages as files that came in over seven years, and the content of a file: one line.
+_MONTH = "(1992 + page_id % 7) || '.' || lpad(CAST(1 + page_id % 12 AS VARCHAR), 2, '0')"
+
+
+def _attachments(spark: SparkSession, d: str) -> str:
+    base = f"{run_folder(spark)}/incoming"
+    day = F.make_date(F.lit(1992) + F.pmod("page_id", F.lit(7)).cast("int"), F.lit(1) + F.pmod("page_id", F.lit(12)).cast("int"), F.lit(15))
+    files.write_attachments(spark.read.parquet(f"{d}/pages.parquet").withColumn("day", day), base, "day", "html")
+    return base
+
+
+@query("scan_files", "SELECT 'txt' AS ext, count(*) AS n_files, CAST(sum(octet_length(encode(coalesce(html, ''))) + 1) AS BIGINT) AS n_bytes FROM pages")
+def scan_files(spark, d):
+    found = files.scan_files(spark, _attachments(spark, d), [".TXT"], recursive=True)
+    return found.groupBy("ext").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
+@query(
+    "scan_months",
+    f"""SELECT {_MONTH} AS month, count(*) AS n_files, CAST(sum(octet_length(encode(coalesce(html, ''))) + 1) AS BIGINT) AS n_bytes
+        FROM pages WHERE {_MONTH} BETWEEN '1993.02' AND '1996.10' GROUP BY 1""",
+)
+def scan_months(spark, d):
+    """The files of some months: a range of folders is the feature, and no other folder is listed."""
+    found = files.scan_months(spark, _attachments(spark, d), (1993, 2), (1996, 10))
+    return found.groupBy("month").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
+@query("text_files", "SELECT md5(coalesce(html, '') || chr(10)) AS digest, count(*) AS n FROM pages GROUP BY 1")
+def text_files(spark, d):
+    docs = files.read_text_docs(spark, _attachments(spark, d))
+    return docs.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
 @query(
     "file_probe",
     """SELECT page_id, CASE WHEN octet_length(encode(html)) < 10 THEN 'too small' WHEN html[1:5] <> '%PDF-' THEN 'no PDF header'

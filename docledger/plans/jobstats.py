@@ -29,8 +29,9 @@ def batch_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def batch_failures(results: DataFrame) -> DataFrame:
-    return results.filter(F.col("error").isNotNull()).select("doc_id", "error")
+def batch_failures(results: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What failed, and why."""
+    return results.filter(F.col("error").isNotNull()).select(key, "error")
 
 
 def pending_docs(docs: DataFrame, done: DataFrame, key: str = "doc_id", overwrite: bool = False) -> DataFrame:
@@ -39,8 +40,10 @@ def pending_docs(docs: DataFrame, done: DataFrame, key: str = "doc_id", overwrit
 
 
 def job_list(jobs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Jobs, newest first."""
-    out = jobs.select("job_id", "status", "input_format", "output_format", "created_at", "completed_at")
+    """Jobs, newest first, with their type and number of files: a job that states neither is a single file."""
+    kind = F.coalesce("job_type", F.lit("single")) if "job_type" in jobs.columns else F.lit("single")
+    n_files = F.coalesce("n_files", F.lit(1)) if "n_files" in jobs.columns else F.lit(1)
+    out = jobs.select("job_id", "status", kind.alias("type"), n_files.alias("n_files"), "input_format", "output_format", "created_at", "completed_at")
     ordered = out.orderBy(F.desc("created_at"), "job_id")
     return ordered if limit is None else ordered.limit(limit)
 

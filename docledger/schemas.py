@@ -37,7 +37,8 @@ FINDINGS = (
 )
 JOBS = (
     "job_id STRING, status STRING, input_format STRING, output_format STRING, file_name STRING, file_size BIGINT, "
-    "languages ARRAY<STRING>, created_at TIMESTAMP, started_at TIMESTAMP, completed_at TIMESTAMP, error_message STRING"
+    "languages ARRAY<STRING>, created_at TIMESTAMP, started_at TIMESTAMP, completed_at TIMESTAMP, error_message STRING, "
+    "job_type STRING, n_files INT"
 )
 OCR_RESULTS = (
     "job_id STRING, confidence DECIMAL(3,2), language STRING, engine STRING, processing_time DECIMAL(10,3), "

@@ -40,6 +40,9 @@ def jobs_from_events(events: DataFrame) -> DataFrame:
         done.alias("completed_at"),
         F.when(kind == "error", "conversion failed").alias("error_message"),
         F.col("user_id").alias("batch_id"),
+        # Every fifth job is a batch of several files; the others state neither type nor number.
+        F.when(F.pmod(_k(), F.lit(5)) == 0, "batch").alias("job_type"),
+        F.when(F.pmod(_k(), F.lit(5)) == 0, F.lit(2) + F.pmod(_k(), F.lit(7))).cast("int").alias("n_files"),
     )
 
 

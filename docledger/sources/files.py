@@ -48,6 +48,45 @@ def scan_month(spark: SparkSession, base: str, year: int, month: int, by: str =
     return files.filter((modified >= start) & (modified < F.add_months(start, 1)))
 
 
+def scan_months(spark: SparkSession, base: str, first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+    """Files of the months from ``first`` to ``last``, both (year, month) and included, with their ``month``.
+
+    Only the folders of those months are listed, by one listing; months without a folder have no files.
+    """
+    start, end = (y * 12 + m - 1 for y, m in (first, last))
+    names = [f"{n // 12:04d}.{n % 12 + 1:02d}" for n in range(start, end + 1)]
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {s.getPath().getName() for s in system.listStatus(root)}
+    paths = [f"{base}/{name}/attachments" for name in names if name in there]
+    # Without any folder the scan of the base keeps no file, which leaves its columns.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths or [base])
+    month = F.regexp_extract("path", r"/([0-9]{4}\.[0-9]{2})/attachments/", 1)
+    out = files.withColumn("ext", extension(F.col("path"))).withColumn("month", month)
+    return out if paths else out.filter(F.lit(False))
+
+
+def write_attachments(docs: DataFrame, base: str, day: str, text: str = "text") -> None:
+    """Each text as a file of its own under ``YYYY.MM/attachments``; a row without a day goes to ``0000.00``.
+
+    Tasks write to a folder beside, and whole months are renamed when all have finished, so a lost task leaves no file.
+    """
+    spark = docs.sparkSession
+    month = F.coalesce(F.date_format(day, "yyyy.MM"), F.lit("0000.00"))
+    landing = f"{base}/_landing"
+    docs.select(F.coalesce(F.col(text), F.lit("")).alias("value"), month.alias("month")).write.option("maxRecordsPerFile", 1).partitionBy("month").text(landing)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(landing).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in system.listStatus(path(landing)):
+        name = folder.getPath().getName()
+        if name.startswith("month="):
+            target = path(f"{base}/{name.removeprefix('month=')}")
+            system.mkdirs(target)
+            if not system.rename(folder.getPath(), path(target, "attachments")):
+                raise OSError(f"{name} could not be moved to {target}")
+    system.delete(path(landing), True)
+
+
 def file_probe(files: DataFrame) -> DataFrame:
     """Validity of PDF files by size and signature, with a reason."""
     head = F.decode(F.substring("content", 1, 5), "ISO-8859-1")
@@ -120,6 +159,16 @@ def read_invoice_json(spark: SparkSession, path: str, schema: str = schemas.INVO
     )
 
 
+def with_error(records: DataFrame) -> DataFrame:
+    """Records read permissively with an ``error`` instead of ``_corrupt``; of a malformed one only its number may be known."""
+    # The sources parse only columns that are asked for. The second condition never holds, but it asks for all of them, so that
+    # a record is malformed or not whatever the query.
+    bad = F.col("_corrupt").isNotNull() | (F.pmod(F.hash(*[c for c in records.columns if c != "_corrupt"]), F.lit(1)) != 0)
+    known = F.regexp_extract("_corrupt", r'^\{?(?:"doc_id":)?([0-9]{1,18})\b', 1).try_cast("bigint")
+    fields = [F.when(~bad, F.col(c)).alias(c) for c in records.columns if c not in ("doc_id", "_corrupt")]
+    return records.select(F.when(bad, known).otherwise(F.col("doc_id")).alias("doc_id"), *fields, F.when(bad, "malformed record").alias("error"))
+
+
 def parse_invoice_json(col: Column, schema: str = schemas.INVOICE_JSON) -> Column:
     """Record struct of a JSON text with ``_corrupt`` for malformed input."""
     return F.from_json(col, schema + ", _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -146,3 +195,15 @@ def write_flat_csv(invoices: DataFrame, items: DataFrame, path: str) -> None:
     )
     flat.write.mode("overwrite").option("header", "true").csv(f"{path}/invoices")
     items.write.mode("overwrite").option("header", "true").csv(f"{path}/items")
+
+
+FLAT_INVOICES = (
+    "doc_id BIGINT, document_number STRING, issue_date DATE, due_date DATE, currency STRING, seller_name STRING, buyer_name STRING, "
+    "subtotal DECIMAL(18,4), tax_amount DECIMAL(18,4), total DECIMAL(18,4)"
+)
+
+
+def read_flat_csv(spark: SparkSession, path: str, schema: str = FLAT_INVOICES, header: bool = True) -> DataFrame:
+    """Rows of a CSV folder as :func:`write_flat_csv` leaves it; a malformed one is a row with ``_corrupt`` set."""
+    reader = spark.read.schema(schema + ", _corrupt STRING").option("header", str(header).lower()).option("mode", "PERMISSIVE")
+    return reader.option("columnNameOfCorruptRecord", "_corrupt").option("columnPruning", "false").csv(path)
