@@ -9,7 +9,7 @@ from docledger.functions import amounts, dates
 from docledger.functions.regexes import explode_rows
 from docledger.functions.text import lines
 from docledger.operators import classify as cl
-from docledger.operators import fields, items as it, langpacks, rules
+from docledger.operators import fields, items as it, langpacks, routes, rules
 from docledger.operators.consistency import check_all, check_summary, compare_with_reference, comparison_counts, unpivot
 from docledger.plans import pipeline
 from docledger.plans.ledger_sql import INV, INV_EN, LI, dbl, text
@@ -530,6 +530,44 @@ def european_layout(spark, d):
     return e.select("doc_id", _s("issue_date").alias("issue_date"), "currency", "seller_name", "buyer_name", "buyer_address", _d("subtotal").alias("subtotal"), _d("item_net").alias("item_net"), _d("total").alias("total"))
 
 
+# ---- routes as data
+
+_C = "c_custkey IS NOT NULL AND c_custkey"
+
+
+@query(
+    "route_table",
+    f"""SELECT o_orderkey AS doc_id, CASE WHEN {_C} % 5 = 0 AND o_orderstatus = 'F' THEN 'paid-' || c_custkey
+        WHEN o_orderstatus = 'O' AND o_orderpriority IS NOT NULL THEN 'open-' || o_orderpriority
+        WHEN {_C} % 7 = 0 THEN 'changed-' || c_custkey WHEN {_C} % 3 = 0 THEN 'customer-' || c_custkey
+        WHEN o_orderpriority IS NOT NULL THEN 'any-' || o_orderpriority ELSE 'default' END AS extractor,
+        CASE WHEN {_C} % 5 = 0 AND o_orderstatus = 'F' THEN 'paid' WHEN o_orderstatus = 'O' AND o_orderpriority IS NOT NULL THEN 'open' ELSE '' END AS mode
+        FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
+)
+def route_table(spark, d):
+    """Orders through a table of routes by customer, status and priority, as many as customers have, after an upsert."""
+    names = ["status", "priority", "customer"]
+    orders, customers = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "customer"))
+    docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"))
+    key, none = F.col("c_custkey").cast("string"), F.lit(None).cast("string")
+
+    def of(rows: DataFrame, status: Column, priority: Column, customer: Column, prefix: str, name: Column, mode: str | None = None) -> DataFrame:
+        params = F.create_map(F.lit("mode"), F.lit(mode)) if mode else F.lit(None).cast("map<string,string>")
+        return rows.select(status.alias("status"), priority.alias("priority"), customer.alias("customer"), F.concat(F.lit(prefix), name).alias("extractor"), params.alias("params"))
+
+    every = orders.select("o_orderpriority").where("o_orderpriority is not null").distinct()
+    priority = F.col("o_orderpriority")
+    table = (
+        of(customers.where("c_custkey % 5 = 0"), F.lit("F"), none, key, "paid-", key, "paid")
+        .unionByName(of(customers.where("c_custkey % 3 = 0"), none, none, key, "customer-", key))
+        .unionByName(of(every, F.lit("O"), priority, none, "open-", priority, "open"))
+        .unionByName(of(every, none, priority, none, "any-", priority))
+    )
+    changes = of(customers.where("c_custkey % 7 = 0"), none, none, key, "changed-", key)
+    out = routes.routed(docs, routes.upserted(table, changes, names), names)
+    return out.select("doc_id", "extractor", F.coalesce(F.element_at("params", F.lit("mode")), F.lit("")).alias("mode"))
+
+
 # ---- whole pipeline and exchange formats
 
 
