@@ -11,7 +11,7 @@ shuffled. The filter has ``SLOTS`` slots whatever the corpus, so what reaches th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from docledger.llm.shared import held_out, mix, prepare
+from docledger.llm.shared import held_out, mix, prepare, written
 
 SLOTS = 1 << 20
 HASHES = 4
-# Most languages of one model; with more, those with the most texts are learned.
-MAX_LANGUAGES = 1024
+# Languages of one filter, which bounds what is broadcast at once; further languages, in order of name, have further filters.
+BLOCK = 1024
 # A language contains a trigram that it uses at least this often, and at least at this share of the rate of the language
 # that uses it most: else a large corpus puts every trigram into every language.
 LEAST_RATE = 2e-7
@@ -120,10 +120,11 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Filters:
-    """The filter of all languages: ``masks`` has one row for each slot, bit-packed over ``langs``."""
+    """The filter of a block of languages: ``masks`` has one row for each slot, bit-packed over ``langs``."""
 
     langs: list[str]
     masks: np.ndarray
+    further: tuple[Filters, ...] = ()
 
     def __post_init__(self) -> None:
         bits = np.unpackbits(self.masks, axis=1, bitorder="little")[:, : len(self.langs)]
@@ -171,10 +172,10 @@ def train(docs: DataFrame) -> Filters:
     """
     spark = prepare(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    counts = rows.mapInArrow(_count_task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = written(rows.mapInArrow(_count_task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigram-counts")
     # One row for each language.
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
-    per_gram = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    per_gram = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     sets = (
         per_gram.groupBy("gram")
         .agg(F.collect_list(F.struct("lang", "rate")).alias("used"), F.max("rate").alias("most"))  # at most one entry a language
@@ -188,23 +189,46 @@ def train(docs: DataFrame) -> Filters:
                 at = (key * np.uint64(odd)) >> np.uint64(64 - SLOTS.bit_length() + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), batch.column("langs")], ["slot", "langs"])
 
-    # At most SLOTS rows, each with at most MAX_LANGUAGES names.
-    filled = sets.mapInArrow(slots, "slot long, langs array<string>").groupBy("slot").agg(F.array_distinct(F.flatten(F.collect_set("langs"))).alias("langs"))
-    by_set = filled.groupBy(F.array_sort("langs").alias("langs")).agg(F.collect_list("slot").alias("slots")).toArrow()
-    langs = sorted({x for row in by_set.column("langs").to_pylist() for x in row})
-    masks = np.zeros((SLOTS, max(1, -(-len(langs) // 8))), np.uint8)
-    for names, at in zip(by_set.column("langs").to_pylist(), by_set.column("slots"), strict=True):
-        for name in names:
-            i = langs.index(name)
-            masks[at.values.to_numpy(), i // 8] |= np.uint8(1 << i % 8)
-    return Filters(langs, masks)
+    def block(sets: DataFrame) -> Filters:
+        # At most SLOTS rows, each with at most BLOCK names.
+        filled = sets.mapInArrow(slots, "slot long, langs array<string>").groupBy("slot").agg(F.array_distinct(F.flatten(F.collect_set("langs"))).alias("langs"))
+        by_set = filled.groupBy(F.array_sort("langs").alias("langs")).agg(F.collect_list("slot").alias("slots")).toArrow()
+        langs = sorted({x for row in by_set.column("langs").to_pylist() for x in row})
+        masks = np.zeros((SLOTS, max(1, -(-len(langs) // 8))), np.uint8)
+        for names, at in zip(by_set.column("langs").to_pylist(), by_set.column("slots"), strict=True):
+            for name in names:
+                i = langs.index(name)
+                masks[at.values.to_numpy(), i // 8] |= np.uint8(1 << i % 8)
+        return Filters(langs, masks)
+
+    names = [r["lang"] for r in totals.select("lang").orderBy("lang").collect()]
+    if len(names) <= BLOCK:
+        return block(sets)
+    sets = written(sets, "trigram-languages")
+    blocks = []
+    for i in range(0, len(names), BLOCK):
+        first, last = names[i], names[min(i + BLOCK, len(names)) - 1]
+        blocks.append(block(sets.select("gram", F.filter("langs", lambda x: x.between(first, last)).alias("langs")).where(F.size("langs") > 0)))
+    return replace(blocks[0], further=tuple(blocks[1:]))
 
 
 def identify(docs: DataFrame, model: Filters) -> DataFrame:
     """Add ``lang_pred`` and ``score`` from the whole ``text`` alone; both are replaced if present.
 
-    A text that is null, empty or without a letter is ``und`` with score 0.
+    A text that is null, empty or without a letter is ``und`` with score 0. The first by name of the languages that know most
+    of a text decides. Blocks of languages are asked one after another, over a table that the block before has written.
     """
+    found = _asked(docs, replace(model, further=()))
+    for block in model.further:
+        before = written(found, "languages").withColumnsRenamed({"lang_pred": "__lang", "score": "__score"})
+        better = F.col("score") > F.col("__score")
+        later = _asked(before, block).withColumns({"lang_pred": F.when(better, F.col("lang_pred")).otherwise(F.col("__lang")), "score": F.greatest("score", "__score")})
+        found = later.select(*found.columns)
+    return found
+
+
+def _asked(docs: DataFrame, model: Filters) -> DataFrame:
+    """The answers of one block of languages."""
     sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     @arrow_udf(_PREDICTION)

@@ -74,6 +74,16 @@ def test_language_bears_anything(spark):
     assert kept.columns == docs.columns and kept.where("lang_pred <> 'q'").count() == 0 and kept.count() == docs.count() - 3
 
 
+def test_languages_beyond_a_block_are_learned_as_well(spark, monkeypatch):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang")
+    whole = langid.train(docs)
+    want = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, whole).collect()}
+    monkeypatch.setattr(langid, "BLOCK", 2)
+    parts = langid.train(docs)
+    assert len(whole.langs) > 2 and [x for f in (parts, *parts.further) for x in f.langs] == whole.langs
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, parts).collect()} == want
+
+
 def test_statistics_of_a_text():
     texts = ["One two two.\nOne two two.\nABC!! xyz", None, "", "é"]
     got = [dict(zip(quality.STATISTICS, row)) for row in quality.statistics(pa.array(texts, pa.string()))]
