@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from docledger.functions.amounts import parse_amount
 from docledger.functions.checks import Validators
 from docledger.functions.dates import parse_date, parse_date_formats
-from docledger.functions.regexes import blank_to_null, group
+from docledger.functions.regexes import blank_to_null, explode_rows, found, group, quick
 from docledger.operators.classify import config_rows
 from docledger.schemas import MONEY
 
@@ -210,30 +210,28 @@ def extract_with_info(
     """
     validators = validators or Validators()
     t = F.col(text)
-    per_field = []
+    per_field, where = [], []
     for f in fields_of(rules):
         chosen = None
         for i, r in enumerate(_ordered(rules, f)):
-            found = F.struct(
+            rule_id = f"{f}/{i}"
+            hit = F.struct(
                 F.lit(f).alias("field"),
                 group(text, r.regex, r.group).alias("value"),
                 F.lit(True).alias("success"),
-                (F.regexp_instr(t, F.lit(r.regex)) - 1).alias("match_pos"),
-                F.regexp_extract(t, r.regex, 0).alias("match_text"),
                 F.lit(i).alias("fallback_index"),
                 F.lit(float(r.confidence)).alias("confidence"),
                 F.lit(r.type).alias("type"),
-                F.lit(f"{f}/{i}").alias("rule_id"),
+                F.lit(rule_id).alias("rule_id"),
             )
-            cond = F.rlike(t, F.lit(r.regex))
-            chosen = F.when(cond, found) if chosen is None else chosen.when(cond, found)
+            cond = found(t, r.regex)
+            where.append((rule_id, F.regexp_instr(t, F.lit(quick(r.regex))) - 1, F.regexp_extract(t, quick(r.regex), 0)))
+            chosen = F.when(cond, hit) if chosen is None else chosen.when(cond, hit)
         types = _ordered(rules, f)[0].type
         missing = F.struct(
             F.lit(f).alias("field"),
             F.lit(None).cast("string").alias("value"),
             F.lit(False).alias("success"),
-            F.lit(None).cast("int").alias("match_pos"),
-            F.lit(None).cast("string").alias("match_text"),
             F.lit(None).cast("int").alias("fallback_index"),
             F.lit(0.0).alias("confidence"),
             F.lit(types).alias("type"),
@@ -241,7 +239,16 @@ def extract_with_info(
         )
         per_field.append(chosen.otherwise(missing))
     keys = [c for c in docs.columns if c != text]
-    long = docs.select(*keys, F.explode(F.array(*per_field)).alias("m")).select(*keys, "m.*")
+    rows = explode_rows(docs.select(*keys, text, F.array(*per_field).alias("_found")), "_found", "_i", "m")
+    # Place and text of a match are found again by its rule, and only for callers who read them.
+    pos, matched = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for rule_id, p, m in where:
+        own = F.col("m.rule_id") == rule_id
+        pos, matched = F.when(own, p).otherwise(pos), F.when(own, m).otherwise(matched)
+    long = rows.select(
+        *keys, "m.field", "m.value", "m.success", pos.alias("match_pos"), matched.alias("match_text"), "m.fallback_index",
+        "m.confidence", "m.type", "m.rule_id",
+    )
     valid = None
     for kind in sorted({r.type for r in rules}):
         cond = F.col("type") == kind
