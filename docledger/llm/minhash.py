@@ -254,10 +254,11 @@ def _between(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return met.select(F.least("l.a", "r.a").alias("a"), F.greatest("l.a", "r.a").alias("b")).distinct()
 
 
-def roots(sketched: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+def roots(sketched: DataFrame, texts: DataFrame, near: Near, more: DataFrame | None = None) -> DataFrame:
     """(node, root) of every ``set`` that has a near copy in ``sketched``; ``texts`` is (set, text), one row for each set.
 
-    Sets without shingles have no near copies.
+    Sets without shingles have no near copies. ``more`` has pairs (a, b) of sets that another search proposes: they are
+    verified on the full sets like any other.
     """
     grouped = sketched.where("size > 0").groupBy("set").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("size", "bands", "signature")))
     one = written(grouped, "minhash-sets")
@@ -265,7 +266,8 @@ def roots(sketched: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     leaders = spread.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("copies"), "set")).alias("first")).where("n > 1")
     held = spread.join(leaders.select("band", F.col("first.set").alias("b")), "band").where("set <> b")
     held = written(held.select(F.col("set").alias("a"), "b").distinct(), "minhash-held")
-    close = written(_promising(held, one, near), "minhash-close")
+    close = _promising(held, one, near)
+    close = written(close if more is None else close.unionByName(more).distinct(), "minhash-close")
     # Full sets are needed of close pairs, and of leaders with several members.
     several = held.groupBy("b").count().where("count > 1").select("b")
     wanted = close.unionByName(held.join(several, "b").select("a", "b"))
@@ -283,15 +285,17 @@ def _edges(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def grouped(docs: DataFrame, near: Near, key: str) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, near: Near, key: str, proposed: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(the columns of ``docs`` with set and size in place of text, (set, root) of every set that has a near copy).
 
-    ``key`` is a column that tells rows of different texts apart; one row of each set gives its text.
+    ``key`` is a column that tells rows of different texts apart; one row of each set gives its text. ``proposed`` makes pairs
+    (a, b) of sets to verify besides those of the bands, from the rows with set and size.
     """
     marked = written(sketches(docs, near), "minhash-rows")
     chosen = marked.groupBy("set").agg(F.min(key).alias(key))
     texts = docs.select(key, "text").join(chosen, key).select("set", "text").dropDuplicates(["set"])
-    return marked.drop("bands", "signature"), roots(marked, texts, near).withColumnRenamed("node", "set")
+    more = None if proposed is None else proposed(marked.drop("bands", "signature"))
+    return marked.drop("bands", "signature"), roots(marked, texts, near, more).withColumnRenamed("node", "set")
 
 
 def groups(docs: DataFrame, near: Near = COPIES) -> DataFrame:

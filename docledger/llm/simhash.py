@@ -151,15 +151,31 @@ def groups(docs: DataFrame) -> DataFrame:
     return marked.join(table, "fp")
 
 
+def proposed(marked: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets of shingles whose fingerprints are equal or linked, from rows of (set, size, fp).
+
+    Of the sets of one fingerprint each is paired with the smallest, and the smallest ones stand for linked fingerprints.
+    """
+    sets = marked.where("size > 0").select("set", "fp").distinct()
+    leads = written(sets.groupBy("fp").agg(F.min("set").alias("lead")), "simhash-leads")
+    ends = [leads.select(F.col("fp").alias(end), F.col("lead").alias(f"set_{end}")) for end in ("a", "b")]
+    linked = links(leads.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    own = sets.join(leads, "fp").select(F.col("lead").alias("a"), F.col("set").alias("b"))
+    return written(linked.unionByName(own).where("a <> b").distinct(), "simhash-proposed")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: that with the smallest doc_id. Columns stay.
 
-    Near copies share four fifths of their five-word shingles (see ``minhash``); ``groups`` has the narrower radius of its
-    own contract. Of rows with equal ids a hash of the text decides; rows without id come after those with one; of rows with
+    Near copies share four fifths of their five-word shingles. Fingerprints that meet in the middle propose pairs, as in
+    ``groups``, and the bands of ``minhash`` propose what lies beyond that radius; every pair is verified on the full sets of
+    shingles, and the links of both make the groups. Of rows with equal ids a hash of the text decides; rows without id come after those with one; of rows with
     equal id and text one stays.
     """
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    marked, found = minhash.grouped(keyed.select("doc_id", "text", "__key"), minhash.ALIKE, "__key")
+    # A pass of its own: a task that also made sketches would hold two Python workers at once.
+    printed = written(fingerprints(keyed.select("__key", "text")).select("__key", "fp"), "simhash-printed").dropDuplicates(["__key"])
+    marked, found = minhash.grouped(keyed.select("doc_id", "text", "__key"), minhash.ALIKE, "__key", lambda rows: proposed(rows.join(printed, "__key")))
     best = (
         marked.groupBy("set")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first"))

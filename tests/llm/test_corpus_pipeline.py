@@ -1,7 +1,7 @@
 """The stages of the corpus pipeline on the small tables and on rows of every kind."""
 
 import corpus_pipeline
-from docledger.llm import bpe, decontaminate, simhash
+from docledger.llm import bpe, decontaminate, minhash, simhash
 from tests.llm.helpers import empty, hostile, words
 from tests.llm.test_minhash import _roots
 from tests.llm.test_texts import _plain_hits
@@ -42,3 +42,21 @@ def test_planted_rows_go_and_clean_ones_stay(spark, data):
     ids = {r["doc_id"] for r in decontaminate.clean_rows(docs.unionByName(planted), spark.read.parquet(f"{data}/benchmark.parquet")).collect()}
     assert 90_003 not in ids and 90_001 in ids
     assert bpe.round_trip(planted, bpe.vocabulary_path()).count() == 3
+
+
+def test_near_copies_are_proposed_by_fingerprints(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    text = docs.where("length(text) > 6000").first()["text"]
+    planted = spark.createDataFrame([(90_001, text + " again"), (90_002, text.replace(".", ". \n"))], docs.schema)
+    marked = minhash.sketches(simhash.fingerprints(docs.unionByName(planted)), minhash.ALIKE).drop("bands", "signature").cache()
+    of = {r["doc_id"]: r for r in marked.collect()}
+    pairs = {frozenset((r["a"], r["b"])) for r in simhash.proposed(marked).collect()}
+    # All pairs of different fingerprints within the radius meet, through the smallest set of each; equal ones too.
+    lead: dict[int, int] = {}
+    for r in of.values():
+        if r["size"]:
+            lead[r["fp"]] = min(r["set"], lead.get(r["fp"], r["set"]))
+    fps = sorted(lead)
+    want = {frozenset((lead[a], lead[b])) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= simhash.RADIUS}
+    want |= {frozenset((lead[r["fp"]], r["set"])) for r in of.values() if r["size"] and r["set"] != lead[r["fp"]]}
+    assert pairs == want and any(of[90_001]["set"] in p for p in pairs)
