@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docledger.functions.regexes import let
+
 # The error of an estimate, as a share of the value.
 ACCURACY = 0.01
 # Exact selection: error of the ranks that cut a group into zones, and equal parts of a zone.
@@ -70,17 +72,23 @@ def estimated(sketches: DataFrame, by: Sequence[str], q: float, accuracy: float
 
 
 def estimated_from_array(buckets: Column, q: float, accuracy: float = ACCURACY) -> Column:
-    """The same estimate from one sketch held as an array of (bucket, n)."""
-    known = F.array_sort(F.filter(buckets, lambda b: b["bucket"].isNotNull()))
-    n = F.aggregate(known, F.lit(0).cast("bigint"), lambda a, b: a + b["n"])
-    rank = F.floor((n - 1) * F.lit(q))
+    """The same estimate from one sketch held as an array of (bucket, n); a bucket may stand there in several parts."""
     start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("struct<sign:int,k:int>").alias("at"))
 
-    def step(a: Column, b: Column) -> Column:
-        at = F.when(a["at"].isNull() & (a["seen"] + b["n"] > rank), b["bucket"]).otherwise(a["at"])
-        return F.struct((a["seen"] + b["n"]).alias("seen"), at.alias("at"))
+    def at_rank(known: Column, rank: Column) -> Column:
+        def step(a: Column, b: Column) -> Column:
+            at = F.when(a["at"].isNull() & (a["seen"] + b["n"] > rank), b["bucket"]).otherwise(a["at"])
+            return F.struct((a["seen"] + b["n"]).alias("seen"), at.alias("at"))
+
+        return F.aggregate(known, start, step)["at"]
+
+    def placed(known: Column) -> Column:
+        # The rank is bound too: a step that held its expression would count the whole array for every bucket.
+        n = F.aggregate(known, F.lit(0).cast("bigint"), lambda a, b: a + b["n"])
+        return let(F.floor((n - 1) * F.lit(q)), lambda rank: at_rank(known, rank))
 
-    return bucket_value(F.aggregate(known, start, step)["at"], accuracy)
+    found = let(F.sort_array(F.filter(buckets, lambda b: b["bucket"].isNotNull())), placed)
+    return let(found, lambda b: bucket_value(b, accuracy))
 
 
 def exact(rows: DataFrame, by: Sequence[str], value: str, q: float) -> DataFrame:

@@ -89,3 +89,10 @@ def test_hours_merge_into_days(spark):
         day = [(v, t) for e, v, t in rows if e == r.endpoint and t.date() == r.day]
         values = sorted(v for v, _ in day if v is not None)
         assert r.n == len(day) and r.quantile == pytest.approx(values[math.floor(0.95 * (len(values) - 1))], rel=0.0101)
+
+
+def test_the_rank_of_an_array_is_sought_once(spark):
+    """A rank inside the running sum would sort and count the whole array again for every bucket."""
+    s = qs.sketch(_frame(spark, _groups()), ["g"], "v").groupBy("g").agg(F.collect_list(F.struct("bucket", "n")).alias("b"))
+    plan = s.select(qs.estimated_from_array(F.col("b"), 0.95).alias("q"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(") == 1 and plan.count("aggregate(") == 2
