@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ALERT_SCHEMA = "source BIGINT, at TIMESTAMP, state STRING, since TIMESTAMP"
@@ -28,6 +29,11 @@ def _due(waiting: list, batches: Iterator[pd.DataFrame], time: str, value: str,
     for batch in batches:
         seconds = batch[time].astype("datetime64[s]").astype("int64").tolist()
         waiting = waiting + [list(x) for x in zip(seconds, batch[value].tolist(), strict=True)]
+    return _split(waiting, watermark_ms)
+
+
+def _split(waiting: list, watermark_ms: int) -> tuple[list, list]:
+    """Rows of [second, value], put in order of time: those that the watermark has passed, and the rest."""
     waiting.sort()
     passed = sum(at * 1000 < watermark_ms for at, _ in waiting)
     return waiting[:passed], waiting[passed:]
@@ -84,30 +90,29 @@ def alert_for(
 
 
 LIFECYCLE_SCHEMA = "job_id STRING, outcome STRING, started_at TIMESTAMP, ended_at TIMESTAMP, seconds DOUBLE"
-_LIFECYCLE_STATE = "started BIGINT, ended BIGINT, waiting STRING"
+# JSON list of [job, start, end, waiting rows] of the jobs of one part.
+_LIFECYCLE_STATE = "jobs STRING"
 # Fixed value: seconds after which a job counts as timed out.
 JOB_TIMEOUT = 300
 # Seconds for which an ended job is remembered, so that its later events are ignored.
 REMEMBERED = 86_400
+# Jobs are kept by the hash of their id, many in one row of state, so that Python is called for a part and not for each job. A
+# checkpoint goes on with the number it was begun with.
+PARTS = 1_024
 
 
-def job_lifecycle(events: DataFrame, watermark: str = "10 minutes", timeout: int = JOB_TIMEOUT, remembered: int = REMEMBERED) -> DataFrame:
+def job_lifecycle(
+    events: DataFrame, watermark: str = "10 minutes", timeout: int = JOB_TIMEOUT, remembered: int = REMEMBERED, parts: int = PARTS
+) -> DataFrame:
     """Outcome and duration of every job from its status events (job_id, status, ts).
 
     A job ends with its first event ``completed`` or ``failed``, or as ``timeout`` when neither comes within the limit after
     its start. Events after the end are ignored for ``remembered`` seconds; what comes still later starts the job anew.
     """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, ended, held = state.get if state.exists else (-1, -1, "[]")
-        now = state.getCurrentWatermarkMs()
-        due, waiting = _due(json.loads(held), iter(()) if state.hasTimedOut else batches, "ts", "status", now)
+    def lived(started: int, ended: int, due: list, waiting: list, now: int) -> tuple[int, int, list]:
+        """(start, end, ends found as (outcome, start, end)) of a job after the rows that are due."""
         out = []
-
-        def end(outcome: str, at: int) -> int:
-            out.append((key[0], outcome, _ts(started), _ts(at), float(at - started)))
-            return at
-
         for at, status in due:
             if ended >= 0 and at - ended > remembered:
                 started, ended = -1, -1
@@ -115,26 +120,51 @@ def job_lifecycle(events: DataFrame, watermark: str = "10 minutes", timeout: int
                 continue
             started = at if started < 0 else started
             if at - started > timeout:
-                ended = end("timeout", started + timeout)
+                ended = started + timeout
+                out.append(("timeout", started, ended))
             elif status in ("completed", "failed"):
-                ended = end(status, at)
+                ended = at
+                out.append((status, started, ended))
         if ended < 0 <= started and (started + timeout) * 1000 < now:
-            ended = end("timeout", started + timeout)
+            ended = started + timeout
+            out.append(("timeout", started, ended))
         if ended >= 0 and not waiting and (ended + remembered) * 1000 < now:
             started, ended = -1, -1
-        if started < 0 and not waiting:
-            state.remove()
-        else:
-            state.update((started, ended, json.dumps(waiting)))
-            limits = [waiting[0][0]] if waiting else []
+        return started, ended, out
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        jobs = {job: [started, ended, waiting] for job, started, ended, waiting in (json.loads(state.get[0]) if state.exists else ())}
+        for batch in iter(()) if state.hasTimedOut else batches:
+            seconds = batch["ts"].astype("datetime64[s]").astype("int64").tolist()
+            for job, at, status in zip(batch["job_id"].tolist(), seconds, batch["status"].tolist(), strict=True):
+                jobs.setdefault(job, [-1, -1, []])[2].append([at, status])
+        found, kept, limits = [], [], []
+        for job, (started, ended, rows) in jobs.items():
+            due, waiting = _split(rows, now) if rows else ([], [])
+            started, ended, out = lived(started, ended, due, waiting, now)
+            found += [(job, *x) for x in out]
+            if started < 0 and not waiting:
+                continue
+            kept.append((job, started, ended, waiting))
+            if waiting:
+                limits.append(waiting[0][0])
             if started >= 0:
                 limits.append(ended + remembered if ended >= 0 else started + timeout)
+        if kept:
+            state.update((json.dumps(kept),))
             state.setTimeoutTimestamp(max(min(limits) * 1000, now + 1))
-        yield pd.DataFrame(out, columns=["job_id", "outcome", "started_at", "ended_at", "seconds"])
+        else:
+            state.remove()
+        frame = pd.DataFrame(found, columns=["job_id", "outcome", "started_at", "ended_at"])
+        frame["seconds"] = (frame["ended_at"] - frame["started_at"]).astype("float64")
+        for c in ("started_at", "ended_at"):
+            frame[c] = pd.to_datetime(frame[c].astype("int64"), unit="s")
+        yield frame
 
     return (
         events.withWatermark("ts", watermark)
-        .select("job_id", "status", "ts")
-        .groupBy("job_id")
+        .select(F.pmod(F.xxhash64("job_id"), F.lit(parts)).alias("part"), "job_id", "status", "ts")
+        .groupBy("part")
         .applyInPandasWithState(update, LIFECYCLE_SCHEMA, _LIFECYCLE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
