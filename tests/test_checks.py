@@ -317,3 +317,13 @@ def test_words_below_the_limit_are_dropped(spark):
     rows = [(1, 0, "e", 0, 0, i, w, c, 0, 0, 1, 1, 10, 10) for i, (w, c) in enumerate([("a", 90), ("b", 30), ("c", 31)])]
     t = merge.words_to_text(spark.createDataFrame(rows, schemas.OCR_WORDS)).first()
     assert (t.text, t.n_words) == ("a c", 2)
+
+
+def test_ngrams_of_a_value_are_searched_in_the_text(spark):
+    """The n-grams of the text are never listed; short values and texts are compared as a whole."""
+    rows = [("Invoice of Acme Corp", "acme corp?"), ("ab", "AB"), ("xabx", "AB"), ("", "a"), ("Größe 😀 Öl", "größe 😀?"), (None, "abc")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id BIGINT, text STRING, v STRING")
+    g = gr.grounding(df, {"v": F.col("v")}, mode="ngram")
+    assert "split(lower(text" not in g._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: r.fields[0].confidence for r in g.collect()}
+    assert got == {0: 7 / 8, 1: 1.0, 2: 0.0, 3: 0.0, 4: 5 / 6, 5: 0.0}
