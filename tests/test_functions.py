@@ -1,12 +1,13 @@
 """Value tables of the scalar functions."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from docledger.functions import amounts, checks, dates, text as tx
+from docledger.functions import amounts, checks, dates, language, text as tx
 from docledger.functions.currency import currency
 from docledger.functions.regexes import required_word
 
@@ -140,3 +141,15 @@ def test_required_word_is_conservative():
     assert required_word("colou?r") == "colo"
     for p in ("a|b", "abc*", "ab{2}c", r"\d+", "(?:x)abc"):
         assert required_word(p) is None
+
+
+def test_marker_words_are_counted_in_the_parts_that_may_hold_one(spark):
+    words = sorted({w for ws in language.MARKERS.values() for w in ws})
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([rng.choice(words), rng.choice(words)[: rng.randrange(1, 6)], rng.choice(" \n7.ąxé")]) for _ in range(50)) for _ in range(200)] + ["", None, "7 1.(" * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING").select("i", "t", language.language_scores(F.col("t")).alias("s"), F.regexp_extract_all("t", F.lit(language._marked(words)), F.lit(0)).alias("parts"))
+    for r in df.collect():
+        if r.t is None:
+            continue
+        assert [(x.lang, x.score) for x in r.s] == [(lang, sum(r.t.count(w) for w in ws) / len(ws)) for lang, ws in language.MARKERS.items()]
+        assert len(r.parts) == 0 or "(" not in r.t
