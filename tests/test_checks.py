@@ -327,3 +327,15 @@ def test_ngrams_of_a_value_are_searched_in_the_text(spark):
     assert "split(lower(text" not in g._jdf.queryExecution().optimizedPlan().toString()
     got = {r.doc_id: r.fields[0].confidence for r in g.collect()}
     assert got == {0: 7 / 8, 1: 1.0, 2: 0.0, 3: 0.0, 4: 5 / 6, 5: 0.0}
+
+
+def test_words_of_a_block_move_once(spark):
+    rows = [(1, 0, 0, line, w, t) for line, w, t in [(1, 3, "d"), (0, 1, "b"), (0, 0, "a"), (1, 2, "c"), (2, 4, None), (None, 5, "x"), (3, 6, "e"), (3, 7, None), (3, 8, "f")]]
+    rows += [(2, 1, 7, 70 + i // 10, i, f"w{i}") for i in reversed(range(40))]
+    words = spark.createDataFrame(rows, "doc_id BIGINT, page INT, block_no INT, line_no INT, word_no INT, text STRING")
+    out = merge.layout_text(words)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {r.doc_id: (r.block_no, r.text, r.n_lines) for r in out.collect()}
+    assert got[1] == (0, "x\na b\nc d\n\ne f", 5)
+    assert got[2] == (7, "\n".join(" ".join(f"w{10 * k + i}" for i in range(10)) for k in range(4)), 4)
