@@ -6,8 +6,8 @@ entries can go stale: an entry is skipped when its left symbol is gone or when t
 Decoding puts the vocabulary strings of the ids together.
 
 The rank table is a file of a few megabytes with a fixed size, read once by each Python worker. Pieces repeat, so each
-worker keeps the ids of the pieces it has met, up to ``MAX_PIECES``; beyond that the memo starts anew. That bounds memory
-and never changes a result.
+worker keeps the ids of the pieces it has met, up to a limit; beyond that the memo starts anew. That bounds memory and never
+changes a result.
 
 Texts of plain characters are cut a batch at a time, by classes of bytes. A piece of up to ``SHORT`` bytes is two numbers,
 which are looked up in a table of the pieces met last; what is not there goes to the memo, each different piece once a batch.
@@ -32,8 +32,12 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from docledger.llm.shared import LOWER, prepare, sha256_hex, utf8
 
-# Pieces a worker remembers before it forgets all of them.
+# Pieces an encoder remembers before it forgets all of them, and those that each worker of ``encode`` does; a piece takes some 200
+# bytes. Workers share an executor's memory with a JVM that other stages have filled.
 MAX_PIECES = 900_000
+KEPT_PIECES = 300_000
+# Bytes of text that ``encode`` takes at once: arrays beside a text take some twenty times its size.
+SLICE = 1 << 19
 
 # Stands between vocabulary strings; byte-level vocabularies have no control characters.
 _BETWEEN = "\x01"
@@ -80,6 +84,7 @@ class Encoder:
     """Rank table, vocabulary and the memo of one tokenizer file."""
 
     path: str
+    limit: int | None = None
     ids: dict[str, int] = field(default_factory=dict)
     ranks: dict[int, int] = field(default_factory=dict)
     merged: list[int] = field(default_factory=list)
@@ -291,7 +296,8 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets n + 1)."""
-        if len(self.memo) > MAX_PIECES or len(self._flat) > 8 * MAX_PIECES:
+        most = MAX_PIECES if self.limit is None else min(self.limit, MAX_PIECES)
+        if len(self.memo) > most or len(self._flat) > 8 * most:
             self._forget()
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         raw, rows = utf8(texts)
@@ -308,6 +314,20 @@ class Encoder:
         ids = flat[np.arange(stops[-1]) + np.repeat(bounds[at] - stops[:-1], lengths)]
         return ids, stops[np.concatenate(([0], np.cumsum(many)))]
 
+    def encode_slices(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of every text, of rows of ``SLICE`` bytes together, or of a longer row, at a time."""
+        _, rows = utf8(texts)
+        ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(rows, rows[at] + SLICE, side="right")) - 1)
+            found, offsets = self.encode_batch(texts.slice(at, end - at))
+            ids.append(found)
+            lengths.append(np.diff(offsets))
+            at = end
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """All remembered ids and the bounds of each place, as arrays."""
         if self._arrays is None:
@@ -325,7 +345,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The encoder of a vocabulary file; one for each file and Python worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, KEPT_PIECES)
     return _ENCODERS[path]
 
 
@@ -336,8 +356,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = encoder(path)
         for batch in batches:
-            ids, offsets = coder.encode_batch(batch)
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield coder.encode_slices(batch)
 
     prepare(docs.sparkSession)
     return docs.withColumn(out, ids_of(F.col(text)))

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 from hypothesis import given, settings
@@ -39,6 +40,18 @@ def test_a_full_memo_changes_nothing(monkeypatch, library):
         assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_the_memo_of_a_worker_stays_small_within_a_batch(monkeypatch, library):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 500)
+    monkeypatch.setattr(bpe, "SLICE", 1_000)
+    monkeypatch.setattr(bpe, "_ENCODERS", {})
+    texts = [f"w{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}q{chr(97 + i // 676)} é" for i in range(3_000)] + [None, "", "one long row " * 200]
+    coder = bpe.encoder(bpe.vocabulary_path())
+    got = coder.encode_slices(pa.array(texts, pa.string())).to_pylist()
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(coder.memo) < 1_000
+    assert coder.encode_slices(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_op1_on_all_documents(spark, data, library):
     rows = {r["doc_id"]: r for r in bpe.op1_bpe(spark, data).collect()}
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()
