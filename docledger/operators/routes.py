@@ -6,7 +6,8 @@ feature, in the order given, comes later; of routes with the same pattern, the o
 least extractor. Without a match the extractor is ``default``.
 
 Matching is an equality join: for each combination of features that the documents hold there are as many keys as subsets of
-features. Combinations are made distinct first, so the join does not grow with the documents but with their variety.
+features that routes set. Combinations are made distinct first, so the join does not grow with the documents but with their
+variety. A key that many combinations share meets its route by a broadcast of bounded size, so no task gets all of them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ from pyspark.sql import functions as F
 
 from docledger.operators.classify import RouteNode
 
+# A key asked for by more combinations than this is frequent; of these, as many of the most frequent as the second number says are
+# broadcast. Of any other key a task gets less than the first number of rows, or one in MOST_FREQUENT of all.
+FREQUENT = 100_000
+MOST_FREQUENT = 10_000
+
 _TEXTS = "map<string,string>"
 _DECIDED = "extractor STRING, params MAP<STRING,STRING>, rules MAP<STRING,STRING>, min_confidence DOUBLE, version BIGINT"
 TREE_FEATURES = ["doc_type", "has_tables", "has_line_items", "language"]
@@ -58,6 +64,17 @@ def upserted(routes: DataFrame, changes: DataFrame, features: Sequence[str]) ->
     return decided(old.withColumn("version", F.lit(0)).unionByName(new.withColumn("version", F.lit(1))), features).withColumn("version", F.lit(0).cast("bigint"))
 
 
+def _matched(asked: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """(_pattern, _mask, _route) of the keys asked for that have a route; the most frequent ones meet theirs by a broadcast."""
+    asks = asked.groupBy(*on).agg(F.count("*").alias("_asks")).where(F.col("_asks") > FREQUENT)
+    often = asks.orderBy(F.desc("_asks"), *on).limit(MOST_FREQUENT).join(keys, on, "left")
+    staged = asked.join(F.broadcast(often.select(*on, F.lit(True).alias("_often"), F.col("_route").alias("_its"))), on, "left")
+    # Rows that have met their route already are spread by their pattern and find no other.
+    spread = F.when(F.col("_often"), F.xxhash64("_pattern")).otherwise(F.lit(0))
+    found = staged.withColumn("_spread", spread).join(keys.withColumn("_spread", F.lit(0).cast("bigint")), [*on, "_spread"], "left")
+    return found.select("_pattern", "_mask", F.coalesce("_its", "_route").alias("_route")).where(F.col("_route").isNotNull())
+
+
 def routed(docs: DataFrame, routes: DataFrame, features: Sequence[str], confidence: str | None = None) -> DataFrame:
     """Documents with ``extractor``, ``params`` and ``rules`` of the route that decides.
 
@@ -75,9 +92,12 @@ def routed(docs: DataFrame, routes: DataFrame, features: Sequence[str], confiden
     for i in range(n):
         asked = asked.filter(~inside[i] | at[i].isNotNull())
     asked = asked.select("_pattern", "_mask", *[F.when(inside[i], at[i]).otherwise("").alias(f"_k{i}") for i in range(n)])
+    on = ["_mask", *[f"_k{i}" for i in range(n)]]
     table = decided(routes, features)
     keys = table.select(_set(features).alias("_mask"), *[F.coalesce(F.col(f), F.lit("")).alias(f"_k{i}") for i, f in enumerate(features)], F.struct("extractor", "params", "rules", "min_confidence").alias("_route"))
-    matched = asked.join(keys, ["_mask", *[f"_k{i}" for i in range(n)]])
+    # At most as many rows as there are subsets of features.
+    asked = asked.join(F.broadcast(keys.select("_mask").distinct()), "_mask", "left_semi")
+    matched = _matched(asked, keys, on)
     best = matched.groupBy("_pattern").agg(F.max_by("_route", F.struct(F.bit_count("_mask"), "_mask")).alias("_route"))
     joined = keyed.alias("d").join(best.alias("b"), F.col("d._pattern").eqNullSafe(F.col("b._pattern")), "left")
     route = F.col("b._route")

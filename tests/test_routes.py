@@ -75,3 +75,19 @@ def test_rules_of_a_route_find_fields(spark):
     table = spark.createDataFrame([("receipt", "slips", {"total": r"Total: ([0-9.]+)"})], "kind STRING, extractor STRING, rules MAP<STRING,STRING>")
     got = {r.doc_id: r.fields for r in cl.routed_fields(rt.routed(docs, table, ["kind"])).collect()}
     assert got == {1: {"total": "5.00"}, 2: {}}
+
+
+def test_frequent_keys_meet_their_routes_by_a_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    table = list({(*r[:4], r[7]): r for r in _table(rng, 900)}.values())
+    docs = _documents(rng, 900)
+    monkeypatch.setattr(rt, "FREQUENT", 5)
+    for most in (4, 10_000):
+        monkeypatch.setattr(rt, "MOST_FREQUENT", most)
+        got = rt.routed(spark.createDataFrame(docs, DOCS), spark.createDataFrame(table, SCHEMA), FEATURES, "type_confidence")
+        assert {r.doc_id: (r.extractor, r.rules) for r in got.collect()} == {d[0]: _plain(d, table) for d in docs}
+    # Only keys asked for more than five times are taken out, and spread.
+    asked = spark.createDataFrame([(str(i), 1, "a") for i in range(40)] + [("x", 1, "b")], "_pattern STRING, _mask INT, _k0 STRING")
+    keys = spark.createDataFrame([(1, "a", "ra"), (1, "b", "rb")], "_mask INT, _k0 STRING, _route STRING")
+    found = rt._matched(asked, keys, ["_mask", "_k0"])
+    assert sorted(map(tuple, found.collect())) == sorted([(str(i), 1, "ra") for i in range(40)] + [("x", 1, "rb")])
