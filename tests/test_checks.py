@@ -350,3 +350,11 @@ def test_findings_of_both_profiles_come_from_one_pass(spark):
     assert got == sorted(repr(r) for a in apart for r in a.collect()) and len({r.profile for r in both.collect()}) == 2
     # Records are read once, items for the counts, the findings and the duplicates.
     assert both._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 4
+
+
+def test_words_join_in_the_order_of_structs_whatever_is_null(spark):
+    rows = [(i % 3, None if i % 5 == 0 else i % 4 - 2, None if i % 7 == 0 else i * 37 % 11, f"w{i % 13}") for i in range(200)]
+    words = spark.createDataFrame(rows, "doc_id INT, line_no INT, word_no INT, text STRING").repartition(5)
+    order = ["line_no", "word_no"]
+    got = words.groupBy("doc_id").agg(merge._joined(order, "text", " ").alias("a"), merge._joined_words(order, "text").alias("b")).collect()
+    assert len(got) == 3 and all(r.a == r.b for r in got)
