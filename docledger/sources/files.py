@@ -19,6 +19,9 @@ FORMATS = {
     "html": ["html", "htm"],
 }
 MIN_PDF_BYTES = 10
+# A local file system keeps a checksum file beside each file, and makes both by a process each: twice the work for small files. Other
+# file systems do not read these options.
+NO_CHECKSUM_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 PAGE_MARKER = r"\n?--- PAGE [0-9]+ ---\n?"
 
 
@@ -69,12 +72,15 @@ def scan_months(spark: SparkSession, base: str, first: tuple[int, int], last: tu
 def write_attachments(docs: DataFrame, base: str, day: str, text: str = "text") -> None:
     """Each text as a file of its own under ``YYYY.MM/attachments``; a row without a day goes to ``0000.00``.
 
-    Tasks write to a folder beside, and whole months are renamed when all have finished, so a lost task leaves no file.
+    Tasks write to a folder beside, and whole months are renamed when all have finished, so a lost task leaves no file. Each task
+    has a folder of its own within a month: the job then commits by renaming folders, where tasks that share one have their files
+    renamed one after another by the driver.
     """
     spark = docs.sparkSession
     month = F.coalesce(F.date_format(day, "yyyy.MM"), F.lit("0000.00"))
     landing = f"{base}/_landing"
-    docs.select(F.coalesce(F.col(text), F.lit("")).alias("value"), month.alias("month")).write.option("maxRecordsPerFile", 1).partitionBy("month").text(landing)
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("value"), month.alias("month"), F.spark_partition_id().alias("task"))
+    rows.write.options(maxRecordsPerFile=1, **NO_CHECKSUM_FILES).partitionBy("month", "task").text(landing)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = path(landing).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for folder in system.listStatus(path(landing)):

@@ -33,6 +33,19 @@ def test_only_folders_of_the_months_are_read(spark, base):
     assert files.scan_month(spark, base, 2024, 3).count() == 1
 
 
+def test_tasks_share_no_folder(spark, tmp_path):
+    """A folder of two tasks would be committed file by file in the driver; checksum files would double what is made."""
+    folder = tmp_path / "many"
+    docs = spark.range(0, 40, 1, 4).selectExpr("DATE'2024-01-05' AS day", "'text ' || id AS text")
+    files.write_attachments(docs, str(folder), "day")
+    found = [p for p in folder.rglob("*") if p.is_file() and "part-" in p.name]
+    assert sorted(p.read_text() for p in found) == sorted(f"text {i}\n" for i in range(40))
+    tasks = {}
+    for p in found:
+        tasks.setdefault(p.parent, set()).add(p.name.split("-")[1])
+    assert len(tasks) == 4 and all(len(t) == 1 for t in tasks.values())
+
+
 def test_texts_keep_their_lines(spark, base):
     docs = files.read_text_docs(spark, base).collect()
     assert sorted(d.text for d in docs)[-1] == "text 4\nsecond line é\n" and len({d.doc_id for d in docs}) == 6
