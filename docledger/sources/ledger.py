@@ -76,16 +76,26 @@ def ledger_items(lineitem: DataFrame) -> DataFrame:
     return lines.withColumn("tax_amount", _dec(F.round(F.col("amount") * F.col("_rate"), 2))).drop("_rate")
 
 
-def ledger_totals(items: DataFrame) -> DataFrame:
-    """Per document: line count, net and tax sums, and the supplier who issues the invoice. Partially aggregated."""
+def ledger_totals(items: DataFrame, entries: bool = False) -> DataFrame:
+    """Per document: line count, net and tax sums, and the supplier who issues the invoice. Partially aggregated.
+
+    With ``entries`` also what is printed of its lines, in their order, so that sums and lines come from one pass over the items.
+    """
     return items.groupBy("doc_id").agg(
         F.count("*").alias("n_items"),
         F.sum("amount").cast(MONEY).alias("subtotal"),
         F.sum("tax_amount").cast(MONEY).alias("tax_amount"),
         F.min("supplier_id").alias("supplier_id"),
+        *([_entries()] if entries else []),
     )
 
 
+def _entries() -> Column:
+    """The printed values of the lines of a group, in the order of their numbers."""
+    entry = F.struct("line_number", "item_code", "quantity", "unit_price", "amount", "tax_rate", "description")
+    return F.sort_array(F.collect_list(entry)).alias("entries")
+
+
 def _by_language(options: dict[str, Column], lang: Column) -> Column:
     out = None
     for code, value in options.items():
@@ -100,9 +110,12 @@ def buyer_language(nation_key: Column) -> Column:
 
 
 def ledger_invoices(
-    orders: DataFrame, totals: DataFrame, customer: DataFrame, supplier: DataFrame, nation: DataFrame
+    orders: DataFrame, totals: DataFrame, customer: DataFrame, supplier: DataFrame, nation: DataFrame, language: str | None = None
 ) -> DataFrame:
-    """Invoice records of the ledger, one per order, with nested parties, totals and payment.
+    """Invoice records of the ledger, one per order, with nested parties, totals and payment, all in one language if it is given.
+
+    Totals with ``entries`` give records with the ``body`` of their texts: lines are printed as soon as the language is known,
+    and are not moved again.
 
     Orders whose status is ``P`` state the ledger's own total, which differs from the line sums; orders without lines
     have neither seller nor net sums. Both give the validators real failures to find.
@@ -118,13 +131,12 @@ def ledger_invoices(
     buyer = customer.select(
         F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey")
     ).join(nations, "n_nationkey", "left").withColumnRenamed("n_name", "c_nation").withColumnRenamed("n_nationkey", "c_nationkey")
-    base = (
-        orders.withColumn("doc_id", F.col("o_orderkey"))
-        .join(totals, "doc_id", "left")
-        .join(buyer, "o_custkey", "left")
-        .join(seller, "supplier_id", "left")
-    )
-    lang = buyer_language(F.col("c_nationkey"))
+    lang = buyer_language(F.col("c_nationkey")) if language is None else F.lit(language)
+    base = orders.withColumn("doc_id", F.col("o_orderkey")).join(buyer, "o_custkey", "left").join(totals, "doc_id", "left")
+    printed = ["body"] if "entries" in totals.columns else []
+    if printed:
+        base = base.withColumn("body", _body(lang)).drop("entries")
+    base = base.join(seller, "supplier_id", "left")
     null = F.lit(None)
     cust = F.col("o_custkey").cast("string")
     stated = F.when(status == "P", _dec(F.col("o_totalprice")).cast(MONEY)).otherwise(
@@ -192,6 +204,7 @@ def ledger_invoices(
         null.cast("string").alias("notes"),
         lang.alias("language"),
         null.cast("double").alias("confidence"),
+        *printed,
     )
 
 
@@ -210,6 +223,11 @@ def _line_text(entry: Column, lang: Column) -> Column:
     return F.when(lang == "en", columns).when(lang == "pl", polish).otherwise(factor)
 
 
+def _body(lang: Column) -> Column:
+    """The lines of ``entries`` as they are printed."""
+    return F.array_join(F.transform("entries", lambda e: _line_text(e, lang)), "\n")
+
+
 def in_language(invoices: DataFrame, language: str) -> DataFrame:
     """The same invoices, all written in one language and its currency."""
     money = F.lit(CURRENCY[language])
@@ -228,15 +246,18 @@ def render_documents(invoices: DataFrame, items: DataFrame, page_lines: int | No
         items.select(
             "doc_id",
             page.cast("int").alias("page"),
-            F.struct("line_number", "item_code", "quantity", "unit_price", "amount", "tax_rate", "description").alias("entry"),
+            "line_number", "item_code", "quantity", "unit_price", "amount", "tax_rate", "description",
         )
         .groupBy("doc_id", "page")
-        .agg(F.sort_array(F.collect_list("entry")).alias("entries"))
-    )
+        .agg(_entries())
+    )
     joined = invoices.join(body, "doc_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
-    rows = F.transform("entries", lambda e: _line_text(e, F.col("language")))
-    joined = joined.withColumn("body", F.array_join(rows, "\n"))
-    return joined.select(
+    return _texts(joined.withColumn("body", _body(F.col("language"))))
+
+
+def _texts(printed: DataFrame) -> DataFrame:
+    """The texts of invoices, given with the body of each page."""
+    return printed.select(
         "doc_id",
         "page",
         _document_text().alias("text"),
@@ -332,5 +353,10 @@ class Ledger:
 
     def render(self, language: str | None = None, page_lines: int | None = None) -> DataFrame:
         """The documents, all in one language if it is given."""
-        invoices = self.invoices if language is None else in_language(self.invoices, language)
-        return render_documents(invoices, self.items, page_lines)
+        if page_lines is not None:
+            invoices = self.invoices if language is None else in_language(self.invoices, language)
+            return render_documents(invoices, self.items, page_lines)
+        totals = ledger_totals(self.items, entries=True)
+        invoices = ledger_invoices(self.orders, totals, self.customer, self.supplier, self.nation, language)
+        invoices = invoices if language is None else in_language(invoices, language)
+        return _texts(invoices.withColumn("page", F.lit(0)))
