@@ -132,10 +132,13 @@ def ledger_invoices(
         F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey")
     ).join(nations, "n_nationkey", "left").withColumnRenamed("n_name", "c_nation").withColumnRenamed("n_nationkey", "c_nationkey")
     lang = buyer_language(F.col("c_nationkey")) if language is None else F.lit(language)
-    base = orders.withColumn("doc_id", F.col("o_orderkey")).join(buyer, "o_custkey", "left").join(totals, "doc_id", "left")
+    base = orders.withColumn("doc_id", F.col("o_orderkey"))
     printed = ["body"] if "entries" in totals.columns else []
     if printed:
-        base = base.withColumn("body", _body(lang)).drop("entries")
+        # The buyer tells the language, and entries are moved by one join less.
+        base = base.join(buyer, "o_custkey", "left").join(totals, "doc_id", "left").withColumn("body", _body(lang)).drop("entries")
+    else:
+        base = base.join(totals, "doc_id", "left").join(buyer, "o_custkey", "left")
     base = base.join(seller, "supplier_id", "left")
     null = F.lit(None)
     cust = F.col("o_custkey").cast("string")
