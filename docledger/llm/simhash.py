@@ -120,7 +120,8 @@ def links(fps: DataFrame) -> DataFrame:
     """(a, b): all pairs of different fingerprints in ``fps`` (distinct ``fp``) with at most ``RADIUS`` differing bits, a < b."""
     spread = _variants(fps)
     block, rest = _meeting(F.col("l.fp"), F.col("r.fp"))
-    left, right = spread.alias("l"), spread.alias("r")
+    # Spark sizes the variants as if there were one of each fingerprint: merged, they are never sent to the driver.
+    left, right = spread.hint("merge").alias("l"), spread.alias("r")
     met = left.join(
         right,
         (F.col("l.block") == F.col("r.block"))

@@ -52,6 +52,12 @@ def test_links_are_all_pairs_within_the_radius(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_variants_of_few_fingerprints_are_not_broadcast(spark):
+    # Two thousand fingerprints are small; their variants are two hundred times as many, which Spark's sizes do not tell.
+    plan = simhash.links(spark.range(2000).withColumnRenamed("id", "fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(70)] + [(1000, i) for i in range(1001, 1100)] + [(2000, 2000), (2001, 2002), (2002, 2001)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), "t").collect()}
