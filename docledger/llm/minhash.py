@@ -236,7 +236,8 @@ def _between(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     rows = _with(members.join(mixed, "lead"), sets, ["a", "lead"], "shingles")
     spread = written(rows.mapInArrow(_differences(near), _SPREAD), "minhash-differences")
     apart = spread.groupBy("lead", "element").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("lead", "element")
-    spread = spread.join(apart, ["lead", "element"])
+    # Repeated values make these rows a tenth of their size on disk, by which Spark would choose to send them to the driver.
+    spread = spread.hint("merge").join(apart, ["lead", "element"])
     l, r = spread.where(F.col("place") <= F.floor(F.col("size") * (den - num) / (2 * num)) + 1).alias("l"), spread.alias("r")
     sizes = F.col("l.size") + F.col("r.size")
     differ = F.col("l.differs") + F.col("r.differs")
@@ -264,7 +265,8 @@ def roots(sketched: DataFrame, texts: DataFrame, near: Near, more: DataFrame | N
     one = written(grouped, "minhash-sets")
     spread = one.select("set", "copies", F.explode("bands").alias("band"))
     leaders = spread.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("copies"), "set")).alias("first")).where("n > 1")
-    held = spread.join(leaders.select("band", F.col("first.set").alias("b")), "band").where("set <> b")
+    # Spark sizes the exploded bands as if there were one of each set: merged, they are never sent to the driver.
+    held = spread.hint("merge").join(leaders.select("band", F.col("first.set").alias("b")), "band").where("set <> b")
     held = written(held.select(F.col("set").alias("a"), "b").distinct(), "minhash-held")
     close = _promising(held, one, near)
     close = written(close if more is None else close.unionByName(more).distinct(), "minhash-close")

@@ -103,6 +103,20 @@ def test_pairs_that_no_join_may_emit_by_the_square(spark):
     assert minhash._between(members, sets, minhash.COPIES).count() < 400 * 20
 
 
+def test_differences_and_bands_are_not_broadcast(spark, data, monkeypatch):
+    # Their files and sizes tell less than a tenth of what they hold.
+    plans = {}
+    written = minhash.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(minhash, "written", noted)
+    minhash.groups(spark.read.parquet(f"{data}/documents.parquet"))
+    assert "SortMergeJoin [band" in plans["minhash-held"] and "SortMergeJoin [lead" in plans["minhash-between"]
+
+
 def test_sketches_of_a_batch_are_those_of_each_text():
     texts = ["One two three four five six", None, "", "a b", "word " * 3000 + "x" * 700_000 + " end", " \x0b one\x1ctwo é "]
     whole = list(minhash.shingle_sets(pa.array(texts, pa.string())))
