@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docledger import schemas
 from docledger.operators import consistency as co, grounding as gr, items as it, jsonops, merge, validate as va
-from docledger.plans import jobstats as js, pipeline
+from docledger.plans import catalog, jobstats as js, pipeline
 from docledger.sources import files, ledger, markup
 
 AS_OF = dt.date(2025, 6, 20)
@@ -358,3 +358,14 @@ def test_words_join_in_the_order_of_structs_whatever_is_null(spark):
     order = ["line_no", "word_no"]
     got = words.groupBy("doc_id").agg(merge._joined(order, "text", " ").alias("a"), merge._joined_words(order, "text").alias("b")).collect()
     assert len(got) == 3 and all(r.a == r.b for r in got)
+
+
+def test_quadrants_keep_their_boxes_in_the_order_of_words(spark, data):
+    rows = [("d", 0, 0, line, no, t, conf, x, 5, 90, 18, 1000, 800) for line, no, t, conf, x in [(1, 2, "b", 60, 20), (0, 9, "a", 40, None), (1, None, "n", 80, 30), (2, 0, "-", 0, 10)]]
+    schema = "doc_id string, page int, block_no int, line_no int, word_no int, text string, conf int, x int, y int, w int, h int, page_w int, page_h int"
+    got = {r.text: r for r in merge.quadrant_text(spark.createDataFrame(rows, schema)).collect()}
+    left, right = got["n b"], got["a"]
+    assert [(b.line_no, b.word_no, b.x, b.w) for b in left.boxes] == [(1, None, 30, 90), (1, 2, 20, 90)] and left.confidence == 70
+    assert [(b.line_no, b.word_no, b.x, b.h) for b in right.boxes] == [(0, 9, None, 18)] and right.quadrant == "top-right"
+    # The query gives all that the operator makes.
+    assert {"confidence", "boxes"} <= set(catalog.QUERIES["quadrant_text"](spark, data).columns)
